@@ -10,8 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recoflow.operators import dims, ingest, interactions, split
+from recoflow import constants as C
+from recoflow.operators import dims, ingest, interactions, negatives, report, split
 from recoflow.operators import metrics as M
+from recoflow.operators import recommend as R
+from recoflow.operators import scoring as S
 from recoflow.sources import tables as T
 
 ROUND = 6
@@ -87,6 +90,135 @@ def q_popularity_baseline(spark, sf_dir):
     return M.popularity_baseline(train, test)
 
 
+# ---- scoring on fixed factor tables ----------------------------------------------
+
+def _factors(spark, sf_dir):
+    return T.user_factors(spark, sf_dir), T.item_factors(spark, sf_dir)
+
+
+def _r(c: str):
+    return F.round(c, ROUND).alias(c)
+
+
+def q_score_pairs(spark, sf_dir):
+    uf, itf = _factors(spark, sf_dir)
+    scored = S.score_pairs(T.interactions(spark, sf_dir).select("user_id", "item_id"), uf, itf)
+    return scored.select("user_id", "item_id", _r("score"))
+
+
+def q_recommend_unseen_top5(spark, sf_dir):
+    uf, itf = _factors(spark, sf_dir)
+    recs = R.recommend_unseen(uf, itf, T.interactions(spark, sf_dir), 5)
+    return recs.select("user_id", "rank", "item_id", _r("score"))
+
+
+def _masked_top5(spark, sf_dir):
+    uf, itf = _factors(spark, sf_dir)
+    return R.recommend_masked(uf, itf, T.interactions(spark, sf_dir), C.TOP_ITEMS_REPORTED)
+
+
+def q_minmax_masked_top5(spark, sf_dir):
+    return _masked_top5(spark, sf_dir).select("user_id", "rank", "item_id", _r("score"))
+
+
+def q_heldout_rank(spark, sf_dir):
+    uf, itf = _factors(spark, sf_dir)
+    _, test = split.leave_one_out(T.interactions(spark, sf_dir))
+    return R.heldout_ranks(uf, itf, test).select("user_id", "item_id", "heldout_rank", "hit", _r("ndcg"))
+
+
+def q_heldout_rank_unseen(spark, sf_dir):
+    uf, itf = _factors(spark, sf_dir)
+    train, test = split.leave_one_out(T.interactions(spark, sf_dir))
+    return R.heldout_ranks(uf, itf, test, seen=train).select("user_id", "item_id", "heldout_rank", "hit", _r("ndcg"))
+
+
+def q_metrics_by_k(spark, sf_dir):
+    uf, itf = _factors(spark, sf_dir)
+    train, test = split.leave_one_out(T.interactions(spark, sf_dir))
+    ranks = R.masked_label_ranks(uf, itf, test, train)
+    return M.metrics_from_ranks(ranks).select("k", "n_labels", _r("hit_rate"), _r("ndcg"))
+
+
+def q_rmse_pairs(spark, sf_dir):
+    uf, itf = _factors(spark, sf_dir)
+    _, test = split.leave_one_out(T.interactions(spark, sf_dir))
+    return M.rmse(S.score_pairs(test, uf, itf)).select("n", _r("rmse"))
+
+
+def q_coverage_frequency(spark, sf_dir):
+    return report.item_frequency(_masked_top5(spark, sf_dir), T.item_names(spark, sf_dir))
+
+
+def q_coverage_share(spark, sf_dir):
+    freq = report.item_frequency(_masked_top5(spark, sf_dir))
+    out = report.coverage_share(freq, T.item_factors(spark, sf_dir).count())
+    return out.select(*[_r(c) if c.startswith("item_coverage") else c for c in out.columns])
+
+
+def q_top5_items(spark, sf_dir):
+    freq = report.item_frequency(_masked_top5(spark, sf_dir), T.item_names(spark, sf_dir))
+    return report.top_items(freq).select("rank", "item_id", "package", "freq")
+
+
+def q_seen_lists(spark, sf_dir):
+    return report.chunked_lists(T.interactions(spark, sf_dir), T.item_names(spark, sf_dir))
+
+
+def request_keys(spark, sf_dir):
+    """Lookup requests from the event log: purchases name the user by msisdn, views by id."""
+    ev = T.table(spark, sf_dir, "events").where(F.col("event_type").isin("purchase", "view"))
+    key = F.when(F.col("event_type") == "purchase", F.lit(T.MSISDN_BASE) + F.col("user_id")).otherwise(F.col("user_id"))
+    return ev.select(key.cast("bigint").alias("request_key")).distinct()
+
+
+def q_recommend_lookup(spark, sf_dir):
+    uf, itf = _factors(spark, sf_dir)
+    inter = T.interactions(spark, sf_dir)
+    names = T.item_names(spark, sf_dir)
+    req = report.resolve_user_keys(request_keys(spark, sf_dir), T.user_names(spark, sf_dir))
+    wanted = uf.join(req.select(F.col("user_id").alias("id")).where(F.col("id").isNotNull()).distinct(), "id", "left_semi")
+    recs = report.ranked_list_strings(R.recommend_unseen(wanted, itf, inter, 5), names)
+    owned = inter.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_subscribed"))
+    return (req.join(recs, "user_id", "left").join(owned, "user_id", "left")
+            .select("request_key", "user_id", F.coalesce("package_recommend", F.lit("")).alias("package_recommend"),
+                    F.coalesce("n_subscribed", F.lit(0)).cast("long").alias("n_subscribed")))
+
+
+# ---- negatives -------------------------------------------------------------------------
+
+def _negatives_summary(spark, sf_dir, mode):
+    inter = T.interactions(spark, sf_dir)
+    train, test = split.leave_one_out(inter)
+    return negatives.test_negative_summary(test, train, inter.select("item_id").distinct(), mode)
+
+
+def q_test_negatives_all(spark, sf_dir):
+    return _negatives_summary(spark, sf_dir, "all_others")
+
+
+def q_test_negatives_unseen(spark, sf_dir):
+    return _negatives_summary(spark, sf_dir, "unseen")
+
+
+def _train_negatives(spark, sf_dir):
+    train, _ = split.leave_one_out(T.interactions(spark, sf_dir))
+    return train, negatives.sample_train_negatives(train, n=C.POINTWISE_NEGATIVES, seed=7)
+
+
+def q_train_negatives(spark, sf_dir):
+    return _train_negatives(spark, sf_dir)[1]
+
+
+def q_log_loss(spark, sf_dir):
+    uf, itf = _factors(spark, sf_dir)
+    train, negs = _train_negatives(spark, sf_dir)
+    rows = (train.select("user_id", "item_id", F.lit(1).alias("label"))
+            .unionByName(negs.select("user_id", F.col("neg_item").alias("item_id"), F.lit(0).alias("label"))))
+    scored = S.score_pairs(rows, uf, itf).withColumn("prob", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("score"))))
+    return M.log_loss(scored).select("n", _r("log_loss"))
+
+
 def catalogue() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "raw_standardize": q_raw_standardize,
@@ -101,4 +233,20 @@ def catalogue() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "item_popularity": q_item_popularity,
         "top_rated_item": q_top_rated_item,
         "popularity_baseline_ndcg": q_popularity_baseline,
+        "score_pairs": q_score_pairs,
+        "recommend_unseen_top5": q_recommend_unseen_top5,
+        "minmax_masked_top5": q_minmax_masked_top5,
+        "heldout_rank_hr_ndcg": q_heldout_rank,
+        "heldout_rank_unseen": q_heldout_rank_unseen,
+        "metrics_by_k": q_metrics_by_k,
+        "rmse_pairs": q_rmse_pairs,
+        "coverage_frequency": q_coverage_frequency,
+        "coverage_share": q_coverage_share,
+        "top5_items": q_top5_items,
+        "seen_lists": q_seen_lists,
+        "recommend_lookup": q_recommend_lookup,
+        "test_negatives_all": q_test_negatives_all,
+        "test_negatives_unseen": q_test_negatives_unseen,
+        "train_negatives": q_train_negatives,
+        "log_loss": q_log_loss,
     }

@@ -80,6 +80,53 @@ train AS (
     SELECT 1 FROM test s WHERE s.user_id = t.user_id AND s.item_id = t.item_id))"""
 
 
+def DOT(a: str, b: str) -> str:
+    """Sequential double dot product (left fold), the same order as the Spark side."""
+    return f"list_reduce(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2]), lambda x, y: x + y)"
+
+
+FACTORS = """uf AS (SELECT CAST(vec_id AS INTEGER) AS id, CAST(embedding AS DOUBLE[]) AS f FROM embeddings WHERE vec_id < 100),
+itf AS (SELECT CAST(vec_id - 100 AS INTEGER) AS id, CAST(embedding AS DOUBLE[]) AS f FROM embeddings WHERE vec_id >= 100)"""
+
+ALLSCORES = f"""allscores AS (
+  SELECT u.id AS user_id, i.id AS item_id, {DOT('u.f', 'i.f')} AS s FROM uf u, itf i)"""
+
+NAMES = """names AS (SELECT CAST(p_partkey AS INTEGER) AS item_id, p_name AS package FROM part)"""
+
+MASKED_TOP5 = """ranges AS (SELECT user_id, MIN(s) AS lo, MAX(s) AS hi FROM allscores GROUP BY 1),
+masked AS (
+  SELECT a.user_id, a.item_id,
+         CASE WHEN EXISTS (SELECT 1 FROM inter t WHERE t.user_id = a.user_id AND t.item_id = a.item_id) THEN 0.0
+              WHEN r.hi = r.lo THEN 0.0 ELSE (a.s - r.lo) / (r.hi - r.lo) END AS m
+  FROM allscores a JOIN ranges r USING (user_id)),
+masked_top5 AS (
+  SELECT * FROM (SELECT user_id, item_id, m AS score,
+      CAST(row_number() OVER (PARTITION BY user_id ORDER BY m DESC, item_id DESC) AS INTEGER) AS rank FROM masked)
+  WHERE rank <= 5)"""
+
+HELDOUT = f"""hq AS (
+  SELECT t.user_id, t.item_id AS h, {DOT('u.f', 'i.f')} AS t FROM test t JOIN uf u ON t.user_id = u.id JOIN itf i ON t.item_id = i.id)"""
+
+TRAIN_NEG = """pos AS (SELECT user_id, item_id FROM train),
+cat AS (SELECT CAST(row_number() OVER (ORDER BY item_id) - 1 AS INTEGER) AS idx, item_id FROM (SELECT DISTINCT item_id FROM pos)),
+ncat AS (SELECT COUNT(*) AS n FROM cat),
+eligible AS (
+  SELECT p.user_id, p.item_id FROM pos p JOIN (SELECT user_id, COUNT(*) AS np FROM pos GROUP BY 1) c USING (user_id)
+  WHERE c.np < (SELECT n FROM ncat)),
+draws AS (
+  SELECT e.user_id, e.item_id, r.t,
+         CAST(CAST(('0x' || substr(md5(CAST(e.user_id AS VARCHAR) || '-' || CAST(e.item_id AS VARCHAR) || '-'
+              || CAST(r.t AS VARCHAR) || '-7'), 1, 8)) AS BIGINT) % (SELECT n FROM ncat) AS INTEGER) AS idx
+  FROM eligible e, range(1, 5) r(t)),
+negs AS (
+  SELECT * FROM (
+    SELECT d.user_id, d.item_id, c.item_id AS neg_item,
+           CAST(row_number() OVER (PARTITION BY d.user_id, d.item_id ORDER BY d.t) AS INTEGER) AS draw
+    FROM draws d JOIN cat c USING (idx)
+    WHERE NOT EXISTS (SELECT 1 FROM pos p WHERE p.user_id = d.user_id AND p.item_id = c.item_id))
+  WHERE draw <= 2)"""
+
+
 def w(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
@@ -112,4 +159,90 @@ FROM inter GROUP BY 1 ORDER BY total_rating DESC, item_id ASC LIMIT 1"""
   COALESCE(AVG(CASE WHEN item_id = (SELECT item_id FROM pop) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 0.0) AS ndcg,
   COALESCE(AVG(CASE WHEN item_id = (SELECT item_id FROM pop) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 0.0) AS hit_rate
 FROM test"""
+    q["score_pairs"] = w(INTER, FACTORS) + f"""SELECT t.user_id, t.item_id, ROUND({DOT('u.f', 'i.f')}, {ROUND}) AS score
+FROM inter t JOIN uf u ON t.user_id = u.id JOIN itf i ON t.item_id = i.id"""
+    q["recommend_unseen_top5"] = w(INTER, FACTORS, ALLSCORES) + f"""SELECT user_id, rank, item_id, ROUND(s, {ROUND}) AS score
+FROM (SELECT a.*, CAST(row_number() OVER (PARTITION BY user_id ORDER BY s DESC, item_id ASC) AS INTEGER) AS rank
+      FROM allscores a WHERE NOT EXISTS (SELECT 1 FROM inter t WHERE t.user_id = a.user_id AND t.item_id = a.item_id))
+WHERE rank <= 5"""
+    q["minmax_masked_top5"] = w(INTER, FACTORS, ALLSCORES, MASKED_TOP5) + f"""SELECT user_id, rank, item_id,
+  ROUND(score, {ROUND}) AS score FROM masked_top5"""
+    q["heldout_rank_hr_ndcg"] = w(INTER, SPLIT, FACTORS, ALLSCORES, HELDOUT, """ranked AS (
+  SELECT q.user_id, q.h AS item_id, 1 + (SELECT COUNT(*) FROM allscores a WHERE a.user_id = q.user_id AND a.item_id <> q.h
+                                         AND a.s >= q.t) AS heldout_rank FROM hq q)""") + f"""SELECT user_id, item_id,
+  CAST(heldout_rank AS BIGINT) AS heldout_rank, CASE WHEN heldout_rank <= 10 THEN 1.0 ELSE 0.0 END::DOUBLE AS hit,
+  ROUND(CASE WHEN heldout_rank <= 10 THEN ln(2) / ln(heldout_rank + 1) ELSE 0.0 END, {ROUND}) AS ndcg FROM ranked"""
+    q["heldout_rank_unseen"] = w(INTER, SPLIT, FACTORS, ALLSCORES, HELDOUT, """ranked AS (
+  SELECT q.user_id, q.h AS item_id, 1 + (SELECT COUNT(*) FROM allscores a WHERE a.user_id = q.user_id AND a.item_id <> q.h
+      AND a.s >= q.t AND NOT EXISTS (SELECT 1 FROM train r WHERE r.user_id = a.user_id AND r.item_id = a.item_id))
+      AS heldout_rank FROM hq q)""") + f"""SELECT user_id, item_id,
+  CAST(heldout_rank AS BIGINT) AS heldout_rank, CASE WHEN heldout_rank <= 10 THEN 1.0 ELSE 0.0 END::DOUBLE AS hit,
+  ROUND(CASE WHEN heldout_rank <= 10 THEN ln(2) / ln(heldout_rank + 1) ELSE 0.0 END, {ROUND}) AS ndcg FROM ranked"""
+    q["metrics_by_k"] = w(INTER, SPLIT, FACTORS, ALLSCORES, HELDOUT, """tr AS (
+  SELECT a.user_id, MIN(a.s) AS lo, MAX(a.s) AS hi FROM allscores a WHERE a.user_id IN (SELECT user_id FROM test) GROUP BY 1)""",
+                              """mq AS (
+  SELECT q.user_id, q.h, CASE WHEN r.hi = r.lo THEN 0.0 ELSE (q.t - r.lo) / (r.hi - r.lo) END AS mt, r.lo, r.hi
+  FROM hq q JOIN tr r USING (user_id))""", """mall AS (
+  SELECT a.user_id, a.item_id,
+         CASE WHEN EXISTS (SELECT 1 FROM train r WHERE r.user_id = a.user_id AND r.item_id = a.item_id) THEN 0.0
+              WHEN r.hi = r.lo THEN 0.0 ELSE (a.s - r.lo) / (r.hi - r.lo) END AS m
+  FROM allscores a JOIN tr r USING (user_id))""", """ranks AS (
+  SELECT q.user_id, q.h, 1 + (SELECT COUNT(*) FROM mall a WHERE a.user_id = q.user_id AND a.item_id <> q.h
+      AND (a.m > q.mt OR (a.m = q.mt AND a.item_id > q.h))) AS rank FROM mq q)""", """ks AS (
+  SELECT CAST(unnest([3, 5, 7, 9, 11, 13]) AS INTEGER) AS k)""") + f"""SELECT k, COUNT(*) AS n_labels,
+  ROUND(AVG(CASE WHEN rank <= k THEN 1.0 ELSE 0.0 END::DOUBLE), {ROUND}) AS hit_rate,
+  ROUND(AVG(CASE WHEN rank <= k THEN ln(2) / ln(rank + 1) ELSE 0.0 END), {ROUND}) AS ndcg
+FROM ranks, ks GROUP BY k"""
+    q["rmse_pairs"] = w(INTER, SPLIT, FACTORS) + f"""SELECT COUNT(*) AS n,
+  ROUND(SQRT(AVG(POW({DOT('u.f', 'i.f')} - t.rating, 2))), {ROUND}) AS rmse
+FROM test t JOIN uf u ON t.user_id = u.id JOIN itf i ON t.item_id = i.id"""
+    q["coverage_frequency"] = w(INTER, FACTORS, ALLSCORES, MASKED_TOP5, NAMES) + """SELECT f.item_id, n.package, f.freq
+FROM (SELECT item_id, COUNT(*) AS freq FROM masked_top5 GROUP BY 1) f LEFT JOIN names n USING (item_id)"""
+    q["coverage_share"] = w(INTER, FACTORS, ALLSCORES, MASKED_TOP5, """freq AS (
+  SELECT item_id, COUNT(*) AS freq FROM masked_top5 GROUP BY 1)""", """ranked AS (
+  SELECT freq, row_number() OVER (ORDER BY freq DESC, item_id DESC) AS r FROM freq)""", """tot AS (
+  SELECT COUNT(*) AS n, SUM(freq) AS total FROM freq)""") + f"""SELECT (SELECT COUNT(*) FROM itf) AS item_count,
+  CAST(n AS BIGINT) AS n_recommended_items, CAST(total AS BIGINT) AS n_recommendations,
+  ROUND(COALESCE((SELECT SUM(freq) FROM ranked WHERE r <= floor(n * CAST(0.05 AS DOUBLE))), 0) / total, {ROUND}) AS item_coverage_5,
+  ROUND(COALESCE((SELECT SUM(freq) FROM ranked WHERE r <= floor(n * CAST(0.2 AS DOUBLE))), 0) / total, {ROUND}) AS item_coverage_20,
+  ROUND(COALESCE((SELECT SUM(freq) FROM ranked WHERE r <= floor(n * CAST(0.5 AS DOUBLE))), 0) / total, {ROUND}) AS item_coverage_50
+FROM tot"""
+    q["top5_items"] = w(INTER, FACTORS, ALLSCORES, MASKED_TOP5, NAMES) + """SELECT
+  CAST(row_number() OVER (ORDER BY freq DESC, item_id DESC) AS INTEGER) AS rank, item_id, package, freq
+FROM (SELECT f.item_id, n.package, f.freq FROM (SELECT item_id, COUNT(*) AS freq FROM masked_top5 GROUP BY 1) f
+      LEFT JOIN names n USING (item_id)) ORDER BY freq DESC, item_id DESC LIMIT 5"""
+    q["seen_lists"] = w(INTER, NAMES) + """SELECT user_id, CAST(item_id // 1000 AS INTEGER) AS chunk, COUNT(*) AS n,
+  string_agg(COALESCE(n.package, CAST(item_id AS VARCHAR)), ',' ORDER BY item_id, COALESCE(n.package, CAST(item_id AS VARCHAR))) AS items
+FROM (SELECT DISTINCT user_id, item_id FROM inter) t LEFT JOIN names n USING (item_id) GROUP BY 1, 2"""
+    q["recommend_lookup"] = w(INTER, FACTORS, ALLSCORES, NAMES, """req AS (
+  SELECT DISTINCT CAST(CASE WHEN event_type = 'purchase' THEN 84300000000 + user_id ELSE user_id END AS BIGINT) AS request_key
+  FROM events WHERE event_type IN ('purchase', 'view'))""", """resolved AS (
+  SELECT r.request_key, CASE WHEN r.request_key > 100000000 THEN c.user_id ELSE CAST(r.request_key AS INTEGER) END AS user_id
+  FROM req r LEFT JOIN (SELECT CAST(c_custkey AS INTEGER) AS user_id, CAST(84300000000 + c_custkey AS BIGINT) AS msisdn
+                        FROM customer) c ON r.request_key = c.msisdn)""", """top AS (
+  SELECT * FROM (SELECT a.*, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, item_id ASC) AS rank
+      FROM allscores a WHERE a.user_id IN (SELECT user_id FROM resolved)
+        AND NOT EXISTS (SELECT 1 FROM inter t WHERE t.user_id = a.user_id AND t.item_id = a.item_id)) WHERE rank <= 5)""",
+                                  """lists AS (
+  SELECT t.user_id, string_agg(COALESCE(n.package, CAST(t.item_id AS VARCHAR)), ',' ORDER BY t.rank) AS package_recommend
+  FROM top t LEFT JOIN names n USING (item_id) GROUP BY 1)""", """owned AS (
+  SELECT user_id, COUNT(*) AS n_subscribed FROM inter GROUP BY 1)""") + """SELECT r.request_key, r.user_id,
+  COALESCE(l.package_recommend, '') AS package_recommend, CAST(COALESCE(o.n_subscribed, 0) AS BIGINT) AS n_subscribed
+FROM resolved r LEFT JOIN lists l USING (user_id) LEFT JOIN owned o USING (user_id)"""
+    negs = """cat AS (SELECT DISTINCT item_id FROM inter),
+negpairs AS (SELECT t.user_id, t.item_id AS h, c.item_id AS j FROM test t, cat c WHERE c.item_id <> t.item_id {extra})"""
+    tail = """SELECT t.user_id, t.item_id, CAST(COUNT(n.j) AS BIGINT) AS n_neg, MIN(n.j) AS min_neg, MAX(n.j) AS max_neg,
+  CAST(COALESCE(SUM(n.j), 0) AS BIGINT) AS sum_neg
+FROM test t LEFT JOIN negpairs n ON t.user_id = n.user_id AND t.item_id = n.h GROUP BY 1, 2"""
+    q["test_negatives_all"] = w(INTER, SPLIT, negs.format(extra="")) + tail
+    q["test_negatives_unseen"] = w(INTER, SPLIT, negs.format(
+        extra="AND NOT EXISTS (SELECT 1 FROM train r WHERE r.user_id = t.user_id AND r.item_id = c.item_id)")) + tail
+    q["train_negatives"] = w(INTER, SPLIT, TRAIN_NEG) + "SELECT user_id, item_id, draw, neg_item FROM negs"
+    q["log_loss"] = w(INTER, SPLIT, TRAIN_NEG, FACTORS, """rows_ AS (
+  SELECT user_id, item_id, 1 AS label FROM train UNION ALL SELECT user_id, neg_item, 0 FROM negs)""", f"""scored AS (
+  SELECT r.label, 1.0 / (1.0 + exp(-{DOT('u.f', 'i.f')})) AS p
+  FROM rows_ r JOIN uf u ON r.user_id = u.id JOIN itf i ON r.item_id = i.id)""") + f"""SELECT COUNT(*) AS n,
+  ROUND(AVG(-(label * ln(least(greatest(p, 1e-7), 1 - 1e-7)) + (1 - label) * ln(1 - least(greatest(p, 1e-7), 1 - 1e-7)))),
+        {ROUND}) AS log_loss
+FROM scored"""
     return q
