@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recoflow import constants as C
-from recoflow.operators import dims, ingest, interactions, negatives, report, split
+from recoflow.operators import dims, ingest, interactions, models, negatives, report, split
 from recoflow.operators import metrics as M
 from recoflow.operators import recommend as R
 from recoflow.operators import scoring as S
@@ -219,6 +219,88 @@ def q_log_loss(spark, sf_dir):
     return M.log_loss(scored).select("n", _r("log_loss"))
 
 
+# ---- models (rows-only: fitted factors have no SQL equivalent) ------------------------
+
+ALS_ITERATIONS = 10   # smoke-scale default for the catalogue; library default is 20
+FM_ITERATIONS = 10
+
+
+def _als_split(spark, sf_dir):
+    inter = T.interactions(spark, sf_dir)
+    train, test = split.leave_one_out(inter)
+    return inter, train, test
+
+
+def q_als_recommend(spark, sf_dir):
+    inter, train, _ = _als_split(spark, sf_dir)
+    model = models.fit_als(train, iterations=ALS_ITERATIONS)
+    return models.als_recommend(model, inter, 5).select("user_id", "rank", "item_id", _r("score"))
+
+
+def q_als_grid(spark, sf_dir):
+    _, train, test = _als_split(spark, sf_dir)
+    _, grid = models.als_grid(train, test, k=5, iterations=(ALS_ITERATIONS,))
+    return grid
+
+
+def q_als_report(spark, sf_dir):
+    """Per requested key, {package_subscribed count, package_recommended list} as JSON."""
+    inter, train, _ = _als_split(spark, sf_dir)
+    model = models.fit_als(train, iterations=ALS_ITERATIONS)
+    req = report.resolve_user_keys(request_keys(spark, sf_dir), T.user_names(spark, sf_dir))
+    wanted = req.select(F.col("user_id").alias("id")).where(F.col("id").isNotNull()).distinct()
+    recs = models.als_recommend(model, inter, 5, users=wanted)
+    names = T.item_names(spark, sf_dir)
+    lists = (recs.join(names, "item_id", "left").groupBy("user_id")
+             .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "package"))), lambda s: s["package"])
+                  .alias("package_recommended")))
+    owned = inter.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_subscribed"))
+    return (req.join(lists, "user_id", "left").join(owned, "user_id", "left")
+            .select("request_key", F.to_json(F.struct(
+                F.coalesce("n_subscribed", F.lit(0)).alias("package_subscribed_count"),
+                F.coalesce("package_recommended", F.array().cast("array<string>")).alias("package_recommended")))
+                .alias("result")))
+
+
+def q_als_metrics_by_k(spark, sf_dir):
+    """R4 + A12 with the confidence-weighted ALS: the k sweep from one fit."""
+    _, train, test = _als_split(spark, sf_dir)
+    model = models.fit_confidence_als(train, iterations=ALS_ITERATIONS)
+    uf, itf = models.als_factors(model)
+    ranks = R.masked_label_ranks(uf, itf, test, train)
+    return M.metrics_from_ranks(ranks)
+
+
+def q_als_coverage(spark, sf_dir):
+    """Coverage of the confidence-weighted ALS's top-5 lists over all users."""
+    _, train, _ = _als_split(spark, sf_dir)
+    model = models.fit_confidence_als(train, iterations=ALS_ITERATIONS)
+    uf, itf = models.als_factors(model)
+    recs = R.recommend_masked(uf, itf, train, C.TOP_ITEMS_REPORTED)
+    return report.coverage_share(report.item_frequency(recs), itf.count())
+
+
+def q_pointwise_fm(spark, sf_dir):
+    """M10 + A16: FM on positives + 2 hashed negatives; test pairs scored, log loss on the training rows."""
+    _, train, test = _als_split(spark, sf_dir)
+    negs = negatives.sample_train_negatives(train, n=C.POINTWISE_NEGATIVES, seed=7)
+    rows = models.pointwise_training_set(train, negs).checkpoint(eager=True)
+    model = models.fit_pointwise(rows, iterations=FM_ITERATIONS)
+    loss = M.log_loss(models.pointwise_scores(model, rows)).first()["log_loss"]
+    scored = models.pointwise_scores(model, test.select("user_id", "item_id", F.lit(1.0).alias("label")))
+    return scored.select("user_id", "item_id", "label", _r("prob"), F.lit(loss).alias("train_log_loss"))
+
+
+def q_pointwise_heldout(spark, sf_dir):
+    """M6 with the FM: held-out rank among all items (augmented factors), HR/NDCG@10."""
+    _, train, test = _als_split(spark, sf_dir)
+    negs = negatives.sample_train_negatives(train, n=C.POINTWISE_NEGATIVES, seed=7)
+    rows = models.pointwise_training_set(train, negs).checkpoint(eager=True)
+    model = models.fit_pointwise(rows, iterations=FM_ITERATIONS)
+    uf, itf = models.pointwise_factors(model)
+    return R.heldout_ranks(uf, itf, test).select("user_id", "item_id", "heldout_rank", "hit", _r("ndcg"))
+
+
 def catalogue() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "raw_standardize": q_raw_standardize,
@@ -249,4 +331,11 @@ def catalogue() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "test_negatives_unseen": q_test_negatives_unseen,
         "train_negatives": q_train_negatives,
         "log_loss": q_log_loss,
+        "als_recommend": q_als_recommend,
+        "als_grid": q_als_grid,
+        "als_report": q_als_report,
+        "als_metrics_by_k": q_als_metrics_by_k,
+        "als_coverage": q_als_coverage,
+        "pointwise_fm": q_pointwise_fm,
+        "pointwise_heldout": q_pointwise_heldout,
     }
