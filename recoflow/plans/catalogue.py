@@ -15,7 +15,9 @@ from recoflow.operators import dims, ingest, interactions, models, negatives, re
 from recoflow.operators import metrics as M
 from recoflow.operators import recommend as R
 from recoflow.operators import scoring as S
+from recoflow.session import scratch_path
 from recoflow.sources import tables as T
+from recoflow.streaming import envelope, stream
 
 ROUND = 6
 
@@ -301,6 +303,40 @@ def q_pointwise_heldout(spark, sf_dir):
     return R.heldout_ranks(uf, itf, test).select("user_id", "item_id", "heldout_rank", "hit", _r("ndcg"))
 
 
+# ---- streaming ------------------------------------------------------------------------
+
+def q_stream_requests(spark, sf_dir):
+    """ST1 + F10 + P16 + P17 on the request topic's records (the stream's per-batch logic)."""
+    decoded = envelope.decode(T.request_records(spark, sf_dir), keep=("key",)).withColumn(
+        "session_id", F.coalesce("session_id", F.col("key").cast("string")))
+    routed = stream.route(decoded)
+    return routed.select("session_id", "process_id", "handler", F.col("msisdns")[0].alias("request_key"), "num_items")
+
+
+def run_request_stream(spark, sf_dir, files: int = 3):
+    """Write the request records as files, run the stream over them to completion; returns the output folder."""
+    src, out, ckpt = scratch_path(spark, "requests"), scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
+    T.request_records(spark, sf_dir).repartition(files).write.parquet(src)
+    rec = stream.FactorRecommender(T.user_factors(spark, sf_dir), T.item_factors(spark, sf_dir),
+                                   T.interactions(spark, sf_dir), T.user_names(spark, sf_dir),
+                                   T.item_names(spark, sf_dir))
+    q = stream.start_request_stream(spark, src, out, ckpt, rec, files_per_batch=1)
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return out
+
+
+def q_stream_status(spark, sf_dir):
+    out = run_request_stream(spark, sf_dir)
+    return spark.read.parquet(f"{out}/status").select("session_id", "status", "seq")
+
+
+def q_stream_response(spark, sf_dir):
+    out = run_request_stream(spark, sf_dir)
+    return spark.read.parquet(f"{out}/response").select("session_id", "request_key", "user_id", "package_recommend")
+
+
 def catalogue() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "raw_standardize": q_raw_standardize,
@@ -338,4 +374,7 @@ def catalogue() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "als_coverage": q_als_coverage,
         "pointwise_fm": q_pointwise_fm,
         "pointwise_heldout": q_pointwise_heldout,
+        "stream_requests": q_stream_requests,
+        "stream_status": q_stream_status,
+        "stream_response": q_stream_response,
     }

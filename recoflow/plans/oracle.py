@@ -245,4 +245,25 @@ FROM test t LEFT JOIN negpairs n ON t.user_id = n.user_id AND t.item_id = n.h GR
   ROUND(AVG(-(label * ln(least(greatest(p, 1e-7), 1 - 1e-7)) + (1 - label) * ln(1 - least(greatest(p, 1e-7), 1 - 1e-7)))),
         {ROUND}) AS log_loss
 FROM scored"""
+    q["stream_requests"] = """SELECT CAST(event_id AS VARCHAR) AS session_id,
+  CASE event_type WHEN 'error' THEN NULL WHEN 'signup' THEN 'recommender_training'
+       WHEN 'view' THEN 'recommender_evaluate' ELSE 'recommender_predict' END AS process_id,
+  CASE event_type WHEN 'error' THEN 'quarantine' WHEN 'signup' THEN 'train' WHEN 'view' THEN 'ignore'
+       WHEN 'click' THEN 'quarantine' ELSE 'predict' END AS handler,
+  CASE WHEN event_type = 'purchase' THEN CAST(84300000000 + user_id AS BIGINT) END AS request_key,
+  CASE WHEN event_type IN ('purchase', 'click', 'signup') THEN 5 END AS num_items
+FROM events"""
+    q["stream_status"] = """SELECT CAST(e.event_id AS VARCHAR) AS session_id, s.status, s.seq
+FROM events e, (VALUES ('ACCEPTED', 1), ('RUNNING', 2), ('FINISHED', 3)) s(status, seq)
+WHERE e.event_type = 'purchase'"""
+    q["stream_response"] = w(INTER, FACTORS, ALLSCORES, NAMES, """req AS (
+  SELECT CAST(event_id AS VARCHAR) AS session_id, CAST(84300000000 + user_id AS BIGINT) AS request_key,
+         CAST(user_id AS INTEGER) AS user_id FROM events WHERE event_type = 'purchase')""", """top AS (
+  SELECT * FROM (SELECT a.*, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, item_id ASC) AS rank
+      FROM allscores a WHERE a.user_id IN (SELECT user_id FROM req)
+        AND NOT EXISTS (SELECT 1 FROM inter t WHERE t.user_id = a.user_id AND t.item_id = a.item_id)) WHERE rank <= 5)""",
+                                 """lists AS (
+  SELECT t.user_id, string_agg(COALESCE(n.package, CAST(t.item_id AS VARCHAR)), ',' ORDER BY t.rank) AS package_recommend
+  FROM top t LEFT JOIN names n USING (item_id) GROUP BY 1)""") + """SELECT r.session_id, r.request_key, r.user_id,
+  COALESCE(l.package_recommend, '') AS package_recommend FROM req r LEFT JOIN lists l USING (user_id)"""
     return q

@@ -138,3 +138,43 @@ def item_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where(F.col("vec_id") >= USER_VECTORS).select(
         (F.col("vec_id") - USER_VECTORS).cast("int").alias("id"),
         F.col("embedding").cast("array<double>").alias("features"))
+
+
+# ---- request envelopes ---------------------------------------------------------------
+
+def request_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request envelope per event (ST8 vocabulary).
+
+    purchase → predict request for the customer's msisdn; signup → training
+    request; view → another process (ignored); click → predict request whose
+    content lacks the msisdn list (quarantined); error → payload truncated
+    after encoding (undecodable, quarantined).
+    """
+    from recoflow import constants as C
+    ev = table(spark, sf_dir, "events")
+    et = F.col("event_type")
+    msisdn = (F.lit(MSISDN_BASE) + F.col("user_id")).cast("string")
+    k = F.lit("5")
+    content = (F.when(et == "purchase", F.create_map(F.lit(C.CONTENT_KEY_MSISDN_LIST), F.concat(F.lit("["), msisdn, F.lit("]")),
+                                                     F.lit(C.CONTENT_KEY_NUM_ITEMS), k))
+               .when(et == "click", F.create_map(F.lit("user"), msisdn, F.lit(C.CONTENT_KEY_NUM_ITEMS), k))
+               .when(et == "signup", F.create_map(F.lit(C.CONTENT_KEY_NUM_ITEMS), k, F.lit("evaluation_metric"), F.lit("ndcg")))
+               .otherwise(F.create_map().cast("map<string,string>")))
+    process = (F.when(et == "signup", F.lit(C.PROCESS_ID_RECOMMENDER_TRAINING))
+               .when(et == "view", F.lit(C.PROCESS_ID_RECOMMENDER_EVALUATE))
+               .otherwise(F.lit(C.PROCESS_ID_RECOMMENDER_PREDICT)))
+    return ev.select(
+        F.lit(C.MESSAGE_TYPE_OFFLINE_REQUEST).alias("message_type"), F.lit(C.GROUP_ID_RECOMMENDER).alias("group_id"),
+        process.alias("process_id"), F.col("event_id").cast("string").alias("session_id"),
+        F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("created_time"),
+        F.lit(0).cast("int").alias("message_number"), F.lit(False).alias("is_finished"),
+        F.concat(F.lit("event:"), et).alias("description"), content.alias("content"), et.alias("event_type"))
+
+
+def request_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, value) request records as they would sit on the request topic."""
+    from recoflow.streaming.envelope import encode
+    env = request_envelopes(spark, sf_dir)
+    rec = encode(env, keep=("event_type",))
+    value = F.when(F.col("event_type") == "error", F.substring("value", 1, 3)).otherwise(F.col("value"))
+    return rec.select("key", value.alias("value"))
