@@ -117,7 +117,7 @@ draws AS (
   SELECT e.user_id, e.item_id, r.t,
          CAST(CAST(('0x' || substr(md5(CAST(e.user_id AS VARCHAR) || '-' || CAST(e.item_id AS VARCHAR) || '-'
               || CAST(r.t AS VARCHAR) || '-7'), 1, 8)) AS BIGINT) % (SELECT n FROM ncat) AS INTEGER) AS idx
-  FROM eligible e, range(1, 5) r(t)),
+  FROM eligible e, range(1, 33) r(t)),
 negs AS (
   SELECT * FROM (
     SELECT d.user_id, d.item_id, c.item_id AS neg_item,
