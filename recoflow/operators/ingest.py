@@ -29,10 +29,15 @@ def clean_offers(parsed: DataFrame) -> DataFrame:
 
 
 def standardize_subscribers(lines: DataFrame, value_col: str = "value") -> DataFrame:
-    """L1: raw lines → (msisdn bigint, package string), one row per purchased offer."""
-    cleaned = clean_offers(parse_lines(lines, value_col))
-    return cleaned.select(F.col("msisdn").try_cast("bigint").alias("msisdn"),
-                          F.explode("offers").alias("package"))
+    """L1: raw lines → (msisdn bigint, package string), one row per purchased offer.
+
+    F2 needs no filter here: exploding an emptied offer list yields no rows
+    (an explicit filter would be pushed below the projection by Catalyst and
+    make it clean every line twice).
+    """
+    parsed = parse_lines(lines, value_col)
+    return parsed.select(rewrite_msisdn("msisdn").try_cast("bigint").alias("msisdn"),
+                         F.explode(F.filter(F.transform("offers", strip_brand_tokens), offer_is_kept)).alias("package"))
 
 
 def offers_per_msisdn(cleaned: DataFrame) -> DataFrame:

@@ -66,6 +66,11 @@ def q_price_weighted_ratings(spark, sf_dir):
 
 # ---- interaction statistics and split ---------------------------------------------
 
+def _inter(spark, sf_dir):
+    """Interaction triples as a written hand-off table, for flows that read them several times."""
+    return T.interactions(spark, sf_dir).checkpoint(eager=True)
+
+
 def q_dataset_counts(spark, sf_dir):
     return interactions.dataset_counts(T.interactions(spark, sf_dir))
 
@@ -88,7 +93,7 @@ def q_top_rated_item(spark, sf_dir):
 
 
 def q_popularity_baseline(spark, sf_dir):
-    train, test = split.leave_one_out(T.interactions(spark, sf_dir))
+    train, test = split.leave_one_out(_inter(spark, sf_dir))
     return M.popularity_baseline(train, test)
 
 
@@ -110,13 +115,13 @@ def q_score_pairs(spark, sf_dir):
 
 def q_recommend_unseen_top5(spark, sf_dir):
     uf, itf = _factors(spark, sf_dir)
-    recs = R.recommend_unseen(uf, itf, T.interactions(spark, sf_dir), 5)
+    recs = R.recommend_unseen(uf, itf, _inter(spark, sf_dir), 5)
     return recs.select("user_id", "rank", "item_id", _r("score"))
 
 
 def _masked_top5(spark, sf_dir):
     uf, itf = _factors(spark, sf_dir)
-    return R.recommend_masked(uf, itf, T.interactions(spark, sf_dir), C.TOP_ITEMS_REPORTED)
+    return R.recommend_masked(uf, itf, _inter(spark, sf_dir), C.TOP_ITEMS_REPORTED)
 
 
 def q_minmax_masked_top5(spark, sf_dir):
@@ -125,26 +130,26 @@ def q_minmax_masked_top5(spark, sf_dir):
 
 def q_heldout_rank(spark, sf_dir):
     uf, itf = _factors(spark, sf_dir)
-    _, test = split.leave_one_out(T.interactions(spark, sf_dir))
+    _, test = split.leave_one_out(_inter(spark, sf_dir))
     return R.heldout_ranks(uf, itf, test).select("user_id", "item_id", "heldout_rank", "hit", _r("ndcg"))
 
 
 def q_heldout_rank_unseen(spark, sf_dir):
     uf, itf = _factors(spark, sf_dir)
-    train, test = split.leave_one_out(T.interactions(spark, sf_dir))
+    train, test = split.leave_one_out(_inter(spark, sf_dir))
     return R.heldout_ranks(uf, itf, test, seen=train).select("user_id", "item_id", "heldout_rank", "hit", _r("ndcg"))
 
 
 def q_metrics_by_k(spark, sf_dir):
     uf, itf = _factors(spark, sf_dir)
-    train, test = split.leave_one_out(T.interactions(spark, sf_dir))
+    train, test = split.leave_one_out(_inter(spark, sf_dir))
     ranks = R.masked_label_ranks(uf, itf, test, train)
     return M.metrics_from_ranks(ranks).select("k", "n_labels", _r("hit_rate"), _r("ndcg"))
 
 
 def q_rmse_pairs(spark, sf_dir):
     uf, itf = _factors(spark, sf_dir)
-    _, test = split.leave_one_out(T.interactions(spark, sf_dir))
+    _, test = split.leave_one_out(_inter(spark, sf_dir))
     return M.rmse(S.score_pairs(test, uf, itf)).select("n", _r("rmse"))
 
 
@@ -176,7 +181,7 @@ def request_keys(spark, sf_dir):
 
 def q_recommend_lookup(spark, sf_dir):
     uf, itf = _factors(spark, sf_dir)
-    inter = T.interactions(spark, sf_dir)
+    inter = _inter(spark, sf_dir)
     names = T.item_names(spark, sf_dir)
     req = report.resolve_user_keys(request_keys(spark, sf_dir), T.user_names(spark, sf_dir))
     wanted = uf.join(req.select(F.col("user_id").alias("id")).where(F.col("id").isNotNull()).distinct(), "id", "left_semi")
@@ -190,7 +195,7 @@ def q_recommend_lookup(spark, sf_dir):
 # ---- negatives -------------------------------------------------------------------------
 
 def _negatives_summary(spark, sf_dir, mode):
-    inter = T.interactions(spark, sf_dir)
+    inter = _inter(spark, sf_dir)
     train, test = split.leave_one_out(inter)
     return negatives.test_negative_summary(test, train, inter.select("item_id").distinct(), mode)
 
@@ -204,7 +209,7 @@ def q_test_negatives_unseen(spark, sf_dir):
 
 
 def _train_negatives(spark, sf_dir):
-    train, _ = split.leave_one_out(T.interactions(spark, sf_dir))
+    train, _ = split.leave_one_out(_inter(spark, sf_dir))
     return train, negatives.sample_train_negatives(train, n=C.POINTWISE_NEGATIVES, seed=7)
 
 
@@ -228,7 +233,7 @@ FM_ITERATIONS = 10
 
 
 def _als_split(spark, sf_dir):
-    inter = T.interactions(spark, sf_dir)
+    inter = _inter(spark, sf_dir)
     train, test = split.leave_one_out(inter)
     return inter, train, test
 
