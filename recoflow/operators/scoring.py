@@ -40,6 +40,8 @@ from recoflow.functions.columns import dot
 MAX_BROADCAST_BYTES = 256 << 20
 QUERY_TILE = 256
 ITEM_TILE = 8192
+CELLS_PER_TASK = 1 << 26      # query rows × items scored by one scan task
+MAX_SCAN_TASKS = 1 << 17
 
 
 # ---- pairs ---------------------------------------------------------------------
@@ -100,7 +102,7 @@ def _run_kernel(q: pd.DataFrame, ids: np.ndarray, V: np.ndarray, spec: _Spec) ->
             h = part["h"].to_numpy(np.int64) if spec.count else None
         else:
             kf = np.minimum(part["k_fetch"].to_numpy(np.int64), n)
-            cand_ids, cand_sc = [[] for _ in range(b - a)], [[] for _ in range(b - a)]
+            c_rows, c_ids, c_sc = [], [], []
         for c in range(0, n, ITEM_TILE):
             e = min(c + ITEM_TILE, n)
             tid = ids[c:e]
@@ -119,36 +121,37 @@ def _run_kernel(q: pd.DataFrame, ids: np.ndarray, V: np.ndarray, spec: _Spec) ->
                         beats = ((S > t[:, None]) | ((S == t[:, None]) & (tid[None, :] > h[:, None]))) & other
                     cnt += beats.sum(axis=1)
             else:
-                for r in range(b - a):
-                    kk = int(kf[r])
-                    if kk <= 0:
-                        continue
-                    row = S[r]
-                    if kk < len(row):
-                        thr = np.partition(row, len(row) - kk)[len(row) - kk]
-                        sel = np.nonzero(row >= thr)[0]
-                    else:
-                        sel = np.arange(len(row))
-                    cand_ids[r].append(tid[sel])
-                    cand_sc[r].append(row[sel])
+                # every row keeps its best kmax of this tile (ties at the cut all kept), vectorised
+                kmax = int(min(kf.max(initial=0), e - c))
+                if kmax <= 0:
+                    continue
+                if kmax < e - c:
+                    thr = np.partition(S, (e - c) - kmax, axis=1)[:, (e - c) - kmax]
+                    rr, cc = np.nonzero(S >= thr[:, None])
+                else:
+                    rr, cc = np.nonzero(np.ones_like(S, dtype=bool))
+                c_rows.append(rr)
+                c_ids.append(tid[cc])
+                c_sc.append(S[rr, cc])
         if spec.op == "stats":
             res = part[spec.keys].copy()
             res["lo"] = np.where(np.isfinite(mn), mn, np.nan)
             res["hi"] = np.where(np.isfinite(mx), mx, np.nan)
             res["cnt"] = cnt
             out.append(res)
-        else:
-            for r in range(b - a):
-                if not cand_ids[r]:
-                    continue
-                ci = np.concatenate(cand_ids[r])
-                cs = np.concatenate(cand_sc[r])
-                sec = ci if spec.tie == "asc" else -ci.astype(np.int64)
-                order = np.lexsort((sec, -cs))[: int(kf[r])]
-                res = pd.DataFrame({k: np.repeat(part[k].iloc[r], len(order)) for k in spec.keys})
-                res["item_id"] = ci[order].astype(np.int32)
-                res["score"] = cs[order]
-                out.append(res)
+        elif c_rows:
+            rr, ci, cs = np.concatenate(c_rows), np.concatenate(c_ids), np.concatenate(c_sc)
+            sec = ci if spec.tie == "asc" else -ci.astype(np.int64)
+            order = np.lexsort((sec, -cs, rr))
+            rr, ci, cs = rr[order], ci[order], cs[order]
+            starts = np.searchsorted(rr, np.arange(b - a))
+            pos = np.arange(len(rr)) - starts[rr]
+            keep = pos < kf[rr]
+            rr, ci, cs = rr[keep], ci[keep], cs[keep]
+            res = part[spec.keys].iloc[rr].reset_index(drop=True)
+            res["item_id"] = ci.astype(np.int32)
+            res["score"] = cs
+            out.append(res)
     if not out:
         return None
     return pd.concat(out, ignore_index=True)
@@ -185,6 +188,12 @@ def _scan(queries: DataFrame, items: DataFrame, spec: _Spec, max_broadcast_bytes
         ids = pdf["id"].to_numpy()[order].astype(np.int64)
         V = _stack(pdf["features"].values[order])
         bc = spark.sparkContext.broadcast((ids, V))
+        # the scan's cost is rows × items, which input bytes do not show: AQE would coalesce a
+        # small factor table into one task, so the partition count is set from the work instead
+        n_q = queries.count()
+        parts = max(1, min(MAX_SCAN_TASKS, math.ceil(n_q * n_items / CELLS_PER_TASK)),
+                    min(spark.sparkContext.defaultParallelism, n_q))
+        queries = queries.repartition(parts, *spec.keys)
 
         def scan_batches(batches):
             b_ids, b_V = bc.value
