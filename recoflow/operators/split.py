@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recoflow.session import materialize
+
 MIN_USER_ROWS = 3   # strictly more rows than this to give a test row
 MIN_ITEM_ROWS = 1   # the held-out item must have strictly more rows than this
 
@@ -22,9 +24,11 @@ def test_pairs(triples: DataFrame) -> DataFrame:
                   .where(F.col("n") > MIN_USER_ROWS).select("user_id"))
     shared_items = (triples.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
                     .where(F.col("n") > MIN_ITEM_ROWS).select("item_id"))
+    # (user, item) is unique, so min(item) and the rating at that item describe one row;
+    # both are fixed-width aggregates and stay in a hash aggregate
     first = (triples.join(busy_users, "user_id", "left_semi")
-             .groupBy("user_id").agg(F.min(F.struct("item_id", "rating")).alias("f"))
-             .select("user_id", F.col("f.item_id").alias("item_id"), F.col("f.rating").alias("rating")))
+             .groupBy("user_id").agg(F.min("item_id").alias("item_id"),
+                                     F.min_by("rating", "item_id").alias("rating")))
     return first.join(shared_items, "item_id", "left_semi").select("user_id", "item_id", "rating")
 
 
@@ -33,7 +37,13 @@ def train_pairs(triples: DataFrame, test: DataFrame) -> DataFrame:
     return triples.join(test.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
 
 
-def leave_one_out(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(train, test)."""
+def leave_one_out(triples: DataFrame, write_test: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(train, test).
+
+    The test pairs (at most one row per user) are written once, as the
+    original hands them off in a file; train and every later use read them.
+    """
     test = test_pairs(triples)
+    if write_test:
+        test = materialize(test)
     return train_pairs(triples, test), test

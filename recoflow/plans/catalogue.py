@@ -15,7 +15,7 @@ from recoflow.operators import dims, ingest, interactions, models, negatives, re
 from recoflow.operators import metrics as M
 from recoflow.operators import recommend as R
 from recoflow.operators import scoring as S
-from recoflow.session import scratch_path
+from recoflow.session import materialize, scratch_path
 from recoflow.sources import tables as T
 from recoflow.streaming import envelope, stream
 
@@ -30,7 +30,7 @@ def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _etl(spark: SparkSession, sf_dir: str):
     # the cleaned subscriptions are the ETL's hand-off table: written once, read three times
-    subs = subscriptions(spark, sf_dir).checkpoint(eager=True)
+    subs = materialize(subscriptions(spark, sf_dir))
     return subs, dims.user_dimension(subs), dims.item_dimension(subs)
 
 
@@ -68,7 +68,7 @@ def q_price_weighted_ratings(spark, sf_dir):
 
 def _inter(spark, sf_dir):
     """Interaction triples as a written hand-off table, for flows that read them several times."""
-    return T.interactions(spark, sf_dir).checkpoint(eager=True)
+    return materialize(T.interactions(spark, sf_dir))
 
 
 def q_dataset_counts(spark, sf_dir):
@@ -291,7 +291,7 @@ def q_pointwise_fm(spark, sf_dir):
     """M10 + A16: FM on positives + 2 hashed negatives; test pairs scored, log loss on the training rows."""
     _, train, test = _als_split(spark, sf_dir)
     negs = negatives.sample_train_negatives(train, n=C.POINTWISE_NEGATIVES, seed=7)
-    rows = models.pointwise_training_set(train, negs).checkpoint(eager=True)
+    rows = materialize(models.pointwise_training_set(train, negs))
     model = models.fit_pointwise(rows, iterations=FM_ITERATIONS)
     loss = M.log_loss(models.pointwise_scores(model, rows)).first()["log_loss"]
     scored = models.pointwise_scores(model, test.select("user_id", "item_id", F.lit(1.0).alias("label")))
@@ -302,7 +302,7 @@ def q_pointwise_heldout(spark, sf_dir):
     """M6 with the FM: held-out rank among all items (augmented factors), HR/NDCG@10."""
     _, train, test = _als_split(spark, sf_dir)
     negs = negatives.sample_train_negatives(train, n=C.POINTWISE_NEGATIVES, seed=7)
-    rows = models.pointwise_training_set(train, negs).checkpoint(eager=True)
+    rows = materialize(models.pointwise_training_set(train, negs))
     model = models.fit_pointwise(rows, iterations=FM_ITERATIONS)
     uf, itf = models.pointwise_factors(model)
     return R.heldout_ranks(uf, itf, test).select("user_id", "item_id", "heldout_rank", "hit", _r("ndcg"))

@@ -62,3 +62,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint root for a written table."""
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df):
+    """Cut lineage with a reliable checkpoint in the shared folder (never a local one)."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
