@@ -213,7 +213,10 @@ def _scan(queries: DataFrame, items: DataFrame, spec: _Spec, max_broadcast_bytes
     iblocks = (items.withColumn("_ib", F.pmod(F.xxhash64("id"), F.lit(n_ib)))
                .groupBy("_ib").agg(F.collect_list(F.struct("id", "features")).alias("_i"))
                .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1)))))
-    pairs = qblocks.join(iblocks, "_qb").select("_q", "_i")
+    # one block pair per task (hash on both block numbers): an Arrow batch then holds one or two
+    # pairs whatever the session's batch settings, and the scan's parallelism follows the work
+    n_pairs = max(1, min(MAX_SCAN_TASKS, n_qb * n_ib))
+    pairs = qblocks.join(iblocks, "_qb").repartition(n_pairs, "_qb", "_ib").select("_q", "_i")
 
     def scan_pairs(batches):
         for pdf in batches:

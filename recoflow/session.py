@@ -23,6 +23,7 @@ def build_session(master: str | None = None, app: str = "recoflow",
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
         .config("spark.driver.memory", "16g")
         .config("spark.ui.showConsoleProgress", "false")
     )
