@@ -84,6 +84,15 @@ def q_split_train(spark, sf_dir):
     return train
 
 
+def q_split_test_full(spark, sf_dir):
+    return split.test_pairs(T.interactions(spark, sf_dir))
+
+
+def q_split_train_full(spark, sf_dir):
+    train, _ = split.leave_one_out(_inter(spark, sf_dir))
+    return train
+
+
 def q_item_popularity(spark, sf_dir):
     return M.item_popularity(T.interactions(spark, sf_dir), T.item_names(spark, sf_dir))
 
@@ -353,6 +362,8 @@ def catalogue() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dataset_counts": q_dataset_counts,
         "split_test": q_split_test,
         "split_train": q_split_train,
+        "split_test_full": q_split_test_full,
+        "split_train_full": q_split_train_full,
         "item_popularity": q_item_popularity,
         "top_rated_item": q_top_rated_item,
         "popularity_baseline_ndcg": q_popularity_baseline,

@@ -57,7 +57,7 @@ OFFERS = """offers AS (
          CAST(p_type = 'ECONOMY' AS INTEGER) AS Voice, CAST(p_type <> 'ECONOMY' AS INTEGER) AS Data,
          CAST(p_type = 'PROMO' AS INTEGER) AS SMS, CAST(p_size * 1024 AS INTEGER) AS volumnData,
          CAST(0 AS INTEGER) AS numSMS, CAST(0 AS INTEGER) AS numMinutes
-  FROM part WHERE p_partkey % 9 <> 4)"""
+  FROM part WHERE p_size <= 45)"""
 
 ITEM_INFO = """item_info AS (
   SELECT i.item_id, i.package, o.cycle, o.Price, o.Voice, o.Data, o.SMS, o.volumnData, o.numSMS, o.numMinutes
@@ -148,6 +148,8 @@ FROM weighted, bounds"""
   COUNT(DISTINCT item_id) AS n_items FROM inter"""
     q["split_test"] = w(INTER_Q1, SPLIT) + "SELECT user_id, item_id, rating FROM test"
     q["split_train"] = w(INTER_Q1, SPLIT) + "SELECT user_id, item_id, rating FROM train"
+    q["split_test_full"] = w(INTER, SPLIT) + "SELECT user_id, item_id, rating FROM test"
+    q["split_train_full"] = w(INTER, SPLIT) + "SELECT user_id, item_id, rating FROM train"
     q["item_popularity"] = w(INTER) + """SELECT i.item_id, p.p_name AS package, i.n_cells
 FROM (SELECT item_id, COUNT(*) AS n_cells FROM inter WHERE rating <> 0 GROUP BY 1) i
 LEFT JOIN part p ON i.item_id = CAST(p.p_partkey AS INTEGER)"""

@@ -94,10 +94,10 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def offer_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offer table in the shape ``package,cycle,Price,Voice,Data,SMS,volumnData,numSMS,numMinutes``.
 
-    Parts whose key is 4 mod 9 have no attribute row (their price stays NULL).
+    Oversized parts (``p_size > 45``) have no offer sheet, so their price stays NULL.
     """
     part = table(spark, sf_dir, "part")
-    return (part.where(F.pmod(F.col("p_partkey"), 9) != 4)
+    return (part.where(F.col("p_size") <= 45)
             .select(F.concat(F.lit("PKG"), F.col("p_partkey").cast("string")).alias("package"),
                     F.lit(30).alias("cycle"),
                     F.col("p_retailprice").alias("Price"),
