@@ -14,7 +14,15 @@ from pyspark.sql import functions as F
 
 from recoflow import constants as C
 from recoflow.functions.columns import dot, hit_at, minmax_scaled, ndcg_at
-from recoflow.operators.scoring import score_stats, top_k_per_key, topk_candidates, user_score_range
+from recoflow.operators.scoring import (MAX_BROADCAST_BYTES, ItemMatrix, item_frame, score_stats, top_k_per_key,
+                                       topk_candidates, user_score_range)
+
+
+def _prepared(items, kw: dict):
+    """The item side, size-checked (and broadcast when it fits) once for all scans of one call."""
+    if isinstance(items, ItemMatrix):
+        return items
+    return ItemMatrix(items, kw.get("max_broadcast_bytes", MAX_BROADCAST_BYTES))
 
 
 def _seen_counts(seen: DataFrame) -> DataFrame:
@@ -43,13 +51,14 @@ def recommend_masked(users: DataFrame, items: DataFrame, seen: DataFrame, k: int
     top k by (masked desc, item id desc). Seen items can appear when fewer than k
     unseen items score above 0 — the masking semantics, kept exactly.
     """
+    items = _prepared(items, kw)
     rng = user_score_range(users, items, **kw)
     q = _with_fetch(users, seen, k).join(rng, "user_id")
     cands = topk_candidates(q, items, ["user_id"], tie="desc", scaled=True, **kw)
     unseen = cands.join(seen.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
     # seen items that are in the catalogue all score 0; only the k highest ids can matter
     seen_known = (seen.select("user_id", "item_id")
-                  .join(items.select(F.col("id").alias("item_id")), "item_id", "left_semi")
+                  .join(item_frame(items).select(F.col("id").alias("item_id")), "item_id", "left_semi")
                   .join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi"))
     seen_top = top_k_per_key(seen_known, ["user_id"], [F.desc("item_id")], k, "_r").drop("_r") \
         .withColumn("score", F.lit(0.0))
@@ -58,10 +67,10 @@ def recommend_masked(users: DataFrame, items: DataFrame, seen: DataFrame, k: int
     return top.select("user_id", "rank", "item_id", "score")
 
 
-def _label_queries(users: DataFrame, items: DataFrame, labels: DataFrame) -> DataFrame:
+def _label_queries(users: DataFrame, items, labels: DataFrame) -> DataFrame:
     """(user_id, item_id=h, features, t=score of the labelled pair); unknown ids drop."""
     u = users.select(F.col("id").alias("user_id"), F.col("features"))
-    i = items.select(F.col("id").alias("item_id"), F.col("features").alias("_if"))
+    i = item_frame(items).select(F.col("id").alias("item_id"), F.col("features").alias("_if"))
     return (labels.select("user_id", "item_id").join(u, "user_id").join(i, "item_id")
             .withColumn("t", dot("features", "_if")).drop("_if")
             .withColumn("h", F.col("item_id")))
@@ -84,7 +93,7 @@ def heldout_ranks(users: DataFrame, items: DataFrame, labels: DataFrame, seen: D
         corr = (seen.select("user_id", F.col("item_id").alias("j"))
                 .join(ranked.select("user_id", F.col("item_id").alias("h"), "t"), "user_id")
                 .where(F.col("j") != F.col("h"))
-                .join(items.select(F.col("id").alias("j"), F.col("features").alias("_jf")), "j")
+                .join(item_frame(items).select(F.col("id").alias("j"), F.col("features").alias("_jf")), "j")
                 .join(users.select(F.col("id").alias("user_id"), F.col("features").alias("_uf")), "user_id")
                 .where(dot("_uf", "_jf") >= F.col("t"))
                 .groupBy("user_id", F.col("h").alias("item_id")).agg(F.count(F.lit(1)).alias("_c")))
@@ -99,6 +108,7 @@ def masked_label_ranks(users: DataFrame, items: DataFrame, labels: DataFrame, se
 
     (user_id, item_id, rank). Used to evaluate every k of a sweep from one scan.
     """
+    items = _prepared(items, kw)
     rng = user_score_range(users.join(labels.select(F.col("user_id").alias("id")).distinct(), "id", "left_semi"),
                            items, **kw)
     q = (_label_queries(users, items, labels).join(rng, "user_id")
@@ -111,7 +121,7 @@ def masked_label_ranks(users: DataFrame, items: DataFrame, labels: DataFrame, se
     corr = (seen.select("user_id", F.col("item_id").alias("j"))
             .join(base.select("user_id", F.col("item_id").alias("h"), "t", "lo", "hi"), "user_id")
             .where(F.col("j") != F.col("h"))
-            .join(items.select(F.col("id").alias("j"), F.col("features").alias("_jf")), "j")
+            .join(item_frame(items).select(F.col("id").alias("j"), F.col("features").alias("_jf")), "j")
             .join(users.select(F.col("id").alias("user_id"), F.col("features").alias("_uf")), "user_id")
             .withColumn("_m", minmax_scaled(dot("_uf", "_jf"), "lo", "hi"))
             .withColumn("_was", ((F.col("_m") > F.col("t")) | ((F.col("_m") == F.col("t")) & (F.col("j") > F.col("h"))))

@@ -174,20 +174,44 @@ def _out_schema(queries: DataFrame, spec: _Spec) -> T.StructType:
     return T.StructType(fields)
 
 
-def _scan(queries: DataFrame, items: DataFrame, spec: _Spec, max_broadcast_bytes: int,
+class ItemMatrix:
+    """The item side of a scan, prepared once: size-checked and, when it fits, broadcast.
+
+    Reusable across scans (every micro-batch of a stream answers from the same
+    model); ``destroy`` releases the broadcast when the model is replaced.
+    """
+
+    def __init__(self, items: DataFrame, max_broadcast_bytes: int = MAX_BROADCAST_BYTES):
+        self.df = items
+        self.n_items, self.dim = _item_size(items)
+        self.bc = None
+        if self.n_items and self.n_items * max(self.dim, 1) * 8 <= max_broadcast_bytes:
+            # bounded by the check above: the item matrix is shipped once per executor
+            pdf = items.select("id", "features").toPandas()
+            order = np.argsort(pdf["id"].to_numpy(), kind="stable")
+            ids = pdf["id"].to_numpy()[order].astype(np.int64)
+            self.bc = items.sparkSession.sparkContext.broadcast((ids, _stack(pdf["features"].values[order])))
+
+    def destroy(self):
+        if self.bc is not None:
+            self.bc.destroy()
+            self.bc = None
+
+
+def item_frame(items) -> DataFrame:
+    return items.df if isinstance(items, ItemMatrix) else items
+
+
+def _scan(queries: DataFrame, items, spec: _Spec, max_broadcast_bytes: int,
           query_block_rows: int, item_block_rows: int) -> DataFrame:
     schema = _out_schema(queries, spec)
-    n_items, dim = _item_size(items)
     spark = queries.sparkSession
+    matrix = items if isinstance(items, ItemMatrix) else ItemMatrix(items, max_broadcast_bytes)
+    items, n_items = matrix.df, matrix.n_items
     if n_items == 0:
         return spark.createDataFrame([], schema)
-    if n_items * max(dim, 1) * 8 <= max_broadcast_bytes:
-        # bounded by the check above: the item matrix is shipped once per executor
-        pdf = items.select("id", "features").toPandas()
-        order = np.argsort(pdf["id"].to_numpy(), kind="stable")
-        ids = pdf["id"].to_numpy()[order].astype(np.int64)
-        V = _stack(pdf["features"].values[order])
-        bc = spark.sparkContext.broadcast((ids, V))
+    if matrix.bc is not None:
+        bc = matrix.bc
         # the scan's cost is rows × items, which input bytes do not show: AQE would coalesce a
         # small factor table into one task, so the partition count is set from the work instead
         n_q = queries.count()
