@@ -2,8 +2,6 @@
 
 import random
 
-from pyspark.sql import functions as F
-
 from recoflow.operators import dims, interactions
 
 
@@ -55,4 +53,3 @@ def test_dataset_counts(spark):
     tri = spark.createDataFrame([(0, 0, 1), (0, 1, 3), (1, 0, 2)], "user_id int, item_id int, rating int")
     r = interactions.dataset_counts(tri).first()
     assert (r["n_ratings"], r["n_users"], r["n_items"]) == (3, 2, 2)
-    assert F is not None
