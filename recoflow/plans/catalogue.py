@@ -93,6 +93,10 @@ def q_split_train_full(spark, sf_dir):
     return train
 
 
+def q_split_test_hashed(spark, sf_dir):
+    return split.test_pairs(T.interactions(spark, sf_dir), first="hashed", seed=7)
+
+
 def q_item_popularity(spark, sf_dir):
     return M.item_popularity(T.interactions(spark, sf_dir), T.item_names(spark, sf_dir))
 
@@ -364,6 +368,7 @@ def catalogue() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "split_train": q_split_train,
         "split_test_full": q_split_test_full,
         "split_train_full": q_split_train_full,
+        "split_test_hashed": q_split_test_hashed,
         "item_popularity": q_item_popularity,
         "top_rated_item": q_top_rated_item,
         "popularity_baseline_ndcg": q_popularity_baseline,

@@ -150,6 +150,13 @@ FROM weighted, bounds"""
     q["split_train"] = w(INTER_Q1, SPLIT) + "SELECT user_id, item_id, rating FROM train"
     q["split_test_full"] = w(INTER, SPLIT) + "SELECT user_id, item_id, rating FROM test"
     q["split_train_full"] = w(INTER, SPLIT) + "SELECT user_id, item_id, rating FROM train"
+    q["split_test_hashed"] = w(INTER, """busy AS (SELECT user_id FROM inter GROUP BY 1 HAVING COUNT(*) > 3)""",
+                               """shared AS (SELECT item_id FROM inter GROUP BY 1 HAVING COUNT(*) > 1)""", """keyed AS (
+  SELECT user_id, item_id, rating,
+         CAST(('0x' || substr(md5(CAST(user_id AS VARCHAR) || '-' || CAST(item_id AS VARCHAR) || '-7'), 1, 15)) AS BIGINT) AS k
+  FROM inter WHERE user_id IN (SELECT user_id FROM busy))""", """firsts AS (
+  SELECT user_id, arg_min(item_id, k) AS item_id, arg_min(rating, k) AS rating FROM keyed GROUP BY 1)""") + """SELECT
+  user_id, item_id, rating FROM firsts WHERE item_id IN (SELECT item_id FROM shared)"""
     q["item_popularity"] = w(INTER) + """SELECT i.item_id, p.p_name AS package, i.n_cells
 FROM (SELECT item_id, COUNT(*) AS n_cells FROM inter WHERE rating <> 0 GROUP BY 1) i
 LEFT JOIN part p ON i.item_id = CAST(p.p_partkey AS INTEGER)"""

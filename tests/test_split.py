@@ -26,3 +26,20 @@ def test_properties_on_fixture(spark):
     assert tr | te == all_ and not (tr & te)
     users = [u for u, _, _ in te]
     assert len(users) == len(set(users))
+
+
+def test_hashed_first_row(spark):
+    import hashlib
+    rows = [(u, i, 1) for u in range(6) for i in range(u, u + 5)] + [(9, 1, 1), (9, 2, 1), (9, 3, 1)]
+    tri = spark.createDataFrame(rows, "user_id int, item_id int, rating int")
+    got = {(r["user_id"], r["item_id"]) for r in split.test_pairs(tri, first="hashed", seed=7).collect()}
+    counts = {}
+    for _, i, _ in rows:
+        counts[i] = counts.get(i, 0) + 1
+    want = set()
+    for u in range(6):
+        items = [i for uu, i, _ in rows if uu == u]
+        pick = min(items, key=lambda i: int(hashlib.md5(f"{u}-{i}-7".encode()).hexdigest()[:15], 16))
+        if counts[pick] > 1:
+            want.add((u, pick))
+    assert got == want  # user 9 has only 3 rows: no test row
