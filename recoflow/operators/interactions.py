@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recoflow.functions.columns import minmax_scaled
+from recoflow.operators.skew import salted_join
 
 
 def purchase_counts(subscriptions: DataFrame) -> DataFrame:
@@ -17,9 +18,8 @@ def purchase_counts(subscriptions: DataFrame) -> DataFrame:
 def rating_triples(subscriptions: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
     """L3: (user_id int, item_id int, rating int)."""
     counts = purchase_counts(subscriptions)
-    return (counts.join(users, "msisdn", "left")
-            .join(items, "package", "left")
-            .select("user_id", "item_id", "rating"))
+    with_user = salted_join(counts, users, ["msisdn"], "left", salt_on=["package"])
+    return salted_join(with_user, items, ["package"], "left", salt_on=["msisdn"]).select("user_id", "item_id", "rating")
 
 
 def price_weighted_ratings(triples: DataFrame, item_info: DataFrame) -> DataFrame:

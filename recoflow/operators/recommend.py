@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from recoflow import constants as C
 from recoflow.functions.columns import dot, hit_at, minmax_scaled, ndcg_at
+from recoflow.operators.skew import salted_join
 from recoflow.operators.scoring import (MAX_BROADCAST_BYTES, ItemMatrix, item_frame, score_stats, top_k_per_key,
                                        topk_candidates, user_score_range)
 
@@ -57,9 +58,10 @@ def recommend_masked(users: DataFrame, items: DataFrame, seen: DataFrame, k: int
     cands = topk_candidates(q, items, ["user_id"], tie="desc", scaled=True, **kw)
     unseen = cands.join(seen.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
     # seen items that are in the catalogue all score 0; only the k highest ids can matter
-    seen_known = (seen.select("user_id", "item_id")
-                  .join(item_frame(items).select(F.col("id").alias("item_id")), "item_id", "left_semi")
-                  .join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi"))
+    seen_known = salted_join(
+        salted_join(seen.select("user_id", "item_id"), item_frame(items).select(F.col("id").alias("item_id")),
+                    ["item_id"], "left_semi"),
+        users.select(F.col("id").alias("user_id")), ["user_id"], "left_semi")
     seen_top = top_k_per_key(seen_known, ["user_id"], [F.desc("item_id")], k, "_r").drop("_r") \
         .withColumn("score", F.lit(0.0))
     both = unseen.select("user_id", "item_id", "score").unionByName(seen_top)
@@ -71,7 +73,7 @@ def _label_queries(users: DataFrame, items, labels: DataFrame) -> DataFrame:
     """(user_id, item_id=h, features, t=score of the labelled pair); unknown ids drop."""
     u = users.select(F.col("id").alias("user_id"), F.col("features"))
     i = item_frame(items).select(F.col("id").alias("item_id"), F.col("features").alias("_if"))
-    return (labels.select("user_id", "item_id").join(u, "user_id").join(i, "item_id")
+    return (salted_join(labels.select("user_id", "item_id").join(u, "user_id"), i, ["item_id"])
             .withColumn("t", dot("features", "_if")).drop("_if")
             .withColumn("h", F.col("item_id")))
 
@@ -90,11 +92,11 @@ def heldout_ranks(users: DataFrame, items: DataFrame, labels: DataFrame, seen: D
     ranked = q.select("user_id", "item_id", "t").join(stats.select("user_id", "item_id", "cnt"),
                                                        ["user_id", "item_id"])
     if seen is not None:
-        corr = (seen.select("user_id", F.col("item_id").alias("j"))
-                .join(ranked.select("user_id", F.col("item_id").alias("h"), "t"), "user_id")
-                .where(F.col("j") != F.col("h"))
-                .join(item_frame(items).select(F.col("id").alias("j"), F.col("features").alias("_jf")), "j")
-                .join(users.select(F.col("id").alias("user_id"), F.col("features").alias("_uf")), "user_id")
+        per_label = ranked.select("user_id", F.col("item_id").alias("h"), "t").join(
+            users.select(F.col("id").alias("user_id"), F.col("features").alias("_uf")), "user_id")
+        corr = (salted_join(salted_join(seen.select("user_id", F.col("item_id").alias("j")), per_label, ["user_id"])
+                            .where(F.col("j") != F.col("h")),
+                            item_frame(items).select(F.col("id").alias("j"), F.col("features").alias("_jf")), ["j"])
                 .where(dot("_uf", "_jf") >= F.col("t"))
                 .groupBy("user_id", F.col("h").alias("item_id")).agg(F.count(F.lit(1)).alias("_c")))
         ranked = ranked.join(corr, ["user_id", "item_id"], "left") \
@@ -118,11 +120,11 @@ def masked_label_ranks(users: DataFrame, items: DataFrame, labels: DataFrame, se
     base = q.select("user_id", "item_id", "t", "lo", "hi").join(
         stats.select("user_id", "item_id", "cnt"), ["user_id", "item_id"])
     # seen items score 0 after masking instead of their scaled score
-    corr = (seen.select("user_id", F.col("item_id").alias("j"))
-            .join(base.select("user_id", F.col("item_id").alias("h"), "t", "lo", "hi"), "user_id")
-            .where(F.col("j") != F.col("h"))
-            .join(item_frame(items).select(F.col("id").alias("j"), F.col("features").alias("_jf")), "j")
-            .join(users.select(F.col("id").alias("user_id"), F.col("features").alias("_uf")), "user_id")
+    per_label = base.select("user_id", F.col("item_id").alias("h"), "t", "lo", "hi").join(
+        users.select(F.col("id").alias("user_id"), F.col("features").alias("_uf")), "user_id")
+    corr = (salted_join(salted_join(seen.select("user_id", F.col("item_id").alias("j")), per_label, ["user_id"])
+                        .where(F.col("j") != F.col("h")),
+                        item_frame(items).select(F.col("id").alias("j"), F.col("features").alias("_jf")), ["j"])
             .withColumn("_m", minmax_scaled(dot("_uf", "_jf"), "lo", "hi"))
             .withColumn("_was", ((F.col("_m") > F.col("t")) | ((F.col("_m") == F.col("t")) & (F.col("j") > F.col("h"))))
                         .cast("int"))

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recoflow.functions.columns import dot
+from recoflow.operators.skew import salted_join
 
 MAX_BROADCAST_BYTES = 256 << 20
 QUERY_TILE = 256
@@ -50,7 +51,9 @@ def score_pairs(pairs: DataFrame, users: DataFrame, items: DataFrame) -> DataFra
     """M4: (user_id, item_id, …) → + score; pairs whose user or item has no factors drop."""
     u = users.select(F.col("id").alias("user_id"), F.col("features").alias("_uf"))
     i = items.select(F.col("id").alias("item_id"), F.col("features").alias("_if"))
-    return (pairs.join(u, "user_id").join(i, "item_id")
+    # a hot user or a hot item would put all its pairs in one task: both joins are salted
+    with_u = salted_join(pairs, u, ["user_id"], salt_on=["item_id"])
+    return (salted_join(with_u, i, ["item_id"], salt_on=["user_id"])
             .withColumn("score", dot("_uf", "_if")).drop("_uf", "_if"))
 
 

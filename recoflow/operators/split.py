@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recoflow.operators.skew import salted_join
 from recoflow.session import materialize
 
 MIN_USER_ROWS = 3   # strictly more rows than this to give a test row
@@ -31,7 +32,7 @@ def test_pairs(triples: DataFrame, first: str = "lowest_id", seed: int = 7) -> D
                   .where(F.col("n") > MIN_USER_ROWS).select("user_id"))
     shared_items = (triples.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
                     .where(F.col("n") > MIN_ITEM_ROWS).select("item_id"))
-    busy = triples.join(busy_users, "user_id", "left_semi")
+    busy = salted_join(triples, busy_users, ["user_id"], "left_semi")
     if first == "lowest_id":
         # (user, item) is unique, so min(item) and the rating at that item describe one row;
         # both are fixed-width aggregates and stay in a hash aggregate
@@ -44,7 +45,8 @@ def test_pairs(triples: DataFrame, first: str = "lowest_id", seed: int = 7) -> D
                       .agg(F.min_by("item_id", "_k").alias("item_id"), F.min_by("rating", "_k").alias("rating")))
     else:
         raise ValueError(f"unknown first-row rule {first!r}")
-    return first_rows.join(shared_items, "item_id", "left_semi").select("user_id", "item_id", "rating")
+    # many users can share the same first item: salted like a hot user
+    return salted_join(first_rows, shared_items, ["item_id"], "left_semi").select("user_id", "item_id", "rating")
 
 
 def train_pairs(triples: DataFrame, test: DataFrame) -> DataFrame:

@@ -51,3 +51,14 @@ def test_hot_user_split_and_negatives(spark):
     items = sorted(r["item_id"] for r in cat.collect())
     neg = [j for j in items if j != h and j not in owned]
     assert (summ["n_neg"], summ["min_neg"], summ["max_neg"], summ["sum_neg"]) == (len(neg), min(neg), max(neg), sum(neg))
+
+
+def test_salted_join_equals_plain_join(spark):
+    from recoflow.operators.skew import salted_join
+    many = spark.createDataFrame([(0, i) for i in range(500)] + [(k, k) for k in range(1, 40)] + [(99, 1)],
+                                 "user_id int, item_id int")
+    few = spark.createDataFrame([(u, f"u{u}") for u in range(0, 40, 2)], "user_id int, tag string")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        got = sorted(map(tuple, salted_join(many, few, ["user_id"], how).collect()), key=str)
+        want = sorted(map(tuple, many.join(few, ["user_id"], how).collect()), key=str)
+        assert got == want, how
