@@ -59,6 +59,22 @@ def test_salted_join_equals_plain_join(spark):
                                  "user_id int, item_id int")
     few = spark.createDataFrame([(u, f"u{u}") for u in range(0, 40, 2)], "user_id int, tag string")
     for how in ("inner", "left", "left_semi", "left_anti"):
-        got = sorted(map(tuple, salted_join(many, few, ["user_id"], how).collect()), key=str)
+        got = sorted(map(tuple, salted_join(many, few, ["user_id"], how, force=True).collect()), key=str)
         want = sorted(map(tuple, many.join(few, ["user_id"], how).collect()), key=str)
         assert got == want, how
+
+
+def test_pipeline_exact_with_salting_forced(spark):
+    """With adaptive execution off every salted join really salts; results stay identical."""
+    prev = spark.conf.get("spark.sql.adaptive.enabled")
+    rows, tri, U, V, users, items = skewed(spark)
+    want = sorted(map(tuple, R.recommend_unseen(users, items, tri, 5).collect()))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = sorted(map(tuple, R.recommend_unseen(users, items, tri, 5).collect()))
+        train, test = split.leave_one_out(tri)
+        negs = negatives.sample_train_negatives(train, n=2, seed=11)
+        assert negs.count() == 2 * train.count()  # nobody owns the whole catalogue: 2 per positive
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", prev)
+    assert got == want
