@@ -146,7 +146,7 @@ def _encode_rows(names: list[str], text_col: str, path: str, with_ids: bool):
                     ids_digest.append(hashlib.sha256(ids[:-1]).hexdigest())
                     text_digest.append(hashlib.sha256(decoded.decode("utf-8", "replace").encode()).hexdigest())
                     if with_ids:
-                        all_ids.append(np.array(ids[:-1].split(b","), np.int32) if ids else np.zeros(0, np.int32))
+                        all_ids.append(np.fromstring(ids[:-1], np.int32, sep=",") if ids else np.zeros(0, np.int32))
                 made = [pa.array(n, pa.int64()), pa.array(ids_digest, pa.string()), pa.array(text_digest, pa.string())]
                 if with_ids:
                     made.append(pa.array(all_ids, pa.list_(pa.int32())))

@@ -27,11 +27,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recoflow.llm import textkit as tk
-from recoflow.llm.shared import NULL_ID, keyed, shuffle_partitions, written
+from recoflow.llm.shared import NULL_ID, key_columns, keyed, shuffle_partitions, written
 
 SIZE, PCT = 4, 85
 FLUSH = 1_000_000
@@ -317,14 +317,33 @@ def _links_and_passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield made.pop()
 
 
+def _placed(docs: DataFrame, id_col: str, text_col: str, size: int, pct: int) -> DataFrame:
+    """(ord, tk, n_shingles, group, component) of each row; group tells components apart, component is the smallest ord in it."""
+    sets = written(keyed(docs, id_col, text_col).mapInArrow(_sets_of(["ord", "tk", "text"], "text", size), "ord long, tk long, n_shingles long, set_id long"), "sets")
+    some = sets.where("n_shingles > 0")
+    linked = set_components(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", size, pct, some)
+    first = some.groupBy("set_id").agg(F.min("ord").alias("first"))
+    comp = first.join(linked, first.set_id == linked.sid, "left").select("set_id", "first", F.coalesce("comp_sid", "set_id").alias("group"))
+    lowest = comp.groupBy("group").agg(F.min("first").alias("component"))
+    by_set = comp.join(lowest, "group").select("set_id", "group", "component")
+    return sets.join(by_set, "set_id", "left").select("ord", "tk", "n_shingles", "group", F.coalesce("component", "ord").alias("component"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, pct: int = PCT) -> DataFrame:
     """(id, n_shingles, component_id) of each row."""
-    sets = written(keyed(docs, id_col, text_col).mapInArrow(_sets_of(["ord", "tk", "text"], "text", size), "ord long, tk long, n_shingles long, set_id long"), "sets")
-    linked = set_components(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", size, pct, sets.where("n_shingles > 0"))
-    first = sets.where("n_shingles > 0").groupBy("set_id").agg(F.min("ord").alias("first"))
-    comp = first.join(linked, first.set_id == linked.sid, "left").select("set_id", "first", F.coalesce("comp_sid", "set_id").alias("comp_sid"))
-    lowest = comp.groupBy("comp_sid").agg(F.min("first").alias("component"))
-    by_set = comp.join(lowest, "comp_sid").select("set_id", "component")
-    out = sets.join(by_set, "set_id", "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("ord")))
     unkeyed = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return out.select(unkeyed("ord").alias(id_col), "n_shingles", unkeyed("component").alias("component_id"), "tk")
+    return _placed(docs, id_col, text_col, size, pct).select(unkeyed("ord").alias(id_col), "n_shingles", unkeyed("component").alias("component_id"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, pct: int = PCT) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component the row with the smallest id stays; texts without words all stay."""
+    placed = written(_placed(docs, id_col, text_col, size, pct), "placed")
+    first = placed.where("n_shingles > 0").groupBy("group").agg(F.min(F.struct("ord", "tk")).alias("f")).select("f.ord", "f.tk", F.lit(1).alias("first"))
+    stays = placed.where("n_shingles = 0").select("ord", "tk").distinct().withColumn("first", F.lit(0)).unionByName(first)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    keys = ["ord", "tk"]
+    rows = plain.select("*", *key_columns(names[docs.columns.index(id_col)], names[docs.columns.index(text_col)])).join(stays, keys)
+    # a repeated row shares its key with the one that stays
+    again = Window.partitionBy(*keys).orderBy(F.lit(0))
+    return rows.withColumn("nth", F.row_number().over(again)).where("first = 0 or nth = 1").select(*names).toDF(*docs.columns)

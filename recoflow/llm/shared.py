@@ -23,9 +23,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def key_columns(id_col: str, text_col: str) -> list:
+    """ord and tk: ord orders the documents (null first), tk tells apart rows that share an id but not a text."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("ord"),
+            F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 40).alias("tk")]
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(ord, tk, text): ord orders the documents (null first), tk tells apart rows that share an id but not a text."""
-    return docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("ord"),
-        F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 40).alias("tk"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """(ord, tk, text) of each row; null text is empty."""
+    return docs.select(*key_columns(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

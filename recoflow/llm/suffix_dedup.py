@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recoflow.llm import textkit as tk
-from recoflow.llm.shared import NULL_ID, keyed, shuffle_partitions, written
+from recoflow.llm.shared import NULL_ID, key_columns, keyed, shuffle_partitions, written
 
 SIZE = 100
 GRAM = 24
@@ -420,33 +420,46 @@ def _sort_suffixes(size: int):
     return run
 
 
-def _apply(size: int, with_text: bool):
-    """Removes the covered bytes of each text."""
+def _gone(batch: pa.RecordBatch, size: int, text_col: str) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """The bytes of each text and the mask of its covered bytes (None: none)."""
+    buf, off = tk.utf8(batch.column(text_col))
+    spans = batch.column("spans")
+    values = spans.flatten()
+    starts, counts = values.field(0).to_numpy(zero_copy_only=False), values.field(1).to_numpy(zero_copy_only=False)
+    done = 0
+    for i, length in enumerate(np.nan_to_num(spans.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)):
+        text = buf[off[i]: off[i + 1]]
+        s, n = starts[done: done + length].astype(np.int64), counts[done: done + length].astype(np.int64)
+        done += length
+        yield text, tk.cover(len(text), s, s + n + size - 1) if length else None
+
+
+def _digests(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            buf, off = tk.utf8(b.column("text"))
-            spans = b.column("spans")
-            n_bytes, n_removed, n_spans, digest, kept_text = [], [], [], [], []
-            values = spans.flatten()
-            s_all, n_all = values.field(0).to_numpy(zero_copy_only=False), values.field(1).to_numpy(zero_copy_only=False)
-            done = 0
-            for i, length in enumerate(np.nan_to_num(spans.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)):
-                text = buf[off[i]: off[i + 1]]
-                s, n = s_all[done: done + length].astype(np.int64), n_all[done: done + length].astype(np.int64)
-                done += length
-                gone = tk.cover(len(text), s, s + n + size - 1) if length else np.zeros(len(text), bool)
-                rest = text[~gone].tobytes() if length else text.tobytes()
+            n_bytes, n_removed, n_spans, digest = [], [], [], []
+            for text, gone in _gone(b, size, "text"):
                 n_bytes.append(len(text))
-                n_removed.append(int(gone.sum()))
-                n_spans.append(len(tk.runs(gone)[0]) if length else 0)
-                digest.append(hashlib.sha256(rest).hexdigest())
-                if with_text:
-                    kept_text.append(rest.decode("utf-8", "ignore"))
-            made = [pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest, pa.string())]
-            if with_text:
-                made.append(pa.array(kept_text, pa.string()))
-            yield pa.RecordBatch.from_arrays([b.column("ord"), b.column("tk"), *made],
-                                             names=["ord", "tk", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text])
+                n_removed.append(0 if gone is None else int(gone.sum()))
+                n_spans.append(0 if gone is None else len(tk.runs(gone)[0]))
+                digest.append(hashlib.sha256(text.tobytes() if gone is None else text[~gone].tobytes()).hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column("ord"), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()),
+                                              pa.array(digest, pa.string())], names=["ord", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    return run
+
+
+def _shortened(size: int, names: list[str], text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = names.index(text_col)
+            texts, keep = b.column(at).to_pylist(), np.ones(b.num_rows, bool)
+            for i, (text, gone) in enumerate(_gone(b, size, text_col)):
+                if gone is not None:
+                    texts[i] = text[~gone].tobytes().decode("utf-8", "ignore")
+                    keep[i] = not gone.all()
+            cols = [b.column(c) for c in names]
+            cols[at] = pa.array(texts, cols[at].type)
+            yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep))
     return run
 
 
@@ -475,10 +488,19 @@ def repeated_spans(texts: DataFrame, size: int) -> DataFrame:
     return covered.groupBy("ord", "tk").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, with_text: bool = False) -> DataFrame:
-    """(id, tk, n_bytes, n_removed, n_spans, kept_sha256[, kept_text]) of each row. kept_text leaves out a character that a cut splits."""
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256) of each row."""
     texts = keyed(docs, id_col, text_col)
-    spans = repeated_spans(texts, size)
-    out = texts.join(spans, ["ord", "tk"], "left").select("ord", "tk", "text", "spans") \
-        .mapInArrow(_apply(size, with_text), "ord long, tk long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text)
-    return out.withColumn(id_col, F.when(F.col("ord") != NULL_ID, F.col("ord"))).drop("ord")
+    out = texts.join(repeated_spans(texts, size), ["ord", "tk"], "left").select("ord", "tk", "text", "spans") \
+        .mapInArrow(_digests(size), "ord long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return out.select(F.when(F.col("ord") != NULL_ID, F.col("ord")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
+    """The rows of ``docs`` without covered bytes; a character that a cut splits goes too, and so do rows of which nothing is left."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    own_id, own_text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
+    spans = repeated_spans(keyed(plain, own_id, own_text), size)
+    rows = plain.select("*", *key_columns(own_id, own_text)).join(spans, ["ord", "tk"], "left").select(*names, "spans")
+    return rows.mapInArrow(_shortened(size, names, own_text), plain.schema).toDF(*docs.columns)
