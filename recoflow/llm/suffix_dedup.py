@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -311,8 +312,8 @@ def _stretch_rows(size: int, heavy: np.ndarray, counting: bool):
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (h, c, ord, tk, start), firsts of flushes: all but the first of a (h, c) are copies; firsts of anchors
-    with several different stretches are marked ``several`` and go on."""
+    """Firsts of flushes sorted by (h, c, ord, tk, start): all but the first of a (h, c) are copies; firsts of anchors
+    with several different stretches are marked ``several`` and go on. Copies found in a flush only pass through."""
     carry: pa.Table | None = None
 
     def judged(t: pa.Table):
@@ -329,6 +330,11 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not b.num_rows:
             continue
         t = pa.Table.from_batches([b])
+        copies = t.filter(t.column("copy"))
+        yield from copies.append_column("several", pa.array(np.zeros(copies.num_rows, bool))).to_batches()
+        t = t.filter(pc.invert(t.column("copy")))
+        if not t.num_rows:
+            continue
         carry = t if carry is None else pa.concat_tables([carry, t])
         h = carry.column("h").to_numpy()
         other = np.flatnonzero(h != h[-1])
@@ -478,7 +484,9 @@ def repeated_spans(texts: DataFrame, size: int) -> DataFrame:
     """(ord, tk, spans) of the documents with covered strings; spans: (start, n) runs of starts of covered strings."""
     parts = shuffle_partitions(texts.sparkSession)
     rows = texts.mapInArrow(_stretch_rows(size, heavy_anchors(texts, size), False), _STRETCH)
-    dealt = rows.repartition(parts, "h").sortWithinPartitions("h", "c", "ord", "tk", "start")
+    # firsts meet by anchor; copies, of which a hot stretch has many, are only spread
+    place = F.when(F.col("copy"), F.xxhash64("ord", "start")).otherwise(F.col("h"))
+    dealt = rows.repartition(parts, place).sortWithinPartitions("h", "c", "ord", "tk", "start")
     found = written(dealt.mapInArrow(_resolve, _STRETCH + ", several boolean").drop("c", "copy"), "stretches")
     wanted = found.where("several").groupBy("ord", "tk").agg(F.collect_list(F.struct("h", "start", "n")).alias("wanted"))
     bodies = texts.join(wanted, ["ord", "tk"]).select("ord", "tk", "text", "wanted") \
