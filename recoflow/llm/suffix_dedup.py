@@ -52,15 +52,23 @@ U = np.uint64
 
 # --- the suffix sort -----------------------------------------------------------------------------------------
 
-def two_stage_order(text: np.ndarray, depth: int) -> np.ndarray:
+def two_stage_order(text: np.ndarray, depth: int, upto: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Positions of the suffixes of ``text`` in order of their first ``depth`` symbols.
 
+    ``upto`` (starts, lasts) restricts the order to the suffixes of these ranges, each as far as the next directly sorted one,
+    which is all that induction needs.
+
     ``text`` holds symbols 1..255; 0 ends a string, and nothing is compared beyond it. A suffix smaller than its successor is sorted
     directly; a larger one follows from the order of its successor when the buckets are scanned upwards.
     """
     n = len(text)
     smaller = _smaller_than_next(text)
-    direct = _sort_directly(text, np.flatnonzero(smaller), depth)
+    keep = np.ones(n, bool)
+    if upto is not None:
+        seeds = np.minimum.accumulate(np.where(smaller, np.arange(n), n - 1)[::-1])[::-1]
+        keep = tk.cover(n, upto[0], seeds[upto[1]] + 1)
+    larger = ~smaller & keep
+    direct = _sort_directly(text, np.flatnonzero(smaller & keep), depth)
     firsts = text[direct]
     bounds = np.searchsorted(firsts, np.arange(257))
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -70,7 +78,7 @@ def two_stage_order(text: np.ndarray, depth: int) -> np.ndarray:
         layer = ready
         while len(layer):  # larger suffixes of this very bucket, in the order of the scan
             before = layer[layer > 0] - 1
-            layer = before[(text[before] == c) & ~smaller[before]]
+            layer = before[(text[before] == c) & larger[before]]
             if len(layer):
                 ready = np.concatenate((ready, layer))
         bucket = np.concatenate((ready, direct[bounds[c]: bounds[c + 1]]))
@@ -78,7 +86,7 @@ def two_stage_order(text: np.ndarray, depth: int) -> np.ndarray:
             continue
         out.append(bucket)
         before = bucket[bucket > 0] - 1
-        before = before[~smaller[before] & (text[before] > c)]
+        before = before[larger[before] & (text[before] > c)]
         if len(before):
             symbol = text[before]
             order = np.argsort(symbol, kind="stable")
@@ -373,7 +381,7 @@ def covered_strings(ord_: np.ndarray, tk_: np.ndarray, start: np.ndarray, n: np.
     text = np.zeros(int(lengths.sum()), np.uint8)
     joined = np.frombuffer(b"\xff".join(bodies) + b"\xff", np.uint8)
     np.add(joined, 1, out=text, casting="unsafe")  # UTF-8 never holds 0xFF: ends of strings become 0
-    order = two_stage_order(text, size)
+    order = two_stage_order(text, size, (begin, begin + n - 1))
     lcp = neighbour_prefixes(text, order, size)
     cls = np.cumsum(lcp < size)
     row = np.searchsorted(begin, order, "right") - 1
