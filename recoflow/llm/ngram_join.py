@@ -13,7 +13,8 @@ subset, unless a set has more than ``extra`` parts with an empty subset; only su
 Scale. Equal sets act as one (set_id). A task replaces the sets that share a signature by links to the smallest of
 them before the shuffle, so a hot signature reaches its partition once per flush. Instead of all pairs within a
 signature, star links to the smallest set are verified first; a signature whose sets end in one component needs
-nothing more, and only sets of a signature that stay in different components are compared with each other.
+nothing more. Sets of a signature that stay in different components are compared with each other where their rarest
+elements allow a link (an exact filter: it loses no link).
 
 Cases: null, empty or blank text has an empty set, is linked with nothing and is its own component; a null doc_id is
 the smallest; repeated rows give repeated results; an empty table gives an empty result; extra columns are ignored.
@@ -284,14 +285,41 @@ def set_components(docs: DataFrame, text_col: str, size: int, pct: int, sets: Da
     members = linked.select("sig", "sid").unionByName(linked.select("sig", F.col("top").alias("sid"))).distinct()
     placed = members.join(comp, members.sid == comp.node, "left").select("sig", "sid", F.coalesce("comp", "sid").alias("comp"))
     split = placed.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("sig")
-    rest = written(placed.join(split, "sig"), "apart")
-    other = rest.select("sig", F.col("sid").alias("b"), F.col("comp").alias("comp_b"))
-    cross = rest.join(other, "sig").where((F.col("sid") > F.col("b")) & (F.col("comp") != F.col("comp_b"))) \
-        .select(F.col("sid").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    rest = placed.join(split, "sig", "left_semi").select("sid", "comp").distinct()
+    cross = _possible(rest, bodies, pct).join(pairs, ["a", "b"], "left_anti")
     edges3 = written(linked_pairs(cross, bodies, pct), "edges")
     return components(edges.unionByName(edges2).unionByName(edges3)).select(F.col("node").alias("sid"), F.col("comp").alias("comp_sid"))
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sid, comp, n, token) of each element of the sets."""
+    for b in batches:
+        for i in range(b.num_rows):
+            body = np.frombuffer(b.column(2)[i].as_buffer(), np.int64)
+            n = len(body)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, b.column(0)[i].as_py())), pa.array(np.full(n, b.column(1)[i].as_py())),
+                                              pa.array(np.full(n, n, np.int64)), pa.array(body)], names=["sid", "comp", "n", "token"])
+
+
+def _possible(rest: DataFrame, bodies: DataFrame, pct: int) -> DataFrame:
+    """Pairs (a, b) of sets of different components that can still link; ``rest`` (sid, comp): the sets of signatures that are apart.
+
+    Texts around a common passage share signatures without being similar, so pairs within such signatures are not listed. Linked sets
+    share an element among the rarest (100 - pct) % of either, ordered by frequency, with enough elements after it for the overlap needed.
+    """
+    tokens = written(rest.join(bodies, "sid").select("sid", "comp", "body").mapInArrow(_exploded, "sid long, comp long, n long, token long"), "tokens")
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f"))
+    rank = Window.partitionBy("sid").orderBy("f", "token")
+    prefix = tokens.join(often, "token").withColumn("pos", F.row_number().over(rank)) \
+        .where((F.col("pos") <= F.col("n") - F.ceil(F.col("n") * pct / 100) + 1) & (F.col("f") > 1))
+    prefix = written(prefix.select("token", "sid", "comp", "n", "pos"), "prefixes")
+    other = prefix.select("token", F.col("sid").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
+    enough = (100 + pct) * (1 + F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b"))) >= pct * (F.col("n") + F.col("n_b"))
+    near = 100 * F.least("n", "n_b") >= pct * F.greatest("n", "n_b")
+    return prefix.join(other, (prefix.token == other.token) & (F.col("sid") > F.col("b")) & (F.col("comp") != F.col("comp_b")) & near & enough) \
+        .select(F.col("sid").alias("a"), "b").distinct()
+
+
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     ca, cb = comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), comp.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
     return pairs.join(ca, "a", "left").join(cb, "b", "left") \
