@@ -57,10 +57,10 @@ def _symbols(host: Column, path: Column) -> Column:
 
 
 def _with_grams(rows: DataFrame) -> DataFrame:
-    """Adds grams: the numbers of the runs of three symbols. The symbols are a column of their own, so they are made once a row."""
+    """Adds grams: the numbers of the runs of three symbols."""
     symbols = F.col("symbols")
     grams = F.transform(F.sequence(F.lit(0), F.size(symbols) - 3), lambda i: (F.get(symbols, i) * SYMBOLS + F.get(symbols, i + 1)) * SYMBOLS + F.get(symbols, i + 2))
-    return rows.withColumn("symbols", _symbols(F.col("host"), F.col("path"))).withColumn("grams", grams).drop("symbols")
+    return rows.withColumn("grams", grams).drop("symbols")
 
 
 def log_ratio(ruled: DataFrame) -> DataFrame:
@@ -109,10 +109,12 @@ def calibrated_cut(scored: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
     """(id, host, path, rule, verdict, score) of each row."""
     host, path = host_and_path(F.col(url_col))
-    base = with_rule(pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")), rules)
+    # written: else every use of host, path and symbols evaluates their expressions anew
+    parsed = written(pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")), "urls")
+    base = written(with_rule(parsed, rules).withColumn("symbols", _symbols(F.col("host"), F.col("path"))), "ruled-urls")
     weights = written(log_ratio(_with_grams(base.where("ruled is not null"))), "url-weights")
     keys = ["id", "host", "path", "rule", "ruled"]
-    rows = _with_grams(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))).withColumn("g", F.explode("grams")).drop("grams")
+    rows = _with_grams(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"), F.first("symbols").alias("symbols"))).withColumn("g", F.explode("grams")).drop("grams")
     mean = F.sum("w") / F.count("w")
     scored = written(rows.join(F.broadcast(weights), "g").groupBy(*keys, "copies")  # at most SYMBOLS ** 3 rows are broadcast
                      .agg(F.when(F.col("host") == "", 0.0).otherwise(mean).alias("score")), "url-scores")
