@@ -92,12 +92,9 @@ def hashed_index(n, *parts) -> Column:
 # ---- P16 / P17: message content -------------------------------------------------
 
 def parse_key_list(text) -> Column:
-    """A list literal of integers, e.g. "[84961000014, 5]", as array<bigint>."""
-    return F.from_json(col_(text), "array<bigint>")
-
-
-def parse_int(text) -> Column:
-    return F.expr(f"try_cast({text} AS INT)") if isinstance(text, str) else text.try_cast("int")
+    """A list literal of integers, e.g. "[84300000007, 5]", as array<bigint>; NULL if malformed, empty or with a null."""
+    keys = F.from_json(col_(text), "array<bigint>")
+    return F.when((F.size(keys) > 0) & ~F.exists(keys, lambda x: x.isNull()), keys)
 
 
 def log_loss_term(label, prob, eps: float = C.LOG_LOSS_EPS) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recoflow.functions.columns import minmax_scaled
 from recoflow.operators.skew import salted_join
+from recoflow.session import materialize
 
 
 def purchase_counts(subscriptions: DataFrame) -> DataFrame:
@@ -29,8 +30,9 @@ def price_weighted_ratings(triples: DataFrame, item_info: DataFrame) -> DataFram
     instead of joining a one-row table to every rating.
     """
     price = item_info.select("item_id", "Price")
-    weighted = triples.join(price, "item_id", "left").select(
-        "user_id", "item_id", (F.col("rating") * F.col("Price")).cast("double").alias("rating"))
+    # written once: the scale parameters and the scaled rows both read it
+    weighted = materialize(triples.join(price, "item_id", "left").select(
+        "user_id", "item_id", (F.col("rating") * F.col("Price")).cast("double").alias("rating")))
     lo, hi = weighted.agg(F.min("rating"), F.max("rating")).first()
     if lo is None:
         return weighted

@@ -31,15 +31,19 @@ def _seen_counts(seen: DataFrame) -> DataFrame:
 
 
 def _with_fetch(users: DataFrame, seen: DataFrame | None, k: int) -> DataFrame:
-    q = users.select(F.col("id").alias("user_id"), "features")
+    wanted = F.least(F.col("k_wanted"), F.lit(k)) if "k_wanted" in users.columns else F.lit(k)
+    q = users.select(F.col("id").alias("user_id"), "features", wanted.alias("k_fetch"))
     if seen is None:
-        return q.withColumn("k_fetch", F.lit(k))
+        return q
     return (q.join(_seen_counts(seen), "user_id", "left")
-            .withColumn("k_fetch", (F.lit(k) + F.coalesce("_n_seen", F.lit(0))).cast("int")).drop("_n_seen"))
+            .withColumn("k_fetch", (F.col("k_fetch") + F.coalesce("_n_seen", F.lit(0))).cast("int")).drop("_n_seen"))
 
 
 def recommend_unseen(users: DataFrame, items: DataFrame, seen: DataFrame | None, k: int, **kw) -> DataFrame:
-    """(user_id, rank, item_id, score) — top k by raw score desc, item id asc, seen excluded."""
+    """(user_id, rank, item_id, score) — top k by raw score desc, item id asc, seen excluded.
+
+    A column ``k_wanted`` of ``users`` lowers k for a user: at least that many of its best items are given.
+    """
     cands = topk_candidates(_with_fetch(users, seen, k), items, ["user_id"], tie="asc", **kw)
     if seen is not None:
         cands = cands.join(seen.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
@@ -70,10 +74,10 @@ def recommend_masked(users: DataFrame, items: DataFrame, seen: DataFrame, k: int
 
 
 def _label_queries(users: DataFrame, items, labels: DataFrame) -> DataFrame:
-    """(user_id, item_id=h, features, t=score of the labelled pair); unknown ids drop."""
+    """(user_id, item_id=h, features, t=score of the labelled pair), once per pair whose user and item have factors."""
     u = users.select(F.col("id").alias("user_id"), F.col("features"))
     i = item_frame(items).select(F.col("id").alias("item_id"), F.col("features").alias("_if"))
-    return (salted_join(labels.select("user_id", "item_id").join(u, "user_id"), i, ["item_id"])
+    return (salted_join(labels.select("user_id", "item_id").distinct().join(u, "user_id"), i, ["item_id"])
             .withColumn("t", dot("features", "_if")).drop("_if")
             .withColumn("h", F.col("item_id")))
 
@@ -84,7 +88,8 @@ def heldout_ranks(users: DataFrame, items: DataFrame, labels: DataFrame, seen: D
 
     rank = 1 + #{items j ≠ h : score_j ≥ score_h}; with ``seen`` (the "unseen"
     negatives mode) the user's seen items are not candidates. Never builds the
-    candidate list: the scan counts, the seen correction is a join.
+    candidate list: the scan counts, the seen correction is a join. A label
+    whose user or item has no factors is a miss: rank NULL, hit and NDCG 0.
     """
     q = _label_queries(users, items, labels)
     stats = score_stats(q.select("user_id", "item_id", "features", "t", "h"), items,
@@ -101,6 +106,7 @@ def heldout_ranks(users: DataFrame, items: DataFrame, labels: DataFrame, seen: D
                 .groupBy("user_id", F.col("h").alias("item_id")).agg(F.count(F.lit(1)).alias("_c")))
         ranked = ranked.join(corr, ["user_id", "item_id"], "left") \
             .withColumn("cnt", F.col("cnt") - F.coalesce("_c", F.lit(0))).drop("_c")
+    ranked = labels.select("user_id", "item_id").join(ranked, ["user_id", "item_id"], "left")
     return ranked.select("user_id", "item_id", (F.col("cnt") + 1).cast("long").alias("heldout_rank"),
                          hit_at(F.col("cnt") + 1, k).alias("hit"), ndcg_at(F.col("cnt") + 1, k).alias("ndcg"))
 
@@ -108,7 +114,8 @@ def heldout_ranks(users: DataFrame, items: DataFrame, labels: DataFrame, seen: D
 def masked_label_ranks(users: DataFrame, items: DataFrame, labels: DataFrame, seen: DataFrame, **kw) -> DataFrame:
     """Rank of each label in the T3 ordering (masked min-max score desc, item id desc).
 
-    (user_id, item_id, rank). Used to evaluate every k of a sweep from one scan.
+    (user_id, item_id, rank), one row per label; rank NULL (a miss) where the user or item has no
+    factors. Used to evaluate every k of a sweep from one scan.
     """
     items = _prepared(items, kw)
     rng = user_score_range(users.join(labels.select(F.col("user_id").alias("id")).distinct(), "id", "left_semi"),
@@ -131,5 +138,6 @@ def masked_label_ranks(users: DataFrame, items: DataFrame, labels: DataFrame, se
             .withColumn("_now", ((F.col("t") == 0.0) & (F.col("j") > F.col("h"))).cast("int"))
             .groupBy("user_id", F.col("h").alias("item_id"))
             .agg(F.sum(F.col("_now") - F.col("_was")).alias("_d")))
-    return (base.join(corr, ["user_id", "item_id"], "left")
-            .select("user_id", "item_id", (F.col("cnt") + F.coalesce("_d", F.lit(0)) + 1).cast("long").alias("rank")))
+    known = (base.join(corr, ["user_id", "item_id"], "left")
+             .select("user_id", "item_id", (F.col("cnt") + F.coalesce("_d", F.lit(0)) + 1).cast("long").alias("rank")))
+    return labels.select("user_id", "item_id").join(known, ["user_id", "item_id"], "left")

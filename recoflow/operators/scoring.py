@@ -20,7 +20,8 @@ Item side, two physical strategies:
   every query block by an equi-join on the query-block number; partial results
   are merged with an aggregate (stats) or a bounded top-k (topk).
 
-Scores are accumulated dimension by dimension in index order, exactly as
+Scores come from a matrix product; every score that is emitted or lies near a
+cut is accumulated dimension by dimension in index order, exactly as
 ``functions.columns.dot`` does in SQL, so a score computed either way is the
 same double and comparisons against a held-out score never flip.
 """
@@ -41,6 +42,7 @@ from recoflow.operators.skew import salted_join
 MAX_BROADCAST_BYTES = 256 << 20
 QUERY_TILE = 256
 ITEM_TILE = 8192
+MAX_TILE_CANDIDATES = 1 << 21  # candidates that the rows of one tile keep together (one row may keep more)
 CELLS_PER_TASK = 1 << 26      # query rows × items scored by one scan task
 MAX_SCAN_TASKS = 1 << 17
 
@@ -59,11 +61,12 @@ def score_pairs(pairs: DataFrame, users: DataFrame, items: DataFrame) -> DataFra
 
 # ---- numpy kernels -----------------------------------------------------------------
 
-def _scores(U: np.ndarray, V: np.ndarray) -> np.ndarray:
-    S = np.zeros((U.shape[0], V.shape[0]), dtype=np.float64)
+def _exact(U: np.ndarray, V: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Scores of the pairs (U[rows], V[cols]), accumulated dimension by dimension like ``functions.columns.dot``."""
+    out = np.zeros(len(rows))
     for d in range(U.shape[1]):
-        S += np.multiply.outer(U[:, d], V[:, d])
-    return S
+        out += U[rows, d] * V[cols, d]
+    return out
 
 
 def _scaled(S, lo, hi):
@@ -84,19 +87,47 @@ class _Spec:
         self.op, self.keys, self.tie, self.scaled, self.count = op, keys, tie, scaled, count
 
 
+def _tiles(k: np.ndarray | None, n: int):
+    """Row ranges of one matrix product; with ``k`` (ascending) rows of a range keep numbers of items within a factor of two."""
+    a = 0
+    while a < n:
+        b = min(a + QUERY_TILE, n)
+        if k is not None:
+            b = min(b, max(a + 1, int(np.searchsorted(k, 2 * max(int(k[a]), 1), "right"))))
+            b = min(b, a + max(1, MAX_TILE_CANDIDATES // max(int(k[b - 1]), 1)))
+        yield a, b
+        a = b
+
+
 def _run_kernel(q: pd.DataFrame, ids: np.ndarray, V: np.ndarray, spec: _Spec) -> pd.DataFrame:
-    """q: query rows (keys…, features, [k_fetch], [lo, hi], [t, h]) against items (ids, V)."""
+    """q: query rows (keys…, features, [k_fetch], [lo, hi], [t, h]) against items (ids, V).
+
+    A matrix product gives all scores up to rounding; those within its error bound of a cut
+    (threshold, k-th best, range end) are computed again in the fixed order, so results are exact.
+    """
     out = []
     if len(q) == 0:
         return None
+    if spec.op == "topk":
+        q = q.sort_values("k_fetch", kind="stable").reset_index(drop=True)
     U = _stack(q["features"].values)
     n = len(ids)
-    for a in range(0, len(q), QUERY_TILE):
-        b = min(a + QUERY_TILE, len(q))
+    longest = np.sqrt((V * V).sum(axis=1)).max(initial=0.0)
+    for a, b in _tiles(np.minimum(q["k_fetch"].to_numpy(np.int64), n) if spec.op == "topk" else None, len(q)):
         part = q.iloc[a:b]
         Uq = U[a:b]
-        lo = part["lo"].to_numpy(np.float64) if spec.scaled else None
-        hi = part["hi"].to_numpy(np.float64) if spec.scaled else None
+        slack = 8 * np.finfo(np.float64).eps * max(U.shape[1], 1) * np.sqrt((Uq * Uq).sum(axis=1)) * longest
+        if spec.scaled:
+            lo, hi = part["lo"].to_numpy(np.float64), part["hi"].to_numpy(np.float64)
+            rng = hi - lo
+            slack = np.divide(slack, rng, out=np.zeros_like(rng), where=rng != 0) + 8 * np.finfo(np.float64).eps
+
+        def exact(rows, cols, base):
+            x = _exact(Uq, V, rows, cols + base)
+            if spec.scaled:
+                x = np.divide(x - lo[rows], rng[rows], out=np.zeros_like(x), where=rng[rows] != 0)
+            return x
+
         if spec.op == "stats":
             mn = np.full(b - a, np.inf)
             mx = np.full(b - a, -np.inf)
@@ -109,20 +140,24 @@ def _run_kernel(q: pd.DataFrame, ids: np.ndarray, V: np.ndarray, spec: _Spec) ->
         for c in range(0, n, ITEM_TILE):
             e = min(c + ITEM_TILE, n)
             tid = ids[c:e]
-            S = _scores(Uq, V[c:e])
+            S = Uq @ V[c:e].T
             if spec.scaled:
                 S = _scaled(S, lo, hi)
+            if spec.op == "stats" and spec.count:
+                other = tid[None, :] != h[:, None]
+                cnt += ((S > (t + slack)[:, None]) & other).sum(axis=1)
+                rr, cc = np.nonzero((np.abs(S - t[:, None]) <= slack[:, None]) & other)
+                x = exact(rr, cc, c)
+                if spec.count == "geq":
+                    beats = x >= t[rr]
+                else:  # "gt_tie_desc": strictly higher, or equal with a higher item id
+                    beats = (x > t[rr]) | ((x == t[rr]) & (tid[cc] > h[rr]))
+                cnt += np.bincount(rr[beats], minlength=b - a)
             if spec.op == "stats":
-                if e > c:
-                    mn = np.minimum(mn, S.min(axis=1))
-                    mx = np.maximum(mx, S.max(axis=1))
-                if spec.count:
-                    other = tid[None, :] != h[:, None]
-                    if spec.count == "geq":
-                        beats = (S >= t[:, None]) & other
-                    else:  # "gt_tie_desc": strictly higher, or equal with a higher item id
-                        beats = ((S > t[:, None]) | ((S == t[:, None]) & (tid[None, :] > h[:, None]))) & other
-                    cnt += beats.sum(axis=1)
+                rr, cc = np.nonzero(S <= (S.min(axis=1) + 2 * slack)[:, None])
+                np.minimum.at(mn, rr, exact(rr, cc, c))
+                rr, cc = np.nonzero(S >= (S.max(axis=1) - 2 * slack)[:, None])
+                np.maximum.at(mx, rr, exact(rr, cc, c))
             else:
                 # every row keeps its best kmax of this tile (ties at the cut all kept), vectorised
                 kmax = int(min(kf.max(initial=0), e - c))
@@ -130,12 +165,12 @@ def _run_kernel(q: pd.DataFrame, ids: np.ndarray, V: np.ndarray, spec: _Spec) ->
                     continue
                 if kmax < e - c:
                     thr = np.partition(S, (e - c) - kmax, axis=1)[:, (e - c) - kmax]
-                    rr, cc = np.nonzero(S >= thr[:, None])
+                    rr, cc = np.nonzero(S >= (thr - 2 * slack)[:, None])
                 else:
                     rr, cc = np.nonzero(np.ones_like(S, dtype=bool))
                 c_rows.append(rr)
                 c_ids.append(tid[cc])
-                c_sc.append(S[rr, cc])
+                c_sc.append(exact(rr, cc, c))
         if spec.op == "stats":
             res = part[spec.keys].copy()
             res["lo"] = np.where(np.isfinite(mn), mn, np.nan)

@@ -28,23 +28,22 @@ def test_pairs(triples: DataFrame, first: str = "lowest_id", seed: int = 7) -> D
     the test set onto low ids, which then lose most of their training rows;
     ``hashed`` spreads it over the catalogue.
     """
-    busy_users = (triples.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-                  .where(F.col("n") > MIN_USER_ROWS).select("user_id"))
     shared_items = (triples.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
                     .where(F.col("n") > MIN_ITEM_ROWS).select("item_id"))
-    busy = salted_join(triples, busy_users, ["user_id"], "left_semi")
+    n = F.count(F.lit(1)).alias("_n")
     if first == "lowest_id":
         # (user, item) is unique, so min(item) and the rating at that item describe one row;
         # both are fixed-width aggregates and stay in a hash aggregate
-        first_rows = busy.groupBy("user_id").agg(F.min("item_id").alias("item_id"),
-                                                 F.min_by("rating", "item_id").alias("rating"))
+        per_user = triples.groupBy("user_id").agg(n, F.min("item_id").alias("item_id"),
+                                                  F.min_by("rating", "item_id").alias("rating"))
     elif first == "hashed":
         key = F.conv(F.substring(F.md5(F.concat_ws("-", "user_id", "item_id", F.lit(seed))), 1, 15), 16, 10) \
             .cast("bigint")
-        first_rows = (busy.withColumn("_k", key).groupBy("user_id")
-                      .agg(F.min_by("item_id", "_k").alias("item_id"), F.min_by("rating", "_k").alias("rating")))
+        per_user = (triples.withColumn("_k", key).groupBy("user_id")
+                    .agg(n, F.min_by("item_id", "_k").alias("item_id"), F.min_by("rating", "_k").alias("rating")))
     else:
         raise ValueError(f"unknown first-row rule {first!r}")
+    first_rows = per_user.where(F.col("_n") > MIN_USER_ROWS)
     # many users can share the same first item: salted like a hot user
     return salted_join(first_rows, shared_items, ["item_id"], "left_semi").select("user_id", "item_id", "rating")
 

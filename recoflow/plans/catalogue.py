@@ -241,10 +241,6 @@ def q_log_loss(spark, sf_dir):
 
 # ---- models (rows-only: fitted factors have no SQL equivalent) ------------------------
 
-ALS_ITERATIONS = 10   # smoke-scale default for the catalogue; library default is 20
-FM_ITERATIONS = 10
-
-
 def _als_split(spark, sf_dir):
     inter = _inter(spark, sf_dir)
     train, test = split.leave_one_out(inter)
@@ -253,20 +249,20 @@ def _als_split(spark, sf_dir):
 
 def q_als_recommend(spark, sf_dir):
     inter, train, _ = _als_split(spark, sf_dir)
-    model = models.fit_als(train, iterations=ALS_ITERATIONS)
+    model = models.fit_als(train)
     return models.als_recommend(model, inter, 5).select("user_id", "rank", "item_id", _r("score"))
 
 
 def q_als_grid(spark, sf_dir):
     _, train, test = _als_split(spark, sf_dir)
-    _, grid = models.als_grid(train, test, k=5, iterations=(ALS_ITERATIONS,))
+    _, grid = models.als_grid(train, test, k=5)
     return grid
 
 
 def q_als_report(spark, sf_dir):
     """Per requested key, {package_subscribed count, package_recommended list} as JSON."""
     inter, train, _ = _als_split(spark, sf_dir)
-    model = models.fit_als(train, iterations=ALS_ITERATIONS)
+    model = models.fit_als(train)
     req = report.resolve_user_keys(request_keys(spark, sf_dir), T.user_names(spark, sf_dir))
     wanted = req.select(F.col("user_id").alias("id")).where(F.col("id").isNotNull()).distinct()
     recs = models.als_recommend(model, inter, 5, users=wanted)
@@ -283,9 +279,9 @@ def q_als_report(spark, sf_dir):
 
 
 def q_als_metrics_by_k(spark, sf_dir):
-    """R4 + A12 with the confidence-weighted ALS: the k sweep from one fit."""
+    """R4 + A12 with the confidence-weighted ALS at the sweep's 20 iterations: all k from one fit."""
     _, train, test = _als_split(spark, sf_dir)
-    model = models.fit_confidence_als(train, iterations=ALS_ITERATIONS)
+    model = models.fit_confidence_als(train, iterations=C.RDD_ALS_ITERATIONS)
     uf, itf = models.als_factors(model)
     ranks = R.masked_label_ranks(uf, itf, test, train)
     return M.metrics_from_ranks(ranks)
@@ -294,7 +290,7 @@ def q_als_metrics_by_k(spark, sf_dir):
 def q_als_coverage(spark, sf_dir):
     """Coverage of the confidence-weighted ALS's top-5 lists over all users."""
     _, train, _ = _als_split(spark, sf_dir)
-    model = models.fit_confidence_als(train, iterations=ALS_ITERATIONS)
+    model = models.fit_confidence_als(train)
     uf, itf = models.als_factors(model)
     recs = R.recommend_masked(uf, itf, train, C.TOP_ITEMS_REPORTED)
     return report.coverage_share(report.item_frequency(recs), itf.count())
@@ -305,7 +301,7 @@ def q_pointwise_fm(spark, sf_dir):
     _, train, test = _als_split(spark, sf_dir)
     negs = negatives.sample_train_negatives(train, n=C.POINTWISE_NEGATIVES, seed=7)
     rows = materialize(models.pointwise_training_set(train, negs))
-    model = models.fit_pointwise(rows, iterations=FM_ITERATIONS)
+    model = models.fit_pointwise(rows)
     loss = M.log_loss(models.pointwise_scores(model, rows)).first()["log_loss"]
     scored = models.pointwise_scores(model, test.select("user_id", "item_id", F.lit(1.0).alias("label")))
     return scored.select("user_id", "item_id", "label", _r("prob"), F.lit(loss).alias("train_log_loss"))
@@ -316,7 +312,7 @@ def q_pointwise_heldout(spark, sf_dir):
     _, train, test = _als_split(spark, sf_dir)
     negs = negatives.sample_train_negatives(train, n=C.POINTWISE_NEGATIVES, seed=7)
     rows = materialize(models.pointwise_training_set(train, negs))
-    model = models.fit_pointwise(rows, iterations=FM_ITERATIONS)
+    model = models.fit_pointwise(rows)
     uf, itf = models.pointwise_factors(model)
     return R.heldout_ranks(uf, itf, test).select("user_id", "item_id", "heldout_rank", "hit", _r("ndcg"))
 

@@ -85,8 +85,14 @@ def DOT(a: str, b: str) -> str:
     return f"list_reduce(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2]), lambda x, y: x + y)"
 
 
-FACTORS = """uf AS (SELECT CAST(vec_id AS INTEGER) AS id, CAST(embedding AS DOUBLE[]) AS f FROM embeddings WHERE vec_id < 100),
-itf AS (SELECT CAST(vec_id - 100 AS INTEGER) AS id, CAST(embedding AS DOUBLE[]) AS f FROM embeddings WHERE vec_id >= 100)"""
+FACTORS = """vecs AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, COUNT(*) OVER () AS n FROM embeddings),
+nvec AS (SELECT COUNT(*) AS n FROM embeddings),
+uf AS (SELECT k.id, list_transform(vecs.v, lambda x: x * k.m) AS f
+  FROM (SELECT CAST(c_custkey AS INTEGER) AS id, 1.0::DOUBLE + (c_custkey % 101) / 128.0::DOUBLE AS m, c_custkey % n AS vec FROM customer, nvec) k
+  JOIN vecs ON vecs.vec_id = k.vec),
+itf AS (SELECT k.id, list_transform(vecs.v, lambda x: x * k.m) AS f
+  FROM (SELECT CAST(p_partkey AS INTEGER) AS id, 1.0::DOUBLE + (p_partkey % 103) / 128.0::DOUBLE AS m, (p_partkey + 100) % n AS vec FROM part, nvec) k
+  JOIN vecs ON vecs.vec_id = k.vec)"""
 
 ALLSCORES = f"""allscores AS (
   SELECT u.id AS user_id, i.id AS item_id, {DOT('u.f', 'i.f')} AS s FROM uf u, itf i)"""
@@ -107,24 +113,22 @@ masked_top5 AS (
 HELDOUT = f"""hq AS (
   SELECT t.user_id, t.item_id AS h, {DOT('u.f', 'i.f')} AS t FROM test t JOIN uf u ON t.user_id = u.id JOIN itf i ON t.item_id = i.id)"""
 
-TRAIN_NEG = """pos AS (SELECT user_id, item_id FROM train),
-cat AS (SELECT CAST(row_number() OVER (ORDER BY item_id) - 1 AS INTEGER) AS idx, item_id FROM (SELECT DISTINCT item_id FROM pos)),
-ncat AS (SELECT COUNT(*) AS n FROM cat),
-eligible AS (
-  SELECT p.user_id, p.item_id FROM pos p JOIN (SELECT user_id, COUNT(*) AS np FROM pos GROUP BY 1) c USING (user_id)
-  WHERE c.np < (SELECT n FROM ncat)),
+TRAIN_NEG = """pos AS (SELECT DISTINCT user_id, item_id FROM train),
+cat AS (SELECT DISTINCT item_id FROM pos),
+free AS (
+  SELECT u.user_id, c.item_id, row_number() OVER (PARTITION BY u.user_id ORDER BY c.item_id) - 1 AS r,
+         COUNT(*) OVER (PARTITION BY u.user_id) AS n_free
+  FROM (SELECT DISTINCT user_id FROM pos) u, cat c
+  WHERE NOT EXISTS (SELECT 1 FROM pos p WHERE p.user_id = u.user_id AND p.item_id = c.item_id)),
+nfree AS (SELECT user_id, COUNT(*) AS n FROM free GROUP BY 1),
 draws AS (
-  SELECT e.user_id, e.item_id, r.t,
-         CAST(CAST(('0x' || substr(md5(CAST(e.user_id AS VARCHAR) || '-' || CAST(e.item_id AS VARCHAR) || '-'
-              || CAST(r.t AS VARCHAR) || '-7'), 1, 8)) AS BIGINT) % (SELECT n FROM ncat) AS INTEGER) AS idx
-  FROM eligible e, range(1, 33) r(t)),
+  SELECT p.user_id, p.item_id, d.t,
+         CAST(('0x' || substr(md5(CAST(p.user_id AS VARCHAR) || '-' || CAST(p.item_id AS VARCHAR) || '-'
+              || CAST(d.t AS VARCHAR) || '-7'), 1, 8)) AS BIGINT) % f.n AS r
+  FROM pos p JOIN nfree f USING (user_id), range(1, 3) d(t)),
 negs AS (
-  SELECT * FROM (
-    SELECT d.user_id, d.item_id, c.item_id AS neg_item,
-           CAST(row_number() OVER (PARTITION BY d.user_id, d.item_id ORDER BY d.t) AS INTEGER) AS draw
-    FROM draws d JOIN cat c USING (idx)
-    WHERE NOT EXISTS (SELECT 1 FROM pos p WHERE p.user_id = d.user_id AND p.item_id = c.item_id))
-  WHERE draw <= 2)"""
+  SELECT d.user_id, d.item_id, f.item_id AS neg_item, CAST(d.t AS INTEGER) AS draw
+  FROM draws d JOIN free f ON f.user_id = d.user_id AND f.r = d.r)"""
 
 
 def w(*ctes: str) -> str:

@@ -92,6 +92,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df):
-    """Cut lineage with a reliable checkpoint in the shared folder (never a local one)."""
+    """Write the table once as Parquet in the shared folder and read it from there: lineage is cut, columns can be pruned."""
+    path = scratch_path(df.sparkSession, "handoff")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpointed(df):
+    """Reliable checkpoint in the shared folder, for callers that need the partitions and their order kept."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)

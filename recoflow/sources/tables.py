@@ -10,7 +10,8 @@ tables so that every query's work grows with the data:
   the msisdn and offer spellings are derived from the keys by the rule in
   ``raw_msisdn`` / ``raw_offer`` so that every cleaning rule has work to do.
 * offer attributes: one row per part.
-* factor tables: ``embeddings``; ``vec_id < 100`` are users, the rest items.
+* factor tables: one row per customer and per part; a vector of ``embeddings``
+  chosen by the id, scaled by a factor of the id so that equal scores stay rare.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixture-derivation parameters (ours, not the original system's).
-USER_VECTORS = 100          # embeddings.vec_id below this are user factors
+ITEM_VECTOR_SHIFT = 100     # item i takes vector (i + shift) mod n, user u vector u mod n
+USER_SCALES, ITEM_SCALES = 101, 103   # vector of id x is scaled by 1 + (x mod this) / 128
 MSISDN_BASE = 84300000000   # standardized msisdn of customer c is MSISDN_BASE + c
 Q1_FROM = "1996-01-01 00:00:00"
 Q1_TO = "1996-04-01 00:00:00"
@@ -126,18 +128,25 @@ def user_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- factor tables -----------------------------------------------------------------
 
+def _factors(spark: SparkSession, sf_dir: str, ids: DataFrame, shift: int, scales: int) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    n = max(vectors.count(), 1)  # from the file footers
+    e = vectors.select(F.col("vec_id").cast("bigint").alias("_vec"), F.col("embedding").cast("array<double>").alias("_v"))
+    scale = F.lit(1.0) + F.pmod(F.col("id"), F.lit(scales)) / F.lit(128.0)
+    return (ids.withColumn("_vec", F.pmod(F.col("id").cast("bigint") + F.lit(shift), F.lit(n)))
+            .join(e, "_vec").select("id", F.transform("_v", lambda x: x * scale).alias("features")))
+
+
 def user_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    return e.where(F.col("vec_id") < USER_VECTORS).select(
-        F.col("vec_id").cast("int").alias("id"),
-        F.col("embedding").cast("array<double>").alias("features"))
+    """(id int, features array<double>) for every customer."""
+    ids = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("int").alias("id"))
+    return _factors(spark, sf_dir, ids, 0, USER_SCALES)
 
 
 def item_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    return e.where(F.col("vec_id") >= USER_VECTORS).select(
-        (F.col("vec_id") - USER_VECTORS).cast("int").alias("id"),
-        F.col("embedding").cast("array<double>").alias("features"))
+    """(id int, features array<double>) for every part."""
+    ids = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("id"))
+    return _factors(spark, sf_dir, ids, ITEM_VECTOR_SHIFT, ITEM_SCALES)
 
 
 # ---- request envelopes ---------------------------------------------------------------

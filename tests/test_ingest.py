@@ -15,10 +15,10 @@ def rows(df):
 def test_sample_lines_round_trip(spark, tmp_dir):
     path = f"{tmp_dir}/raw.txt"
     with open(path, "w") as f:
-        f.write("84349587967,DK3,MiMax70,ST90\n84349587968,DK3,MiMax90,ST70\n")
+        f.write("84300000007,AB1,Big20,Day5\n84300000008,AB1,Big30,Day6\n")
     out = ingest.standardize_subscribers(files.read_raw_lines(spark, path))
-    assert rows(out) == [(84349587967, "DK3"), (84349587967, "MiMax70"), (84349587967, "ST90"),
-                         (84349587968, "DK3"), (84349587968, "MiMax90"), (84349587968, "ST70")]
+    assert rows(out) == [(84300000007, "AB1"), (84300000007, "Big20"), (84300000007, "Day5"),
+                         (84300000008, "AB1"), (84300000008, "Big30"), (84300000008, "Day6")]
 
 
 def test_msisdn_prefix_rewrite_first_occurrence_only(spark):
