@@ -238,8 +238,7 @@ def components(edges: DataFrame) -> DataFrame:
     neighbour, until all edges are stars; about log(size) rounds. Tables only, nothing is collected.
     """
     cur = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "cc")
-    was = _fingerprint(cur)
-    while True:
+    while not _only_stars(cur):
         both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: neighbours above a node go to the smallest of its neighbourhood
@@ -249,16 +248,32 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")) \
             .unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         cur = written(small, "cc")
-        print_ = _fingerprint(cur)
-        if print_ == was:
-            return cur.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-        was = print_
+    return cur.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    """Number and hash sums of the edges: equal for equal sets of edges."""
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "u"))).first()
-    return tuple(row)
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether every node of the edges (u, v), u > v, is either a centre or has one edge, to its centre."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up")))
+    return ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least")) \
+        .where("ups > 1 or (ups = 1 and least = 0)").isEmpty()
+
+
+def merged(comp: DataFrame, edges: DataFrame) -> DataFrame:
+    """``comp`` (node, comp) with the links of ``edges`` (a, b) added: only the components that they touch are worked on."""
+    if edges.isEmpty():
+        return comp
+    over = components(_in_components(edges, comp).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    moved = over.select(F.col("node").alias("was"), F.col("comp").alias("now"))
+    kept = comp.join(moved, comp.comp == moved.was, "left").select("node", F.coalesce("now", "comp").alias("comp"))
+    # components of one set have no row of their own yet
+    new = over.join(comp, "node", "left_anti")
+    return written(kept.unionByName(new), "comp")
+
+
+def _in_components(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """(a, b, ca, cb): pairs with the component of either set."""
+    ca, cb = comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), comp.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
+    return pairs.join(ca, "a", "left").join(cb, "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
 
 
 def set_components(docs: DataFrame, text_col: str, size: int, pct: int, sets: DataFrame) -> DataFrame:
@@ -281,14 +296,14 @@ def set_components(docs: DataFrame, text_col: str, size: int, pct: int, sets: Da
     comp = components(edges)
     # 2: the other star links between sets that are still apart; 3: all sets of a signature that are still apart
     edges2 = written(linked_pairs(_apart(pairs.select("a", "b"), comp).join(best, ["a", "b"], "left_anti"), bodies, pct), "edges")
-    comp = components(edges.unionByName(edges2))
+    comp = merged(comp, edges2)
     members = linked.select("sig", "sid").unionByName(linked.select("sig", F.col("top").alias("sid"))).distinct()
     placed = members.join(comp, members.sid == comp.node, "left").select("sig", "sid", F.coalesce("comp", "sid").alias("comp"))
     split = placed.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("sig")
     rest = placed.join(split, "sig", "left_semi").select("sid", "comp").distinct()
     cross = _possible(rest, bodies, pct).join(pairs, ["a", "b"], "left_anti")
     edges3 = written(linked_pairs(cross, bodies, pct), "edges")
-    return components(edges.unionByName(edges2).unionByName(edges3)).select(F.col("node").alias("sid"), F.col("comp").alias("comp_sid"))
+    return merged(comp, edges3).select(F.col("node").alias("sid"), F.col("comp").alias("comp_sid"))
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,9 +336,7 @@ def _possible(rest: DataFrame, bodies: DataFrame, pct: int) -> DataFrame:
 
 
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    ca, cb = comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), comp.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-    return pairs.join(ca, "a", "left").join(cb, "b", "left") \
-        .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    return _in_components(pairs, comp).where("ca != cb").select("a", "b")
 
 
 def _links_and_passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
