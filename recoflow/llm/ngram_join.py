@@ -24,7 +24,8 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,9 @@ from recoflow.llm.shared import NULL_ID, key_columns, keyed, shuffle_partitions,
 
 SIZE, PCT = 4, 85
 FLUSH = 1_000_000
+#: Words of 64 parity bits a set.
+PARITY = 4
+_BITS = [f"p{k}" for k in range(PARITY)]
 U = np.uint64
 _WORD = tk.byte_class("space")
 
@@ -150,19 +154,21 @@ def _star(sig: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return sig, sid, top
 
 
-def _rows(sig, sid, top) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(sid), pa.array(top)], names=["sig", "sid", "top"])
+def _rows(sig, sid, top, own: bool = True) -> pa.RecordBatch:
+    """``own`` False: top is null where it is the set itself (most rows, and nulls take no room in a shuffle)."""
+    tops = pa.array(top) if own else pa.array(top, mask=top == sid)
+    return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(sid), tops], names=["sig", "sid", "top"])
 
 
 def _signature_rows(size: int, pct: int):
-    """(sig, sid, top): top is the smallest set of the signature in this flush; the row with sid = top stands for all."""
+    """(sig, sid, top): top is the smallest set of the signature in this flush, null in its own row, which stands for all."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig, sid, held = [], [], 0
 
         def flush():
             s, i, t = _star(np.concatenate(sig), np.concatenate(sid))
             for a in range(0, len(s), 100_000):
-                yield _rows(s[a: a + 100_000], i[a: a + 100_000], t[a: a + 100_000])
+                yield _rows(s[a: a + 100_000], i[a: a + 100_000], t[a: a + 100_000], own=False)
 
         for b in batches:
             for s in shingle_sets(b.column(0), size):
@@ -198,13 +204,23 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(sig[link], sid[link], top[link])
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """PARITY words of 64 bits: each bit tells whether an odd number of elements hash to it.
+
+    Two sets differ in at least as many elements as their bits differ.
+    """
+    odd = np.bincount((tk.mix(s + U(0x3C6EF372FE94F82B)) % U(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _packed(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [(set_id(s), s.tobytes()) for s in shingle_sets(b.column(0), size)]
+            made = [(set_id(s), s.tobytes(), len(s), parity(s)) for s in shingle_sets(b.column(0), size)]
             for a in range(0, len(made), 256):
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in made[a: a + 256]], pa.int64()),
-                                                  pa.array([x for _, x in made[a: a + 256]], pa.binary())], names=["sid", "body"])
+                ids, bodies, lengths, bits = zip(*made[a: a + 256])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bodies, pa.binary()), pa.array(lengths, pa.int64()),
+                                                  *(pa.array([x[k] for x in bits], pa.int64()) for k in range(PARITY))], names=["sid", "body", "n", *_BITS])
     return run
 
 
@@ -289,7 +305,7 @@ def set_components(docs: DataFrame, text_col: str, size: int, pct: int, sets: Da
     involved = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
     first = sets.groupBy("set_id").agg(F.min(F.struct("ord", "tk")).alias("f")).join(involved, "set_id").select("f.ord", "f.tk")
     texts = keyed(docs, "doc_id", text_col).join(first, ["ord", "tk"], "left_semi").select("text")
-    bodies = written(texts.mapInArrow(_packed(size), "sid long, body binary").dropDuplicates(["sid"]), "bodies")
+    bodies = written(texts.mapInArrow(_packed(size), f"sid long, body binary, n long, {', '.join(f'{c} long' for c in _BITS)}").dropDuplicates(["sid"]), "bodies")
     # 1: each set with the one it shares most signatures with
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
     edges = written(linked_pairs(best, bodies, pct), "edges")
@@ -307,31 +323,39 @@ def set_components(docs: DataFrame, text_col: str, size: int, pct: int, sets: Da
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sid, comp, n, token) of each element of the sets."""
+    """(sid, token) of each element of the sets."""
     for b in batches:
         for i in range(b.num_rows):
-            body = np.frombuffer(b.column(2)[i].as_buffer(), np.int64)
-            n = len(body)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, b.column(0)[i].as_py())), pa.array(np.full(n, b.column(1)[i].as_py())),
-                                              pa.array(np.full(n, n, np.int64)), pa.array(body)], names=["sid", "comp", "n", "token"])
+            body = np.frombuffer(b.column(1)[i].as_buffer(), np.int64)
+            for a in range(0, len(body), 100_000):
+                part = body[a: a + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), b.column(0)[i].as_py())), pa.array(part)], names=["sid", "token"])
 
 
 def _possible(rest: DataFrame, bodies: DataFrame, pct: int) -> DataFrame:
     """Pairs (a, b) of sets of different components that can still link; ``rest`` (sid, comp): the sets of signatures that are apart.
 
     Texts around a common passage share signatures without being similar, so pairs within such signatures are not listed. Linked sets
-    share an element among the rarest (100 - pct) % of either, ordered by frequency, with enough elements after it for the overlap needed.
+    share an element among the rarest (100 - pct) % of either, ordered by frequency, with enough elements after it for the overlap needed,
+    and differ in no more parity bits than a linked pair may differ in elements. Elements of one set alone only count as positions.
     """
-    tokens = written(rest.join(bodies, "sid").select("sid", "comp", "body").mapInArrow(_exploded, "sid long, comp long, n long, token long"), "tokens")
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f"))
-    rank = Window.partitionBy("sid").orderBy("f", "token")
-    prefix = tokens.join(often, "token").withColumn("pos", F.row_number().over(rank)) \
-        .where((F.col("pos") <= F.col("n") - F.ceil(F.col("n") * pct / 100) + 1) & (F.col("f") > 1))
-    prefix = written(prefix.select("token", "sid", "comp", "n", "pos"), "prefixes")
-    other = prefix.select("token", F.col("sid").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
+    rest = written(rest, "rest")
+    facts = rest.join(bodies.select("sid", "n", *_BITS), "sid")
+    tokens = written(rest.join(bodies, "sid").select("sid", "body").mapInArrow(_exploded, "sid long, token long"), "tokens")
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    of_set = Window.partitionBy("sid")
+    shared = tokens.join(often, "token").select("sid", "token", F.row_number().over(of_set.orderBy("f", "token")).alias("nth"), F.count(F.lit(1)).over(of_set).alias("of"))
+    # the elements that no other set has come first
+    prefix = shared.join(facts, "sid").withColumn("pos", F.col("n") - F.col("of") + F.col("nth")) \
+        .where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * pct / 100) + 1)
+    prefix = written(prefix.select("token", "sid", "comp", "n", "pos", *_BITS), "prefixes")
+    other = prefix.select("token", F.col("sid").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"),
+                          *(F.col(c).alias(f"{c}_b") for c in _BITS))
     enough = (100 + pct) * (1 + F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b"))) >= pct * (F.col("n") + F.col("n_b"))
     near = 100 * F.least("n", "n_b") >= pct * F.greatest("n", "n_b")
-    return prefix.join(other, (prefix.token == other.token) & (F.col("sid") > F.col("b")) & (F.col("comp") != F.col("comp_b")) & near & enough) \
+    differ = reduce(add, (F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in _BITS))
+    alike = (100 + pct) * differ <= (100 - pct) * (F.col("n") + F.col("n_b"))
+    return prefix.join(other, (prefix.token == other.token) & (F.col("sid") > F.col("b")) & (F.col("comp") != F.col("comp_b")) & near & enough & alike) \
         .select(F.col("sid").alias("a"), "b").distinct()
 
 
@@ -343,8 +367,7 @@ def _links_and_passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     """Links made in a flush pass through; heads get links to the smallest set of their signature."""
     def heads(bs):
         for b in bs:
-            sid, top = b.column(1).to_numpy(), b.column(2).to_numpy()
-            local = sid != top
+            local = b.column(2).is_valid().to_numpy(zero_copy_only=False)
             if local.any():
                 made.append(b.filter(pa.array(local)))
             yield b.filter(pa.array(~local))

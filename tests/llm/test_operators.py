@@ -123,6 +123,20 @@ def test_ngram_join_common_passage(spark):
     assert got == sorted(brute.jaccard_components(rows))
 
 
+def test_ngram_join_edited_copies(spark):
+    """Copies with a few edits of their own: some link to the first text only, some to each other only, some to none."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.randint(0, 4)):
+            words[rng.choice([3, 20, 41, 60, 77])] = f"e{rng.randint(0, 6)}"
+        rows.append((i, " ".join(words[: rng.choice([80, 80, 76, 70])])))
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(brute.jaccard_components(rows)) and len({r[2] for r in got}) > 2
+
+
 def test_ngram_join_odd_rows(spark, odd):
     out = ngram_join.jaccard_components(odd).collect()
     assert len(out) == len(TEXTS) + 3
@@ -143,6 +157,8 @@ def test_signatures_cover_linked_pairs():
             inter = len(np.intersect1d(a, b))
             if 100 * inter >= 85 * (len(a) + len(b) - inter):
                 assert len(np.intersect1d(ngram_join.signatures(a, 85), ngram_join.signatures(b, 85)))
+            bits = sum(int(x).bit_count() for x in (ngram_join.parity(a) ^ ngram_join.parity(b)).view(np.uint64))
+            assert bits <= len(a) + len(b) - 2 * inter
 
 
 def test_decontaminate(spark, docs, odd, bench):
