@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from recoflow.llm import bpe, decontaminate, ngram_join, quality_rules, suffix_dedup
 from recoflow.session import scratch_path, ship_package
 
+#: Near copies of the second stage: word shingles of this size, this Jaccard percentage or more (op7 alone has its own).
+SHINGLE, SIMILAR = 5, 80
+
 
 def _measured(docs: DataFrame) -> DataFrame:
     """n_chars of the text as it is now."""
@@ -29,7 +32,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest doc_id."""
     ship_package(spark)
-    return ngram_join.representatives(docs)
+    return ngram_join.representatives(docs, size=SHINGLE, pct=SIMILAR)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

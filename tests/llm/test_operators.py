@@ -147,6 +147,23 @@ def test_ngram_join_odd_rows(spark, odd):
     assert ngram_join.jaccard_components(empty(spark)).count() == 0 and ngram_join.representatives(empty(spark)).count() == 0
 
 
+def test_pipeline_near_duplicates(spark):
+    """Groups that only link at five words and 0.80 to 0.85, and pairs just below 0.8."""
+    rows = []
+    for g in range(12):
+        words = [f"g{g}w{i}" for i in range(100 if g % 2 else 200)]
+        if g % 2:  # 96 / 116 up to 96 / 124
+            other = words + [f"g{g}x{i}" for i in range(20 + 2 * (g // 4) * 2)]
+        else:  # 176 / 216, 171 / 221
+            other = [f"e{g}" if i in [20, 60, 100, 140, 180][: 4 + g // 6] else w for i, w in enumerate(words)]
+        rows += [(10 * g, " ".join(words)), (10 * g + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    want = sorted(d for d, _, c in brute.jaccard_components(rows, 5, 80) if c == d)
+    assert got == want and 13 < len(want) < 23 and 1 not in got and 11 not in got
+    assert len({c for _, _, c in brute.jaccard_components(rows)}) == len(rows)  # none links at op7's four words and 0.85
+
+
 def test_signatures_cover_linked_pairs():
     rng = np.random.default_rng(4)
     for n in [1, 5, 7, 12, 20, 40, 90, 200, 600]:
