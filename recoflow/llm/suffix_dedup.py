@@ -267,12 +267,13 @@ _STRETCH_FIELDS = [("h", pa.int64()), ("c", pa.int64()), ("ord", pa.int64()), ("
 
 
 def _first_of_copies(h, c, ord_, tk_, start):
-    """Order of the rows and which of them are not the first of their (h, c)."""
+    """Order of the rows, each place once (repeated rows are one document), and which of them are not the first of their (h, c)."""
     order = np.lexsort((start, tk_, ord_, c, h))
-    hs, cs = h[order], c[order]
-    copy = np.zeros(len(order), bool)
-    copy[1:] = (hs[1:] == hs[:-1]) & (cs[1:] == cs[:-1])
-    return order, copy
+    same = [x[order][1:] == x[order][:-1] for x in (h, c, ord_, tk_, start)]
+    copy, again = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    copy[1:] = same[0] & same[1]
+    again[1:] = np.logical_and.reduce(same)
+    return order[~again], copy[~again]
 
 
 def _stretch_rows(size: int, heavy: np.ndarray, counting: bool):
@@ -319,6 +320,12 @@ def _stretch_rows(size: int, heavy: np.ndarray, counting: bool):
     return run
 
 
+def _at_first(head: np.ndarray, *place: np.ndarray) -> np.ndarray:
+    """Which rows have the place of the head of their run."""
+    first = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
+    return np.logical_and.reduce([x == x[first] for x in place])
+
+
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Firsts of flushes sorted by (h, c, ord, tk, start): all but the first of a (h, c) are copies; firsts of anchors
     with several different stretches are marked ``several`` and go on. Copies found in a flush only pass through."""
@@ -330,7 +337,8 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new_c = new_h | np.concatenate(([True], c[1:] != c[:-1]))
         group = np.cumsum(new_h) - 1
         several = np.bincount(group, weights=new_c)[group] > 1
-        keep = ~new_c | several
+        # the first of a class again, from a repeated row in another flush, is no copy
+        keep = np.where(new_c, several, ~_at_first(new_c, *(t.column(x).to_numpy() for x in ("ord", "tk", "start"))))
         out = t.append_column("several", pa.array(new_c)).filter(pa.array(keep))
         return out.to_batches()
 
@@ -391,8 +399,10 @@ def covered_strings(ord_: np.ndarray, tk_: np.ndarray, start: np.ndarray, n: np.
     at = start[row] + inside
     by = np.lexsort((at, tk_[row], ord_[row], cls))
     row, at, cls = row[by], at[by], cls[by]
-    again = np.zeros(len(row), bool)
-    again[1:] = cls[1:] == cls[:-1]
+    head = np.ones(len(row), bool)
+    head[1:] = cls[1:] != cls[:-1]
+    # bodies of repeated rows have one place: only what starts later is covered
+    again = ~_at_first(head, ord_[row], tk_[row], at)
     return row[again], at[again]
 
 

@@ -94,6 +94,32 @@ def test_suffix_dedup_odd_rows(spark, docs, odd):
     assert suffix_dedup.remove_repeats(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("flush", [400_000, 1])
+@pytest.mark.parametrize("heavy", [False, True])
+def test_suffix_dedup_repeated_rows(spark, monkeypatch, heavy, flush):
+    """Rows that share doc_id and text are one document: only what starts earlier goes, from each of them."""
+    monkeypatch.setattr(suffix_dedup, "FLUSH", flush)  # 1: each row is a flush of its own
+    if heavy:
+        monkeypatch.setattr(suffix_dedup, "HEAVY_LEAST", 2)
+    rng = random.Random(3)
+    say = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    a, b, shared = say(60), say(60), say(30)
+    rows = [(1, a), (2, f"{say(20)} {shared} {say(20)}"), (3, b), (4, f"{say(25)} {shared} {say(15)}"), (5, a), (6, f"{b} {b}")]
+    repeated = [*rows, rows[0], rows[0], rows[1], rows[3], rows[4], rows[5]]
+    want = _removed([(i, t.encode()) for i, t in rows])
+    docs = spark.createDataFrame(repeated, "doc_id long, text string")
+    for parts in (1, 4):
+        got = [(r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in suffix_dedup.deduplicate(docs.repartition(parts)).collect()]
+        assert sorted(got) == sorted((i, want[i]) for i, _ in repeated)
+    assert want[1][1] == 0 and want[2][1] == 0 and want[5][1] == want[5][0] and 0 < want[4][1] < want[4][0]
+    assert sorted(r.doc_id for r in suffix_dedup.remove_repeats(docs).collect()) == sorted(i for i, _ in repeated if i != 5)
+
+
+def test_suffix_dedup_odd_rows_keep_repeated(odd):
+    got = [(r.n_removed, r.kept_sha256) for r in suffix_dedup.deduplicate(odd).where("doc_id = 3").collect()]
+    assert got == [(0, hashlib.sha256(TEXTS[3].encode()).hexdigest())] * 2
+
+
 def test_quality_base_counts(docs):
     got = {r.doc_id: tuple(r)[1:7] for r in quality_rules.verdicts(docs).select("doc_id", *quality_rules.COUNTS, "base_failed").collect()}
     assert got == {i: brute.base_counts(t) for i, t in enumerate(TEXTS)}
