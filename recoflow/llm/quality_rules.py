@@ -3,7 +3,8 @@
 Method: minimum covariance determinant. Every text gives a vector of transformed statistics; every
 (lang, source) group gets a centre and scatter from concentration steps over *all* its rows (keep the share
 H of rows closest by Mahalanobis distance, estimate anew, repeat), started from several robust scalings; the
-start with the smallest determinant wins. A text is rejected when its distance exceeds the chi-square cut.
+start with the smallest determinant wins. The centre and scatter of all rows near the winner (within NEAR) are the group's estimate.
+A text is rejected when its distance exceeds the chi-square cut. With H at one half, up to nearly half of a group may be junk.
 
 The steps are grouped aggregations: each iteration joins the small table of estimates, finds each group's
 H-quantile of the distance from a histogram of logarithmic bins, and sums vectors and products of the rows
@@ -36,15 +37,18 @@ FEATURES = ["word_len", "symbols", "upper", "marks", "repeats", "dup_lines", "ri
 FLOOR = [0.05, 0.05, 0.06, 0.05, 0.10, 0.10, 0.03]
 #: Statistics are rounded to multiples of 1 / GRAIN.
 GRAIN = 1024
-H_SHARE = 0.75
+H_SHARE = 0.5
 C_STEPS = 6
-MIN_GROUP = 200
+#: Ten times the number of statistics.
+MIN_GROUP = 70
 BINS_PER_OCTAVE = 16
 #: Cut on the squared distance: the chi-square quantile with len(FEATURES) degrees of freedom at 1 - 1e-7
 #: (a text of clean prose passes; junk lies far beyond).
 CUT = 46.0
 #: Factor that makes the covariance of the closest H rows consistent for normal data with 7 dimensions.
-CONSISTENCY = 1.4
+CONSISTENCY = 1.694
+#: The last estimate is taken from all rows within the chi-square quantile at 0.975; its factor.
+NEAR, NEAR_CONSISTENCY = 16.01, 1.045
 
 _WORD = tk.byte_class("space")
 _IS_SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
@@ -243,9 +247,12 @@ def mcd_estimates(stats: DataFrame) -> DataFrame:
         counts = near.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("c"), *_moment_sums())
         merged = _closest(counts, keys)
         est = written(merged.mapInArrow(_estimate(CONSISTENCY), _EST), "mcd-step")
-    best = est.groupBy("level", "g_lang", "g_source").agg(F.min_by(F.struct("n", "centre", "precision"), F.struct("logdet", "start")).alias("e"))
-    sizes = rows.groupBy("level", "g_lang", "g_source").agg(F.count(F.lit(1)).alias("rows"))
-    return best.join(sizes, ["level", "g_lang", "g_source"]).select("level", "g_lang", "g_source", "rows", "e.centre", "e.precision")
+    group = ["level", "g_lang", "g_source"]
+    best = est.groupBy(*group).agg(F.min_by(F.struct("start", "centre", "precision"), F.struct("logdet", "start")).alias("e")).select(*group, "e.*")
+    near = rows.join(best, group).where(_distance(_vector()) <= NEAR).drop("centre", "precision")
+    last = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *_moment_sums()).select(*keys, "n", *_moments())
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("rows"))
+    return last.mapInArrow(_estimate(NEAR_CONSISTENCY), _EST).join(sizes, group).select(*group, "rows", "centre", "precision")
 
 
 def _moment_sums() -> list:
@@ -255,18 +262,21 @@ def _moment_sums() -> list:
             *(F.sum(v[i] * v[j]).alias(f"s2_{i}_{j}") for i in range(d) for j in range(i, d))]
 
 
+def _moments(total=F.col) -> list:
+    """The sums of a group as arrays s1 and s2."""
+    d = len(FEATURES)
+    return [F.array(*(total(f"s1_{i}") for i in range(d))).alias("s1"), F.array(*(total(f"s2_{i}_{j}") for i in range(d) for j in range(i, d))).alias("s2")]
+
+
 def _closest(counts: DataFrame, keys: list[str]) -> DataFrame:
     """Moments of the bins up to the one that holds a group's H-quantile (a few hundred bins a group)."""
     from pyspark.sql import Window
 
-    d = len(FEATURES)
     ordered = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     kept = counts.withColumn("before", F.coalesce(F.sum("c").over(ordered), F.lit(0))).withColumn("all", F.sum("c").over(whole)) \
         .where(F.col("before") < H_SHARE * F.col("all"))
-    return kept.groupBy(*keys).agg(
-        F.sum("c").alias("n"), F.array(*(F.sum(f"s1_{i}") for i in range(d))).alias("s1"),
-        F.array(*(F.sum(f"s2_{i}_{j}") for i in range(d) for j in range(i, d))).alias("s2"))
+    return kept.groupBy(*keys).agg(F.sum("c").alias("n"), *_moments(F.sum))
 
 
 def _grouped(stats: DataFrame, lang_col: str, source_col: str) -> DataFrame:

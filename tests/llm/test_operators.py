@@ -131,6 +131,20 @@ def test_quality_estimates_and_outliers(spark):
     assert sum(got[i] for i in range(300)) >= 297 and not any(got[1000 + i] for i in range(60))
 
 
+def test_quality_estimates_nearly_half_junk(spark):
+    """Sources of which 30 to 45 % are junk, one of them small, and one without junk."""
+    rows, junk = [], set()
+    for source, n, share in (("a", 300, 30), ("b", 300, 40), ("c", 300, 45), ("small", 80, 40), ("clean", 300, 0)):
+        for i in range(n):
+            text = prose(80)
+            if 100 * i < share * n:
+                junk.add(len(rows))
+                text = " ".join(w + "$" * RNG.randint(1, 4) if RNG.random() < 0.7 else w.upper() for w in text.split())
+            rows.append((len(rows), text, "en", source))
+    got = {r.doc_id: r.kept for r in quality_rules.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[i] for i in junk) and sum(got.values()) >= 0.99 * (len(rows) - len(junk))
+
+
 def test_quality_filter_keeps_columns(spark, odd):
     out = quality_rules.filter_documents(odd)
     assert out.columns == odd.columns and out.count() == quality_rules.verdicts(odd).where("kept").count()
