@@ -1,27 +1,31 @@
 """Quality classifier: interpolated modified Kneser-Ney n-grams of trusted text, thresholded by language-specific quantiles.
 
-Tokens are byte classes (SYMBOLS: letters, one class each for capitals, digits, marks, other symbols, non-ASCII bytes, white
-space): character n-grams of ORDER, which tell running prose from capitals, symbol noise, tables and repeated words. Trusted are the
-documents labelled with quality 1 only. Every trusted text is counted in full; discounts come from counts of counts,
-lower orders from continuation counts, and joins of the sharded count tables by n-gram and context give each n-gram's probability.
+Tokens are words (runs of bytes that are no white space), in n-grams of WORDS; the lowest order goes on to how a word is spelled: n-grams
+of ORDER byte classes (SYMBOLS: letters, one class each for capitals, digits, marks, other symbols, non-ASCII bytes, white space),
+also Kneser-Ney. Trusted are the documents labelled with quality 1 only, every trusted text is counted in full.
+Discounts come from counts of counts, lower orders from continuation counts. Word n-grams are counted in two folds by a hash of the
+text and a document is scored with the fold that its text is not in, so trusted documents do not score on their own words.
 
-A document's perplexity is compared with the LOW and HIGH quantiles of its language's trusted documents; languages with
+A document's perplexity (a byte), and that of its spelling alone, are compared with the LOW and HIGH quantiles of its language's trusted documents; languages with
 fewer than LEAST_TRUSTED of them use the quantiles of all.
 
-Scale: a task sums its counts before one shuffle; every count table has at most SYMBOLS ** ORDER rows whatever the input, which bounds
-the broadcast table of log-probabilities. Quantiles come from bins of the log-perplexity.
+Scale: the tables of word n-grams and contexts grow with the trusted text, are sharded by the hash of the n-gram and summed in the tasks before each
+shuffle. Documents are packed into rows of about PACK_BYTES; each asks for its distinct n-grams by a join, so a common word costs a
+row a pack. The spelling table has SYMBOLS ** ORDER rows whatever the input and is broadcast. Quantiles come from bins of the log-perplexity.
 
 Cases: null or empty text: perplexity null, not kept; null lang forms a language of its own; a document with contradicting labels is not
 trusted; without trusted documents all n-grams are equally likely and every document with text is kept; repeated rows give repeated
-results; an empty table gives an empty result; extra columns are ignored.
+results; words are compared by 64-bit hashes; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +35,10 @@ from recoflow.llm.shared import written
 ORDER, BITS = 4, 5
 SYMBOLS = 1 << BITS
 CELLS = SYMBOLS ** ORDER
+#: Longest n-gram of words; bytes of text in a pack; words counted in one go.
+WORDS = 2
+PACK_BYTES = 1 << 19
+FLUSH = 1_000_000
 LOW, HIGH = 0.003, 0.99
 LEAST_TRUSTED = 50
 BINS = 2000
@@ -42,6 +50,9 @@ _CLASS[65:91] = 27
 _CLASS[48:58] = 28
 _CLASS[[ord(c) for c in ".,;:'\"()-?!"]] = 29
 _CLASS[128:] = 31
+U = np.uint64
+_WORD = tk.byte_class("space")
+_START = U(0x632BE59BD9B4E019)
 
 
 def _codes(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -100,34 +111,181 @@ def log_probabilities(spark: SparkSession, counts: DataFrame) -> DataFrame:
     return lower.select("g", F.log("p").alias("logp"))
 
 
-def _score_rows(names: list[str], sent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _word_keys(words: np.ndarray, first: np.ndarray, fold: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Keys of the n-grams that end at each word, for n = 1 .. WORDS, and of the contexts before it, for n = 2 .. WORDS.
+
+    ``first``: index of the first word of each word's text; ``fold`` of each word. Before a text are start marks.
+    """
+    at = np.arange(len(words))
+    before = [words, *(np.where(at - k >= first, words[np.maximum(at - k, 0)], _START) for k in range(1, WORDS))]
+
+    def key(parts: list[np.ndarray]) -> np.ndarray:
+        acc = parts[0]
+        for x in parts[1:]:
+            acc = tk.mix(acc * tk.BASE + x)
+        return tk.mix(acc + (fold * 16 + len(parts)).astype(np.uint64) * U(0x9E3779B97F4A7C15))
+
+    return [key(before[:n]) for n in range(1, WORDS + 1)], [key(before[1:n]) for n in range(2, WORDS + 1)]
+
+
+_GRAMS, _CONTEXTS = [f"k{n}" for n in range(1, WORDS + 1)], [f"x{n}" for n in range(2, WORDS + 1)]
+
+
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct n-grams of a flush of (text, fold): keys of all orders, of the contexts, fold and count."""
+    held: list[list[np.ndarray]] = []
+    count = 0
+
+    def flush():
+        cols = [np.concatenate(x) for x in zip(*held)]
+        _, at, times = np.unique(cols[WORDS - 1], return_index=True, return_counts=True)
+        for a in range(0, len(at), 100_000):
+            own = at[a: a + 100_000]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[own].view(np.int64)) for x in cols[:-1]), pa.array(cols[-1][own].astype(np.int32)), pa.array(times[a: a + 100_000])],
+                                             names=[*_GRAMS, *_CONTEXTS, "f", "c"])
+
+    for b in batches:
+        folds = b.column(1).to_numpy()
+        for i, j, buf, off in tk.pieces(*tk.utf8(b.column(0))):
+            starts, ends, wo = tk.word_spans(buf, off, _WORD)
+            if not len(starts):
+                continue
+            n = np.diff(wo)
+            fold = np.repeat(folds[i:j].astype(np.int64), n)
+            grams, contexts = _word_keys(tk.span_hashes(buf, starts, ends), np.repeat(wo[:-1], n), fold)
+            held.append([*grams, *contexts, fold])
+            count += len(starts)
+            if count >= FLUSH:
+                yield from flush()
+                held, count = [], 0
+    if held:
+        yield from flush()
+
+
+def word_model(texts: DataFrame) -> tuple[DataFrame, list[list[float]], dict[int, tuple[int, float]]]:
+    """From (text, fold): (k, c, t, freed) of each n-gram and context, the discounts of each order, and t and freed of the folds' lowest order.
+
+    c: the (continuation) count as an n-gram; t and freed: as a context, the sum of what follows and of its discounts.
+    """
+    longs = ", ".join(f"{c} long" for c in (*_GRAMS, *_CONTEXTS))
+    rows = texts.mapInArrow(_word_rows, f"{longs}, f int, c long")
+    parts, discounts = [], []
+    for n in range(WORDS, 0, -1):
+        rest = [*_GRAMS[: n - 1], *_CONTEXTS[: n - 1], "f"]
+        count = F.sum("c") if n == WORDS else F.count(F.lit(1))
+        rows = written(rows.groupBy(f"k{n}").agg(*(F.max(x).alias(x) for x in rest), count.alias("c")), "kn-words")  # one value a key
+        d = _discounts(rows)
+        discounts.insert(0, d)
+        context = rows.groupBy(f"x{n}" if n > 1 else "f").agg(F.sum("c").alias("t"), F.sum(_by_count(d, F.col("c"))).alias("freed"))
+        parts.append(rows.select(F.col(f"k{n}").alias("k"), "c", F.lit(0).cast("long").alias("t"), F.lit(0.0).alias("freed")))
+        if n > 1:
+            parts.append(context.select(F.col(f"x{n}").alias("k"), F.lit(0).cast("long").alias("c"), "t", "freed"))
+    lowest = {r.f: (r.t, r.freed) for r in context.collect()}  # a row a fold
+    nodes = reduce(DataFrame.unionByName, parts).groupBy("k").agg(*(F.sum(x).alias(x) for x in ("c", "t", "freed")))
+    return nodes, discounts, lowest
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of about PACK_BYTES of text: lists of the columns of the documents."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        upto = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // PACK_BYTES
+        cuts = pa.array(np.concatenate(([0], np.flatnonzero(np.diff(upto)) + 1, [b.num_rows])).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(cuts, c) for c in b.columns], names=b.schema.names)
+
+
+def _pack_words(texts: pa.Array, folds: np.ndarray):
+    """For each piece of the texts: its rows, bytes, offsets, word spans, keys and the fold that each word is scored with."""
+    for i, j, buf, off in tk.pieces(*tk.utf8(texts)):
+        starts, ends, wo = tk.word_spans(buf, off, _WORD)
+        n = np.diff(wo)
+        fold = np.repeat(1 - folds[i:j].astype(np.int64), n)
+        grams, contexts = _word_keys(tk.span_hashes(buf, starts, ends), np.repeat(wo[:-1], n), fold)
+        yield i, j, buf, off, starts, ends, wo, grams, contexts, fold
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(b, k) of the distinct n-grams and contexts of each pack."""
+    for b in batches:
+        for r in range(b.num_rows):
+            texts, folds = b.column("text")[r].values, b.column("fold")[r].values.to_numpy()
+            keys = [x for *_, grams, contexts, _ in _pack_words(texts, folds) for x in (*grams, *contexts)]
+            k = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+            for a in range(0, len(k), 100_000):
+                own = k[a: a + 100_000].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), b.column("b")[r].as_py(), np.int64)), pa.array(own)], names=["b", "k"])
+
+
+def _score_packs(sent, discounts: list[list[float]], lowest: dict[int, tuple[int, float]]):
+    """The documents of each pack with n_symbols and perplexity."""
+    base = np.array([lowest.get(f, (0, 0.0)) for f in (0, 1)], dtype=np.float64)
+
+    def scores(texts: pa.Array, folds: np.ndarray, k, c, t, freed):
         table = sent.value
+
+        def found(keys: np.ndarray):
+            if not len(k):
+                return np.full(len(keys), -1)
+            at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
+            return np.where(k[at] == keys, at, -1)
+
+        total, plain, size = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        for i, j, buf, off, starts, ends, wo, grams, contexts, fold in _pack_words(texts, folds):
+            spelled = np.concatenate(([0.0], np.cumsum(table[_codes(buf, off)], dtype=np.float64)))
+            stop = np.minimum(ends + 1, np.repeat(off[1:], np.diff(wo)))  # a word with the white space that ends it
+            alone = spelled[stop] - spelled[starts]
+            logp = alone
+            with np.errstate(divide="ignore", invalid="ignore"):
+                for n in range(WORDS):
+                    if n:
+                        x = found(contexts[n - 1])
+                        of, left = np.where(x >= 0, t[x], 0), np.where(x >= 0, freed[x], 0.0)
+                    else:
+                        of, left = base[fold].T
+                    x = found(grams[n])
+                    often = np.where(x >= 0, c[x], 0)
+                    own = often - np.array([0.0, *discounts[n]])[np.minimum(often, 3).astype(np.int64)]
+                    logp = np.where(of > 0, np.logaddexp(np.log(own / of), np.log(left / of) + logp), logp)
+            gain = np.concatenate(([0.0], np.cumsum(logp - alone)))
+            size[i:j] = np.diff(off)
+            plain[i:j] = spelled[off[1:]] - spelled[off[:-1]]
+            total[i:j] = plain[i:j] + gain[wo[1:]] - gain[wo[:-1]]
+        return size, total / np.maximum(size, 1), plain / np.maximum(size, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            mean, n = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
-            for i, j, buf, off in tk.pieces(*tk.utf8(b.column(len(names) - 1))):
-                total = np.concatenate(([0.0], np.cumsum(table[_codes(buf, off)], dtype=np.float64)))
-                n[i:j] = np.diff(off)
-                mean[i:j] = (total[off[1:]] - total[off[:-1]]) / np.maximum(n[i:j], 1)
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(names) - 1)), pa.array(n),
-                                              pa.array(np.exp(-np.round(mean, 9)), mask=n == 0)], names=[*names[:-1], "n_symbols", "perplexity"])
+            for r in range(b.num_rows):
+                key, lang, text, folds = (b.column(x)[r].values for x in ("key", "lang", "text", "fold"))
+                hits = b.column("hits")[r].values if b.column("hits")[r].is_valid else None
+                k, c, t, freed = (hits.field(x).to_numpy(zero_copy_only=False) for x in range(4)) if hits is not None else (np.zeros(1, np.int64)[:0],) * 4
+                order = np.argsort(k.view(np.uint64))
+                k, c, t, freed = k.view(np.uint64)[order], c[order], t[order], freed[order]
+                if not len(k):  # nothing found: one row that no index uses
+                    c, t, freed = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1)
+                n, *means = scores(text, folds.to_numpy(), k, c, t, freed)
+                yield pa.RecordBatch.from_arrays([key, lang, pa.array(n), *(pa.array(np.exp(-np.round(x, 9)), mask=n == 0) for x in means)], names=["key", "lang", "n_symbols", "perplexity", "spelled"])
     return run
 
 
-def perplexities(docs: DataFrame, logp: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
-    """``columns`` of each row with n_symbols and perplexity."""
-    rows = logp.toArrow()  # CELLS rows
+def perplexities(rows: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(key, lang, n_symbols, perplexity, spelled: that of the spelling alone) of each row of (key, lang, text, fold); ``trusted``: (text, fold)."""
+    logp = log_probabilities(rows.sparkSession, gram_counts(trusted)).toArrow()  # CELLS rows
     table = np.zeros(CELLS, np.float32)
-    table[rows.column("g").to_numpy()] = rows.column("logp").to_numpy()
-    sent = docs.sparkSession.sparkContext.broadcast(table)
-    src = docs.select(*(F.col(c) for c in columns), F.col(text_col).alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    return src.mapInArrow(_score_rows(src.columns, sent), fields + ", n_symbols long, perplexity double")
+    table[logp.column("g").to_numpy()] = logp.column("logp").to_numpy()
+    sent = rows.sparkSession.sparkContext.broadcast(table)
+    nodes, discounts, lowest = word_model(trusted)
+    kind = rows.schema["key"].dataType.simpleString()
+    packs = rows.select("key", "lang", "text", "fold").mapInArrow(_packed, f"key array<{kind}>, lang array<string>, text array<string>, fold array<int>")
+    packs = written(packs.withColumn("b", F.monotonically_increasing_id()), "kn-packs")
+    hits = packs.select("b", "text", "fold").mapInArrow(_asked, "b long, k long").join(nodes, "k") \
+        .groupBy("b").agg(F.collect_list(F.struct("k", "c", "t", "freed")).alias("hits"))
+    return packs.join(hits, "b", "left").mapInArrow(_score_packs(sent, discounts, lowest), f"key {kind}, lang string, n_symbols long, perplexity double, spelled double")
 
 
-def quantile_bins(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, rows, low, high): bounds of the perplexity at the LOW and HIGH quantiles, to 1 / BINS of its logarithm."""
-    bins = rows.groupBy(*keys, F.floor(F.log("perplexity") * BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+def quantile_bins(rows: DataFrame, keys: list[str], column: str = "perplexity") -> DataFrame:
+    """(keys, rows, low, high): bounds of the column at the LOW and HIGH quantiles, to 1 / BINS of its logarithm."""
+    bins = rows.groupBy(*keys, F.floor(F.log(column) * BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     run = bins.withColumn("upto", F.sum("n").over(w)).withColumn("all", F.sum("n").over(Window.partitionBy(*keys)))
     return run.groupBy(*keys).agg(
@@ -138,16 +296,20 @@ def quantile_bins(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           label_id: str = "doc_id", quality_col: str = "quality") -> DataFrame:
-    """(id, lang, n_symbols, perplexity, low, high, kept) of each row."""
-    spark = docs.sparkSession
+    """(id, lang, n_symbols, perplexity, low, high, spelled, spelled_low, spelled_high, kept) of each row."""
     trusted = labels.where(F.col(label_id).isNotNull()).groupBy(F.col(label_id).alias("key")).agg(F.min(quality_col).alias("q")).where("q = 1").select("key")
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), F.coalesce(F.concat(F.lit("="), F.col(lang_col)), F.lit("null")).alias("lang"))
-    logp = log_probabilities(spark, gram_counts(rows.join(trusted, "key", "left_semi").select("text")))
-    scored = written(perplexities(rows, logp, ["key", "lang"]), "perplexity")
+    rows = rows.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
+    known = written(rows.join(trusted, "key", "left_semi").select("text", "fold"), "kn-trusted")
+    scored = written(perplexities(rows, known), "perplexity")
     good = written(scored.where("perplexity is not null").join(trusted, "key", "left_semi").withColumn("one", F.lit(1)), "trusted-perplexity")
-    by_lang = quantile_bins(good, ["lang"]).where(F.col("rows") >= LEAST_TRUSTED).select("lang", F.col("low").alias("l1"), F.col("high").alias("h1"))
-    every = quantile_bins(good, ["one"])
-    out = scored.join(by_lang, "lang", "left").withColumn("one", F.lit(1)).join(F.broadcast(every.select("one", F.col("low").alias("l2"), F.col("high").alias("h2"))), "one", "left")  # one row
-    low, high = F.coalesce("l1", "l2", F.lit(0.0)), F.coalesce("h1", "h2", F.lit(float("inf")))
-    return out.select(F.col("key").alias(id_col), F.when(F.col("lang") != "null", F.substring("lang", 2, 1_000)).alias("lang"), "n_symbols", "perplexity", low.alias("low"), high.alias("high"),
-                      F.coalesce((F.col("perplexity") >= low) & (F.col("perplexity") < high), F.lit(False)).alias("kept"))
+    out, bounds, within = scored.withColumn("one", F.lit(1)), [], F.lit(True)
+    for column in ("perplexity", "spelled"):
+        by_lang = quantile_bins(good, ["lang"], column).where(F.col("rows") >= LEAST_TRUSTED).select("lang", F.col("low").alias(f"l1_{column}"), F.col("high").alias(f"h1_{column}"))
+        every = quantile_bins(good, ["one"], column).select("one", F.col("low").alias(f"l2_{column}"), F.col("high").alias(f"h2_{column}"))
+        out = out.join(by_lang, "lang", "left").join(F.broadcast(every), "one", "left")  # one row
+        low, high = F.coalesce(f"l1_{column}", f"l2_{column}", F.lit(0.0)), F.coalesce(f"h1_{column}", f"h2_{column}", F.lit(float("inf")))
+        bounds += [F.col(column), low.alias("low" if not bounds else "spelled_low"), high.alias("high" if not bounds else "spelled_high")]
+        within = within & (F.col(column) >= low) & (F.col(column) < high)
+    return out.select(F.col("key").alias(id_col), F.when(F.col("lang") != "null", F.substring("lang", 2, 1_000)).alias("lang"), "n_symbols", *bounds,
+                      F.coalesce(within, F.lit(False)).alias("kept"))

@@ -324,6 +324,30 @@ def test_kneser_ney(spark, docs, odd):
     assert kn_quality.judge(empty(spark), labels).count() == 0 and kn_quality.judge(docs, labels.limit(0)).where("kept").count() > 20
 
 
+def test_kneser_ney_words(spark):
+    """Words of any script are known as words: known sentences score better than random letters in words of the same lengths."""
+    rng = random.Random(2)
+    russian, english = ("в начале было слово и слово это было не последним среди многих других слов которые мы знаем".split(),
+                        "in the beginning was a word and that word was not the last of many other words we know".split())
+    say = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    noise = lambda text, low, n: "".join(x if x == " " else chr(low + rng.randrange(n)) for x in text)
+    rows = [(i, say(russian if i % 2 else english, 60), "ru" if i % 2 else "en") for i in range(240)]
+    tests = [(1000 + i, say(russian, 60), "ru") for i in range(5)]
+    rows += tests + [(i + 100, noise(t, 0x430, 32), "ru") for i, t, _ in tests] + [(1200 + i, noise(say(english, 60), 97, 26), "en") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in kn_quality.judge(docs, spark.createDataFrame([(i, 1) for i in range(240)], "doc_id long, quality int")).collect()}
+    seen = [(got[1000 + i].perplexity, got[1100 + i].perplexity, got[1100 + i].kept, got[1200 + i].kept) for i in range(5)]
+    assert all(noisy > 1.2 * known and not r and not e for known, noisy, r, e in seen), seen
+    assert sum(got[i].kept for i in range(240)) > 220
+    texts = docs.withColumn("fold", F.lit(0)).select("doc_id", "text", "fold")
+    nodes, (one, two), lowest = kn_quality.word_model(texts.where("doc_id < 20").select("text", "fold"))
+    plain = [t.split() for i, t, _ in rows if i < 20]
+    pairs = {(a, b) for w in plain for a, b in zip([None, *w], w)}
+    words = {b for _, b in pairs}
+    c = nodes.agg(F.sum("c"), F.sum("t"), F.count_if(F.col("c") > 0)).first()
+    assert lowest[0][0] == len(pairs) and tuple(c) == (sum(map(len, plain)) + len(pairs), sum(map(len, plain)), len(pairs) + len(words))
+
+
 def test_url_filter(spark):
     urls = ["http://A.Example.org/es/1", "https://example.org/en/15?x=://y", "http://x.org", "http://x.org/a#b", "http://foo.com/fr/a/b?c", "http://foo.com/de/", "http://com/fr/x",
             "http://notorg/", "no scheme", "", None, "http://a.net/fr/1", "http://a.net/de/1", "://h/p", "http://x.org/a#b", "http://é.net/" + "z" * 3000]
