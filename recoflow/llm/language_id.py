@@ -3,7 +3,7 @@
 Model: hashed GRAM-byte counts of the words of all labelled training texts, one distribution a language, smoothed. A text is
 a mixture of languages: each word comes from one language with the text's proportions. Expectation-maximisation
 over the word likelihoods estimates the proportions; among the nested sets of the most likely languages the one with the
-best penalised likelihood is selected, and the prediction is the largest proportion in it.
+best penalised likelihood is selected (sets of any size up to all languages), and the prediction is the largest proportion in it.
 
 Scale: a task sums its counts in one array and sends the non-zero cells once; the model has at most BUCKETS cells a
 language, which bounds what is collected and broadcast. Prediction is map-side, without a shuffle.
@@ -29,7 +29,6 @@ BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 SMOOTHING = 0.2
 ROUNDS = 12
-MAX_SET = 4
 #: Log-likelihood that a further language must gain, in units of the logarithm of the number of words.
 PENALTY = 2.0
 UNKNOWN = "und"
@@ -125,7 +124,10 @@ def mixtures(buf: np.ndarray, off: np.ndarray, model: np.ndarray) -> tuple[np.nd
     rank = np.argsort(order, axis=1, kind="stable")
     best, best_value = None, None
     words = np.log(np.diff(wo)[full] + 1.0)
-    for k in range(1, min(MAX_SET, langs) + 1):
+    for k in range(1, langs + 1):
+        # a word's likelihood is 1 at most: a set of k or more languages gets no better value than its penalty
+        if best is not None and (best_value >= -PENALTY * k * words).all():
+            break
         kept = np.where(rank < k, np.maximum(share, 1e-9), 0)
         kept /= kept.sum(axis=1, keepdims=True)
         kept, value = _steps(kept, like, row, begin, 0 if k == 1 else 2)

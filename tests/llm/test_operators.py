@@ -280,6 +280,18 @@ def test_language_mixture(spark, odd):
     assert {r.lang_pred for r in language_id.identify(d.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_mixture_of_many(spark):
+    """A text of five or seven languages keeps them all; one of a single language keeps one."""
+    voc = {f"l{k}": ["".join(chr(97 + (5 * k + RNG.randrange(5)) % 26) for _ in range(6)) for _ in range(8)] for k in range(7)}
+    say = lambda lang, n: " ".join(RNG.choice(voc[lang]) for _ in range(n))
+    rows = [(i, say(f"l{i % 7}", 40), f"l{i % 7}") for i in range(280)]
+    tests = [(1000 + n, " ".join(say(f"l{k}", 40) for k in range(n)), None) for n in (1, 2, 5, 7)]
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame([*rows, *tests], "doc_id long, text string, lang string")).collect()}
+    for n in (1, 2, 5, 7):
+        share = {m.lang: m.share for m in got[1000 + n].mixture}
+        assert set(share) == {f"l{k}" for k in range(n)} and all(abs(x - 1 / n) < 0.05 for x in share.values())
+
+
 def _kn_brute(texts):
     """Interpolated modified Kneser-Ney from its definition."""
     from collections import Counter, defaultdict
