@@ -24,9 +24,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def key_columns(id_col: str, text_col: str) -> list:
-    """ord and tk: ord orders the documents (null first), tk tells apart rows that share an id but not a text."""
+    """ord and tk: ord orders the documents (null first), tk (64 bits) tells apart rows that share an id but not a text."""
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("ord"),
-            F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 40).alias("tk")]
+            F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tk")]
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

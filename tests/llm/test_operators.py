@@ -120,6 +120,24 @@ def test_suffix_dedup_odd_rows_keep_repeated(odd):
     assert got == [(0, hashlib.sha256(TEXTS[3].encode()).hexdigest())] * 2
 
 
+def test_rows_without_id_are_told_apart(spark):
+    """Texts without an id whose hashes share the highest 24 bits are different documents."""
+    import xxhash
+    seen, pair = {}, None
+    for i in range(200_000):
+        text = " ".join(f"w{(i * k) % 9973}" for k in range(1, 41))
+        top = xxhash.xxh64(text.encode(), seed=42).intdigest() >> 40
+        if top in seen and seen[top] != text:
+            pair = (seen[top], text)
+            break
+        seen[top] = text
+    rows = spark.createDataFrame([(None, pair[0]), (None, pair[1]), (None, pair[1])], "doc_id long, text string")
+    got = sorted((r.n_bytes, r.n_removed) for r in suffix_dedup.deduplicate(rows).collect())
+    assert got == sorted([(len(pair[0]), 0), (len(pair[1]), 0), (len(pair[1]), 0)])
+    kept = [r.text for r in ngram_join.representatives(rows, size=corpus_pipeline.SHINGLE, pct=corpus_pipeline.SIMILAR).collect()]
+    assert sorted(kept) == sorted(pair)
+
+
 def test_quality_base_counts(docs):
     got = {r.doc_id: tuple(r)[1:7] for r in quality_rules.verdicts(docs).select("doc_id", *quality_rules.COUNTS, "base_failed").collect()}
     assert got == {i: brute.base_counts(t) for i, t in enumerate(TEXTS)}
