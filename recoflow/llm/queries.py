@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recoflow.llm import bpe, decontaminate, kn_quality, language_id, license_scan, ngram_join, quality_rules, suffix_dedup, token_counts, url_filter
+from recoflow.llm import bpe, decontaminate, kn_quality, language_id, license_scan, ngram_join, quality_rules, suffix_dedup, token_alignment, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,9 +53,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_documents(_table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_license_scan, op4_kneser_ney, op5_language_mixture,
-                                    op6_bpe_codec, op7_ngram_jaccard, op8_token_counts, op9_decontaminate, op10_url_filter)}
+                                    op6_bpe_codec, op7_ngram_jaccard, op8_token_counts, op9_decontaminate, op10_url_filter, op11_token_alignment)}
 
 
 def llm_sql() -> dict[str, str]:
