@@ -12,7 +12,8 @@ links to other pairs, each of which few documents hold, meet their counts in a j
 
 Segments. Both vocabularies cut before a single space between two visible characters: the pattern of A starts a
 pre-token there, and no piece of B holds a space after another character (checked when the vocabulary is loaded; otherwise texts stay
-whole). So each segment is aligned by itself and workers keep the results of up to CACHE segments.
+whole). So each segment is aligned by itself; workers keep the results of up to CACHE segments that repeat. New Latin segments go through A
+joined, in one call on the same vocabulary's ranks; all others through the tokenizers file one by one.
 
 Scale: one pass over the texts. Memory is bounded by the cache, the piece and the longest text; a group of very many tokens is
 counted by its distinct ids, not by its occurrences. The driver gets vectors of the vocabulary's length and HOT_PAIRS pairs at most.
@@ -29,6 +30,7 @@ import json
 import os
 from collections.abc import Iterator
 from functools import cache, cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,7 @@ from pyspark.sql import functions as F
 from recoflow.llm import textkit as tk
 from recoflow.llm.bpe import byte_symbols, tokenizer_path
 from recoflow.llm.shared import written
+from recoflow.llm.token_counts import PATTERN
 
 CACHE = 200_000
 CACHE_BYTES = 128
@@ -46,8 +49,12 @@ HOT_PAIRS = 1 << 18
 WIDE = 4096
 SHIFT = 20  # a pair is (a << SHIFT) | b
 SPACE_MARK = "▁"
-#: One aligned segment: numbers of A tokens, B tokens, groups, links (-1: B does not give the segment back), its groups in text, pairs, links of each.
-Segment = tuple[int, int, int, int, bytes, np.ndarray, np.ndarray]
+#: Last lead byte of the letters up to U+024F.
+LATIN = 0xC9
+#: One aligned segment: numbers of A tokens, B tokens, groups, links (-1: B does not give it back), its groups in text, pairs, links of each (None: one each).
+Segment = tuple[int, int, int, int, bytes, bytes, bytes | None]
+#: Many: rows of the four numbers, texts, numbers of pairs, pairs and links of all.
+Segments = tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]
 
 
 def _visible() -> tuple[np.ndarray, np.ndarray]:
@@ -61,12 +68,16 @@ def _visible() -> tuple[np.ndarray, np.ndarray]:
 _BEFORE, _AFTER = _visible()
 
 
+def _ends_visibly(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether the characters before these positions are visible."""
+    left, lead = text[ends - 1], text[np.maximum(ends - 2, 0)]
+    return _BEFORE[left] | ((left >= 0x80) & (lead >= 0xC3) & (lead < 0xE0))
+
+
 def cuts(text: np.ndarray) -> np.ndarray:
     """Positions of single spaces between two visible characters."""
     at = np.flatnonzero(text[1:-1] == 0x20) + 1
-    left = text[at - 1]
-    ok = _BEFORE[left] | ((left >= 0x80) & (text[np.maximum(at - 2, 0)] >= 0xC3) & (text[np.maximum(at - 2, 0)] < 0xE0))
-    return at[ok & _AFTER[text[at + 1]]]
+    return at[_ends_visibly(text, at) & _AFTER[text[at + 1]]]
 
 
 class Aligner:
@@ -75,6 +86,7 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         with open(path_a, encoding="utf-8") as f:
@@ -87,6 +99,7 @@ class Aligner:
         self.a.no_truncation()
         self.a.no_padding()
         self.a.encode_special_tokens = True
+        self.ranks = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks={x: i for i, x in bytes_a.items()}, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE_MARK, " ").encode() for i, p in enumerate(pieces)]
@@ -106,27 +119,40 @@ class Aligner:
                 by_bytes.setdefault(self.bytes_b[i], i)
         return np.array([by_bytes.get(x, -1) if x else -1 for x in self.bytes_a], np.int64)
 
-    def _learn(self, segments: list[bytes]) -> list[Segment]:
+    def _learn(self, segments: list[bytes], joinable: int) -> Segments:
+        """The first ``joinable`` segments may stand after one another in a text with certain cuts between, and are of Latin letters."""
+        ends = np.cumsum([len(s) for s in segments])
+        x = np.array(self.ranks.encode_ordinary(b"".join(segments[:joinable]).decode()), np.int64)
+        off_a = np.searchsorted(np.cumsum(self.len_a[x]), ends[:joinable], "right")
         texts = [s.decode("utf-8") for s in segments]
-        ids_a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        others = [e.ids for e in self.a.encode_batch_fast(texts[joinable:], add_special_tokens=False)]
+        off_a = np.concatenate(([0], off_a, len(x) + np.cumsum([len(i) for i in others]))).astype(np.int64)
+        x = np.concatenate((x, np.fromiter(chain.from_iterable(others), np.int64)))
         ids_b = self.b.encode([t[1:] for t in texts], num_threads=1)
-        good = [k for k, (s, x, y) in enumerate(zip(segments, ids_a, ids_b))
-                if b"".join([self.bytes_a[i] for i in x]) == s and b"".join([self.bytes_b[i] for i in y]) == s]
-        out: list[Segment] = [_LOST] * len(segments)
-        for k, made in zip(good, self.align([ids_a[k] for k in good], [ids_b[k] for k in good])):
-            out[k] = made
-        if len(self.cache) + len(segments) > CACHE:
-            self.cache.clear()
-        self.cache.update((s, x) for s, x in zip(segments, out) if len(s) <= CACHE_BYTES)
-        return out
-
-    def align(self, ids_a: list[list[int]], ids_b: list[list[int]]) -> list[Segment]:
+        y = np.fromiter(chain.from_iterable(ids_b), np.int64)
+        off_b = np.concatenate(([0], np.cumsum([len(i) for i in ids_b])))
+        # given back: the same bytes, cut at the same places
+        raw = b"".join(segments)
+        sizes = [np.concatenate(([0], np.cumsum(n[ids])))[off[1:]] for n, ids, off in ((self.len_a, x, off_a), (self.len_b, y, off_b))]
+        if all((z == ends).all() for z in sizes) and raw == b"".join([self.bytes_a[i] for i in x.tolist()]) and raw == b"".join([self.bytes_b[i] for i in y.tolist()]):
+            return self.align(x, y, off_a, off_b)
+        good = np.array([all(b"".join([own[i] for i in ids[off[k]: off[k + 1]].tolist()]) == s for own, ids, off in ((self.bytes_a, x, off_a), (self.bytes_b, y, off_b)))
+                         for k, s in enumerate(segments)])
+        numbers, in_text, n_pairs = np.zeros((len(segments), 4), np.int64), [b""] * len(segments), np.zeros(len(segments), np.int64)
+        numbers[:, 3] = -1
+        pairs = links = _NONE
+        if good.any():
+            lengths_a, lengths_b = np.diff(off_a), np.diff(off_b)
+            keep_a, keep_b = np.repeat(good, lengths_a), np.repeat(good, lengths_b)
+            made, made_text, made_n, pairs, links = self.align(x[keep_a], y[keep_b], *(np.concatenate(([0], np.cumsum(n[good]))) for n in (lengths_a, lengths_b)))
+            numbers[good], n_pairs[good] = made, made_n
+            for k, t in zip(np.flatnonzero(good).tolist(), made_text):
+                in_text[k] = t
+        return numbers, in_text, n_pairs, pairs, links
+
+    def align(self, x: np.ndarray, y: np.ndarray, off_a: np.ndarray, off_b: np.ndarray) -> Segments:
         """Groups, links and pairs of segments, of the same bytes in A and B; all are worked on together, as every segment's end is a common cut."""
-        n = len(ids_a)
-        if not n:
-            return []
-        x, y = np.array([i for ids in ids_a for i in ids], np.int64), np.array([i for ids in ids_b for i in ids], np.int64)
-        off_a, off_b = (np.concatenate(([0], np.cumsum([len(i) for i in ids]))) for ids in (ids_a, ids_b))
+        n = len(off_a) - 1
         ends_a, ends_b = np.cumsum(self.len_a[x]), np.cumsum(self.len_b[y])
         common = np.intersect1d(ends_a, ends_b, assume_unique=True)
         group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
@@ -146,20 +172,53 @@ class Aligner:
         nth = np.arange(len(each)) - np.repeat(np.cumsum(links[small]) - links[small], links[small])
         pairs = x[first_a[each] + nth // in_b[each]] << SHIFT | y[first_b[each] + nth % in_b[each]]
         seg, times = of_group[each], np.ones(len(each), np.int64)
-        for g in np.flatnonzero(links > WIDE):
+        wide = np.flatnonzero(links > WIDE)
+        for g in wide:
             ua, ca = np.unique(x[first_a[g]: first_a[g] + in_a[g]], return_counts=True)
             ub, cb = np.unique(y[first_b[g]: first_b[g] + in_b[g]], return_counts=True)
             pairs = np.append(pairs, ((ua[:, None] << SHIFT) | ub[None]).ravel())
             times = np.append(times, (ca[:, None] * cb[None]).ravel())
             seg = np.append(seg, np.full(len(ua) * len(ub), of_group[g]))
-        order = np.argsort(seg, kind="stable")
-        pairs, times = pairs[order], times[order]
-        at = np.searchsorted(seg[order], np.arange(n + 1))
-        n_groups = np.bincount(of_group, minlength=n)
+        if len(wide):
+            order = np.argsort(seg, kind="stable")
+            pairs, times = pairs[order], times[order]
         n_links = np.zeros(n, np.int64)
         np.add.at(n_links, of_group, links)
-        return [(len(ids_a[k]), len(ids_b[k]), int(n_groups[k]), int(n_links[k]), b"".join(parts[off[k]: off[k + 1]]), pairs[at[k]: at[k + 1]], times[at[k]: at[k + 1]])
-                for k in range(n)]
+        numbers = np.stack((np.diff(off_a), np.diff(off_b), np.bincount(of_group, minlength=n), n_links), axis=1)
+        return numbers, [b"".join(parts[p:q]) for p, q in zip(off[:-1], off[1:])], np.bincount(seg, minlength=n), pairs, times
+
+    def _known(self, segments: list[bytes], joinable: np.ndarray, times: np.ndarray):
+        """The four numbers, texts, numbers of pairs and places of the pairs of distinct segments; those that occur again are kept."""
+        got = list(map(self.cache.get, segments))
+        old, new = [k for k, g in enumerate(got) if g is not None], [k for k, g in enumerate(got) if g is None]
+        numbers, in_text, n_pairs = np.zeros((len(got), 4), np.int64), [b""] * len(got), np.zeros(len(got), np.int64)
+        numbers[old] = np.array([got[k][:4] for k in old], np.int64).reshape(-1, 4)
+        n_pairs[old] = [len(got[k][5]) // 8 for k in old]
+        pairs, links = [np.frombuffer(b"".join([got[k][5] for k in old]), np.int64)], [np.ones(int(n_pairs[old].sum()), np.int64)]
+        at = np.cumsum(n_pairs[old]) - n_pairs[old]
+        for k, a in zip(old, at.tolist()):
+            in_text[k] = got[k][4]
+            if got[k][6] is not None:
+                links[0][a: a + n_pairs[k]] = np.frombuffer(got[k][6], np.int64)
+        for i in range(0, len(new), 20_000):
+            part = sorted(new[i: i + 20_000], key=lambda k: not joinable[k])
+            new[i: i + 20_000] = part
+            made, texts, n, p, w = self._learn([segments[k] for k in part], int(joinable[part].sum()))
+            numbers[part], n_pairs[part] = made, n
+            pairs.append(p)
+            links.append(w)
+            off = np.concatenate(([0], np.cumsum(n))).tolist()
+            if len(self.cache) + len(part) > CACHE:
+                self.cache.clear()
+            for j, k in enumerate(part):
+                in_text[k] = texts[j]
+                if times[k] > 1 and len(segments[k]) <= CACHE_BYTES:
+                    own = w[off[j]: off[j + 1]]
+                    self.cache[segments[k]] = (*made[j].tolist(), texts[j], p[off[j]: off[j + 1]].tobytes(), None if (own == 1).all() else own.tobytes())
+        place = np.empty(len(got), np.int64)
+        order = np.array(old + new, np.int64)
+        place[order] = np.cumsum(n_pairs[order]) - n_pairs[order]
+        return numbers, in_text, n_pairs, place, np.concatenate(pairs), np.concatenate(links)
 
     def piece(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
         """Of the texts of a piece: a row of numbers (A tokens, B tokens, groups, links), the groups in text, and their distinct pairs with
@@ -181,17 +240,8 @@ class Aligner:
         _, first, kind = np.unique(tk.span_hashes(text, starts, ends), return_index=True, return_inverse=True)
         raw = text.tobytes()
         segments = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-        got = list(map(self.cache.get, segments))
-        missing = [k for k, g in enumerate(got) if g is None]
-        for a in range(0, len(missing), 10_000):
-            part = missing[a: a + 10_000]
-            for k, made in zip(part, self._learn([segments[k] for k in part])):
-                got[k] = made
-        of_kind = np.array([g[:4] for g in got], np.int64)
-        in_text = [g[4] for g in got]
-        n_pairs = np.array([len(g[5]) for g in got], np.int64)
-        pair_off = np.cumsum(n_pairs) - n_pairs
-        all_pairs, all_links = np.concatenate([g[5] for g in got]), np.concatenate([g[6] for g in got])
+        joinable = (np.maximum.reduceat(text, starts) <= LATIN) & (ends - starts > 1) & _ends_visibly(text, ends) & _AFTER[text[np.minimum(starts + 1, len(text) - 1)]]
+        of_kind, in_text, n_pairs, pair_off, all_pairs, all_links = self._known(segments, joinable[first], np.bincount(kind))
         place = np.searchsorted(starts, begin)
         row = np.repeat(rows, np.diff(np.append(place, len(starts))))
         lost = np.zeros(len(lengths), bool)
@@ -202,9 +252,9 @@ class Aligner:
             if not lost[r]:
                 texts[r] = b"".join([in_text[k] for k in kind[a:b].tolist()])
         # each text's segments once, with their number
-        mine = row[~lost[row]] * len(got) + kind[~lost[row]]
+        mine = row[~lost[row]] * len(segments) + kind[~lost[row]]
         mine, times = np.unique(mine, return_counts=True)
-        row, kind = np.divmod(mine, len(got))
+        row, kind = np.divmod(mine, len(segments))
         n = n_pairs[kind]
         spot = np.arange(n.sum()) + np.repeat(pair_off[kind] - (np.cumsum(n) - n), n)
         return numbers, texts, *_summed(np.repeat(row, n), all_pairs[spot], all_links[spot] * np.repeat(times, n))
@@ -217,7 +267,6 @@ def shared_aligner(path_a: str, path_b: str) -> Aligner:
 
 
 _NONE = np.zeros(0, np.int64)
-_LOST: Segment = (0, 0, 0, -1, b"", _NONE, _NONE)
 
 
 def _summed(rows: np.ndarray, keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

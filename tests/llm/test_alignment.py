@@ -99,3 +99,15 @@ def test_alignment_of_no_rows(spark):
     assert token_alignment.align_documents(empty).collect() == []
     nothing = spark.createDataFrame([(1, None)], "doc_id long, text string")
     assert [tuple(r) for r in token_alignment.align_documents(nothing).collect()] == [(1, 0, 0, 0, 0, 0, 0, "")]
+
+
+def test_alignment_of_documents():
+    """Given documents, encoded joined and by the library."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from recoflow.llm import textkit as tk
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column(0).to_pylist()
+    numbers, made, *_ = token_alignment.shared_aligner(tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")).piece(*tk.utf8(pa.array(texts)))
+    for row, text, want in zip(numbers, made, plain(texts)):
+        assert tuple(row) == want[:4] and (hashlib.sha256(text[:-1]).hexdigest() if text else "") == want[6]
