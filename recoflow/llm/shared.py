@@ -32,3 +32,27 @@ def key_columns(id_col: str, text_col: str) -> list:
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(ord, tk, text) of each row; null text is empty."""
     return docs.select(*key_columns(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def in_order(df: DataFrame, *order) -> DataFrame:
+    """The rows in ranges of ``order``, sorted in each partition. A row number breaks ties, so equal rows may lie in several partitions."""
+    salted = df.withColumn("_tie", F.monotonically_increasing_id())
+    return salted.repartitionByRange(shuffle_partitions(df.sparkSession), *order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie")
+
+
+#: Bits of a row's place in its partition in monotonically_increasing_id.
+PLACE_BITS = 33
+
+
+def numbered(df: DataFrame, name: str, *order) -> DataFrame:
+    """A written table of the rows with ``nth``, their place in the order (from 1): offsets of partitions, no window over all rows."""
+    table = written(in_order(df, *order).withColumn("_place", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("_place", PLACE_BITS)
+    counts = sorted((r.p, r.n) for r in table.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row a partition
+    before, total = [], 0
+    for p, n in counts:
+        before.append((p, total))
+        total += n
+    offsets = df.sparkSession.createDataFrame(before, "_part long, _before long")
+    nth = F.col("_before") + F.col("_place") - F.shiftleft("_part", PLACE_BITS) + 1
+    return table.withColumn("_part", part).join(F.broadcast(offsets), "_part").select(*df.columns, nth.alias(name))
