@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recoflow.llm import bpe, decontaminate, importance_resampling, kn_quality, language_id, license_scan, ngram_join, quality_rules, suffix_dedup, token_alignment, token_counts, url_filter
+from recoflow.llm import bpe, decontaminate, importance_resampling, kn_quality, language_id, license_scan, ngram_join, quality_rules, simhash, suffix_dedup, token_alignment, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align_documents(_table(spark, sf_dir, "documents"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_documents(_table(spark, sf_dir, "documents"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -64,7 +68,7 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_license_scan, op4_kneser_ney, op5_language_mixture,
                                     op6_bpe_codec, op7_ngram_jaccard, op8_token_counts, op9_decontaminate, op10_url_filter, op11_token_alignment,
-                                    op13_importance_resampling)}
+                                    op12_simhash, op13_importance_resampling)}
 
 
 def llm_sql() -> dict[str, str]:
