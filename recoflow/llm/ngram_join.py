@@ -9,12 +9,13 @@ parts of n2 second-level parts each; a set gives one signature for every first-l
 second-level parts. By the pigeonhole principle a linked pair has at least one part with at most k2 differences, hence
 one equal signature. ``extra`` more parts than needed make sure that some equal signature is not that of an empty
 subset, unless a set has more than ``extra`` parts with an empty subset; only such sets give empty signatures too.
+Larger sets have three second-level parts, of which a signature covers two.
 
 Scale. Equal sets act as one (set_id). A task replaces the sets that share a signature by links to the smallest of
-them before the shuffle, so a hot signature reaches its partition once per flush. Instead of all pairs within a
-signature, star links to the smallest set are verified first; a signature whose sets end in one component needs
-nothing more. Sets of a signature that stay in different components are compared with each other where their rarest
-elements allow a link (an exact filter: it loses no link).
+them before the shuffle, so a hot signature reaches its partition once per flush; signatures travel packed by range. Instead of all pairs
+within a signature, star links to the smallest set are verified first, and of these only pairs whose sizes and parity bits allow a link are
+compared element by element. A signature of two sets, or whose sets end in one component, needs nothing more. Sets of a larger signature that
+stay in different components are compared with each other where their rarest elements allow a link (an exact filter: it loses no link).
 
 Cases: null, empty or blank text has an empty set, is linked with nothing and is its own component; a null doc_id is
 the smallest; repeated rows give repeated results; an empty table gives an empty result; extra columns are ignored.
@@ -29,17 +30,22 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recoflow.llm import textkit as tk
-from recoflow.llm.shared import NULL_ID, key_columns, keyed, shuffle_partitions, written
+from recoflow.llm.shared import NULL_ID, key_columns, keyed, shuffle_partitions, spent, written
 
 SIZE, PCT = 4, 85
 FLUSH = 1_000_000
 #: Words of 64 parity bits a set.
 PARITY = 4
 _BITS = [f"p{k}" for k in range(PARITY)]
+_FACTS = ["n_shingles", "set_id", *_BITS, "sketch"]
+_FACTS_SQL = f"n_shingles long, set_id long, {', '.join(f'{c} long' for c in _BITS)}, sketch binary"
+#: Frequent elements that are known to all tasks, at most.
+COMMON = 1 << 18
 U = np.uint64
 _WORD = tk.byte_class("space")
 
@@ -91,9 +97,9 @@ def _scheme(group: int, pct: int) -> tuple[int, int, np.ndarray, np.ndarray, int
         extra = 1
         n1, n2 = -(-(k + 1) // (k2 + 1)) + extra, k2 + 2
     else:
-        k2, n2 = 0, 1
-        extra = 2 + k // 25
-        n1 = k + 1 + extra
+        k2, n2 = 1, 3
+        extra = 1 + k // 50
+        n1 = k // 2 + 1 + extra
     subsets = np.zeros((len(list(itertools.combinations(range(n2), n2 - k2))), n2), dtype=np.uint64)
     for row, chosen in enumerate(itertools.combinations(range(n2), n2 - k2)):
         subsets[row, list(chosen)] = 1
@@ -131,13 +137,15 @@ def signatures(s: np.ndarray, pct: int) -> np.ndarray:
 def _sets_of(names: list[str], text_col: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, ids = [], []
-            for s in shingle_sets(b.column(names.index(text_col)), size):
+            n, ids, bits, sketches = [], [], np.zeros((b.num_rows, PARITY), np.int64), []
+            for i, s in enumerate(shingle_sets(b.column(names.index(text_col)), size)):
                 n.append(len(s))
                 ids.append(set_id(s))
+                sketches.append(sketch(s))
+                bits[i] = parity(s, 64 * PARITY)
             keep = [c for c in names if c != text_col]
-            yield pa.RecordBatch.from_arrays([*(b.column(names.index(c)) for c in keep), pa.array(n, pa.int64()), pa.array(ids, pa.int64())],
-                                             names=[*keep, "n_shingles", "set_id"])
+            yield pa.RecordBatch.from_arrays([*(b.column(names.index(c)) for c in keep), pa.array(n, pa.int64()), pa.array(ids, pa.int64()),
+                                              *(pa.array(bits[:, k]) for k in range(PARITY)), pa.array(sketches, pa.binary())], names=[*keep, *_FACTS])
     return run
 
 
@@ -154,21 +162,45 @@ def _star(sig: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return sig, sid, top
 
 
-def _rows(sig, sid, top, own: bool = True) -> pa.RecordBatch:
-    """``own`` False: top is null where it is the set itself (most rows, and nulls take no room in a shuffle)."""
-    tops = pa.array(top) if own else pa.array(top, mask=top == sid)
-    return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(sid), tops], names=["sig", "sid", "top"])
+#: Packed rows: heads of a range of signatures, or links that a flush made.
+_HEADS, _LINKS = 0, 1
+_PACKED = "part int, kind int, body binary"
 
 
-def _signature_rows(size: int, pct: int):
-    """(sig, sid, top): top is the smallest set of the signature in this flush, null in its own row, which stands for all."""
+def _packed_heads(sig: np.ndarray, sid: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """Signatures, sorted, by their range (part): a table of the sets and, for each signature, its place there."""
+    part = ((sig >> U(40)) * U(parts)) >> U(24)
+    for p, a, b in zip(*_runs(part)):
+        sets, at = np.unique(sid[a:b], return_inverse=True)
+        yield int(p), np.array([b - a, len(sets)]).tobytes() + sets.tobytes() + at.astype(np.uint32).tobytes() + sig[a:b].tobytes()
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values, starts and ends of the runs of equal numbers."""
+    start = np.flatnonzero(np.concatenate((np.ones(min(len(x), 1), bool), x[1:] != x[:-1])))
+    return x[start], start, np.append(start[1:], len(x))[: len(start)]
+
+
+def _unpacked_heads(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, m = np.frombuffer(body, np.int64, 2)
+    sets, at = np.frombuffer(body, np.int64, m, 16), np.frombuffer(body, np.uint32, n, 16 + 8 * m)
+    return np.frombuffer(body, U, n, 16 + 8 * m + 4 * n), sets[at]
+
+
+def _signature_rows(size: int, pct: int, parts: int):
+    """_PACKED rows of each flush: the smallest set of each signature stands for all, the others are links to it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig, sid, held = [], [], 0
 
         def flush():
             s, i, t = _star(np.concatenate(sig), np.concatenate(sid))
-            for a in range(0, len(s), 100_000):
-                yield _rows(s[a: a + 100_000], i[a: a + 100_000], t[a: a + 100_000], own=False)
+            head = i == t
+            made = [(p, _HEADS, body) for p, body in _packed_heads(s[head], i[head], parts)]
+            s, i, t = s[~head], i[~head], t[~head]
+            made += [((a // 20_000) % parts, _LINKS, np.stack((s[a: a + 20_000].view(np.int64), i[a: a + 20_000], t[a: a + 20_000])).tobytes()) for a in range(0, len(s), 20_000)]
+            for a in range(0, len(made), 100):
+                p, k, body = zip(*made[a: a + 100])
+                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(k, pa.int32()), pa.array(body, pa.binary())], names=["part", "kind", "body"])
 
         for b in batches:
             for s in shingle_sets(b.column(0), size):
@@ -186,41 +218,89 @@ def _signature_rows(size: int, pct: int):
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (sig, sid), heads of flushes: links from each set to the smallest of its signature."""
-    sig_was, top_was = None, None
+    """_PACKED rows sorted by part: links from each set to the smallest of its signature; a part is held at a time."""
+    was, sig, sid = None, [], []
+
+    def rows(s, i, t):
+        for a in range(0, len(s), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[a: a + 100_000]) for x in (s, i, t)], names=["sig", "sid", "top"])
+
+    def met():
+        s, i, t = _star(np.concatenate(sig), np.concatenate(sid))
+        link = i != t
+        yield from rows(s[link].view(np.int64), i[link], t[link])
+
     for b in batches:
-        sig, sid = b.column(0).to_numpy(), b.column(1).to_numpy()
-        if not len(sig):
-            continue
-        head = np.ones(len(sig), bool)
-        head[1:] = sig[1:] != sig[:-1]
-        at = np.maximum.accumulate(np.where(head, np.arange(len(sig)), 0))
-        top = sid[at]
-        if sig_was == sig[0]:
-            top[at == 0] = top_was
-        sig_was, top_was = sig[-1], top[-1]
-        link = sid != top
-        if link.any():
-            yield _rows(sig[link], sid[link], top[link])
-
-
-def parity(s: np.ndarray) -> np.ndarray:
-    """PARITY words of 64 bits: each bit tells whether an odd number of elements hash to it.
-
-    Two sets differ in at least as many elements as their bits differ.
+        for part, kind, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            body = body.as_buffer().to_pybytes()
+            if kind == _LINKS:
+                yield from rows(*np.frombuffer(body, np.int64).reshape(3, -1))
+                continue
+            if part != was and sig:
+                yield from met()
+                sig, sid = [], []
+            was = part
+            s, i = _unpacked_heads(body)
+            sig.append(s)
+            sid.append(i)
+    if sig:
+        yield from met()
+
+
+def parity(s: np.ndarray, width: int) -> np.ndarray:
+    """``width`` bits (a power of two): each tells whether an odd number of elements hash to it.
+
+    Two sets differ in at least as many elements as their bits differ. A half of the bits xor the other half is the parity of half the width.
     """
-    odd = np.bincount((tk.mix(s + U(0x3C6EF372FE94F82B)) % U(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    odd = np.bincount((tk.mix(s + U(0x3C6EF372FE94F82B)) % U(width)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _packed(size: int):
+def sketch(s: np.ndarray) -> bytes | None:
+    """Parity of about as many bits as the set has elements; none where the narrow one does."""
+    return parity(s, 1 << (len(s) - 1).bit_length()).tobytes() if len(s) > 64 * PARITY else None
+
+
+def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits rows of sketches differ, the wider ones folded."""
+    while x.shape[1] != y.shape[1]:
+        if x.shape[1] < y.shape[1]:
+            x, y = y, x
+        half = x.shape[1] // 2
+        x = x[:, :half] ^ x[:, half:]
+    return np.bitwise_count(x ^ y).sum(axis=1).astype(np.int64)
+
+
+def _near_sketches(pct: int):
+    """Pairs (a, b, shared, n_a, n_b, sketch_a, sketch_b): those whose sketches, if both have one, allow a link."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [(set_id(s), s.tobytes(), len(s), parity(s)) for s in shingle_sets(b.column(0), size)]
+            ok = np.ones(b.num_rows, bool)
+            sizes = [np.nan_to_num(pc.binary_length(b.column(k)).to_numpy(zero_copy_only=False)).astype(np.int64) for k in (5, 6)]
+            total = b.column(3).to_numpy() + b.column(4).to_numpy()
+            for wide_a, wide_b in sorted(set(zip(*(x.tolist() for x in sizes)))):
+                if wide_a and wide_b:
+                    at = np.flatnonzero((sizes[0] == wide_a) & (sizes[1] == wide_b))
+                    x, y = (np.frombuffer(b"".join(b.column(k).take(pa.array(at)).to_pylist()), np.uint64).reshape(len(at), -1) for k in (5, 6))
+                    ok[at] = (100 + pct) * _differing(x, y) <= (100 - pct) * total[at]
+            yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(ok)) for k in range(3)], names=["a", "b", "shared"])
+    return run
+
+
+def _bodies(size: int):
+    """Rows (text, comp): (sid, comp, body) of each set, once a task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            made = []
+            for s, comp in zip(shingle_sets(b.column(0), size), b.column(1).to_pylist()):
+                i = set_id(s)
+                if i not in seen:
+                    seen.add(i)
+                    made.append((i, comp, s.tobytes()))
             for a in range(0, len(made), 256):
-                ids, bodies, lengths, bits = zip(*made[a: a + 256])
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bodies, pa.binary()), pa.array(lengths, pa.int64()),
-                                                  *(pa.array([x[k] for x in bits], pa.int64()) for k in range(PARITY))], names=["sid", "body", "n", *_BITS])
+                ids, comps, bodies = zip(*made[a: a + 256])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(comps, pa.int64()), pa.array(bodies, pa.binary())], names=["sid", "comp", "body"])
     return run
 
 
@@ -241,10 +321,15 @@ def _verify(pct: int):
 
 
 def linked_pairs(pairs: DataFrame, bodies: DataFrame, pct: int) -> DataFrame:
-    """The pairs (a, b) of set ids whose sets link."""
+    """A written table of the pairs (a, b) of set ids whose sets link. Only bodies of the pairs travel: the pairs' sets are written first, and sent to the bodies."""
+    pairs = written(pairs.select("a", "b"), "candidates")
+    ids = written(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct(), "candidate-sets")
+    bodies = written(bodies.join(ids, "sid", "left_semi"), "candidate-bodies")
     with_b = pairs.join(bodies.select(F.col("sid").alias("b"), F.col("body").alias("body_b")), "b")
     both = with_b.join(bodies.select(F.col("sid").alias("a"), F.col("body").alias("body_a")), "a")
-    return both.select("a", "b", "body_a", "body_b").mapInArrow(_verify(pct), "a long, b long")
+    out = written(both.select("a", "b", "body_a", "body_b").mapInArrow(_verify(pct), "a long, b long"), "edges")
+    spent(pairs, ids, bodies)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -263,7 +348,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")) \
             .unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        cur = written(small, "cc")
+        was, cur = cur, written(small, "cc")
+        spent(was)
     return cur.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
@@ -292,98 +378,143 @@ def _in_components(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return pairs.join(ca, "a", "left").join(cb, "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
 
 
+def _possible_pairs(pairs: DataFrame, facts: DataFrame, pct: int) -> DataFrame:
+    """A written table of the pairs (a, b, shared) of which sizes, parity bits and sketches allow a link."""
+    def of(side: str, columns: list[str]) -> DataFrame:
+        return facts.select(F.col("set_id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns))
+
+    both = pairs.join(of("a", ["n", *_BITS]), "a").join(of("b", ["n", *_BITS]), "b")
+    near = 100 * F.least("n_a", "n_b") >= pct * F.greatest("n_a", "n_b")
+    differ = reduce(add, (F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _BITS))
+    alike = written(both.where(near & ((100 + pct) * differ <= (100 - pct) * (F.col("n_a") + F.col("n_b")))).select("a", "b", "shared", "n_a", "n_b"), "alike")
+    sketched = alike.join(of("a", ["sketch"]), "a").join(of("b", ["sketch"]), "b").select("a", "b", "shared", "n_a", "n_b", "sketch_a", "sketch_b")
+    out = written(sketched.mapInArrow(_near_sketches(pct), "a long, b long, shared long"), "pairs")
+    spent(alike)
+    return out
+
+
 def set_components(docs: DataFrame, text_col: str, size: int, pct: int, sets: DataFrame) -> DataFrame:
-    """(sid, comp_sid) of the sets that link with another; ``sets`` has (ord, n_shingles, set_id) of each row."""
+    """(sid, comp_sid) of the sets that link with another; ``sets`` has (ord, tk, n_shingles, set_id, parity bits) of each row."""
     spark = docs.sparkSession
-    n = shuffle_partitions(spark)
-    raw = docs.select(text_col).mapInArrow(_signature_rows(size, pct), "sig long, sid long, top long")
-    # local links go round with the heads: one pass over the texts; the heads meet by signature, the links pass through
-    dealt = raw.repartition(n, "sig").sortWithinPartitions("sig", "sid")
-    linked = written(dealt.mapInArrow(_links_and_passed, "sig long, sid long, top long"), "signature-links")
-    pairs = linked.groupBy(F.col("sid").alias("a"), F.col("top").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    pairs = written(pairs, "pairs")
-    involved = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-    first = sets.groupBy("set_id").agg(F.min(F.struct("ord", "tk")).alias("f")).join(involved, "set_id").select("f.ord", "f.tk")
-    texts = keyed(docs, "doc_id", text_col).join(first, ["ord", "tk"], "left_semi").select("text")
-    bodies = written(texts.mapInArrow(_packed(size), f"sid long, body binary, n long, {', '.join(f'{c} long' for c in _BITS)}").dropDuplicates(["sid"]), "bodies")
+    parts = shuffle_partitions(spark)
+    raw = docs.select(text_col).mapInArrow(_signature_rows(size, pct, 8 * parts), _PACKED)
+    # heads meet by range of signatures; links of a flush pass through: one pass over the texts
+    dealt = raw.repartition(parts, "part").sortWithinPartitions("part")
+    linked = written(dealt.mapInArrow(_links, "sig long, sid long, top long"), "signature-links")
+    facts = written(sets.groupBy("set_id").agg(F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in (*_BITS, "sketch")), F.min(F.struct("ord", "tk")).alias("f")), "facts")
+    pairs = _possible_pairs(linked.groupBy(F.col("sid").alias("a"), F.col("top").alias("b")).agg(F.count(F.lit(1)).alias("shared")), facts, pct)
+
+    def bodies_of(ids: DataFrame) -> DataFrame:
+        """(sid, comp, body) of the sets (sid, comp), from one text each."""
+        first = written(facts.join(ids, facts.set_id == ids.sid).select("f.ord", "f.tk", "comp"), "first-rows")
+        texts = keyed(docs, "doc_id", text_col).join(first, ["ord", "tk"]).select("text", "comp")
+        made = written(texts.mapInArrow(_bodies(size), "sid long, comp long, body binary"), "bodies")
+        # only repeated rows of one id give a set in several tasks
+        return written(made.dropDuplicates(["sid"]), "bodies") if made.count() > first.count() else made
+
+    alone = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+    bodies = bodies_of(alone.withColumn("comp", F.col("sid")))
     # 1: each set with the one it shares most signatures with
-    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-    edges = written(linked_pairs(best, bodies, pct), "edges")
+    best = written(pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")), "best")
+    edges = linked_pairs(best, bodies, pct)
     comp = components(edges)
     # 2: the other star links between sets that are still apart; 3: all sets of a signature that are still apart
-    edges2 = written(linked_pairs(_apart(pairs.select("a", "b"), comp).join(best, ["a", "b"], "left_anti"), bodies, pct), "edges")
+    edges2 = linked_pairs(_apart(pairs.select("a", "b"), comp).join(best, ["a", "b"], "left_anti"), bodies, pct)
     comp = merged(comp, edges2)
+    spent(bodies, edges, edges2, best)
     members = linked.select("sig", "sid").unionByName(linked.select("sig", F.col("top").alias("sid"))).distinct()
     placed = members.join(comp, members.sid == comp.node, "left").select("sig", "sid", F.coalesce("comp", "sid").alias("comp"))
-    split = placed.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("sig")
-    rest = placed.join(split, "sig", "left_semi").select("sid", "comp").distinct()
-    cross = _possible(rest, bodies, pct).join(pairs, ["a", "b"], "left_anti")
-    edges3 = written(linked_pairs(cross, bodies, pct), "edges")
+    # two sets of a signature are its star link, which was looked at
+    split = placed.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 != c1 and n > 2").select("sig")
+    rest = written(placed.join(split, "sig", "left_semi").select("sid", "comp").distinct(), "rest")
+    spent(linked)
+    if rest.isEmpty():
+        return comp.select(F.col("node").alias("sid"), F.col("comp").alias("comp_sid"))
+    bodies = bodies_of(rest)
+    cross = _possible(bodies, facts, pct).join(pairs, ["a", "b"], "left_anti")
+    edges3 = linked_pairs(cross, bodies, pct)
+    spent(bodies, pairs)
     return merged(comp, edges3).select(F.col("node").alias("sid"), F.col("comp").alias("comp_sid"))
 
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sid, token) of each element of the sets."""
+def _seen_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, n) of the elements that a flush of sets holds more than once."""
+    held, count = [], 0
+
+    def flush():
+        token, n = np.unique(np.concatenate(held), return_counts=True)
+        many = n > 1
+        return pa.RecordBatch.from_arrays([pa.array(token[many]), pa.array(n[many])], names=["token", "n"])
+
     for b in batches:
-        for i in range(b.num_rows):
-            body = np.frombuffer(b.column(1)[i].as_buffer(), np.int64)
-            for a in range(0, len(body), 100_000):
-                part = body[a: a + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), b.column(0)[i].as_py())), pa.array(part)], names=["sid", "token"])
+        for body in b.column(0):
+            held.append(np.frombuffer(body.as_buffer(), np.int64))
+            count += len(held[-1])
+            if count >= FLUSH:
+                yield flush()
+                held, count = [], 0
+    if held:
+        yield flush()
+
+
+def common_elements(bodies: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent elements, at most COMMON, and how often flushes saw them. They only decide the order of elements, so what flushes leave out costs no link."""
+    counts = written(bodies.select("body").mapInArrow(_seen_again, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "common")
+    sizes = {r.e: r.n for r in counts.groupBy(F.floor(F.log2("n")).cast("int").alias("e")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 64 rows
+    bound, held = max(sizes, default=0) + 1, 0
+    while bound and held + sizes.get(bound - 1, 0) <= COMMON:
+        bound -= 1
+        held += sizes.get(bound, 0)
+    found = counts.where(F.col("n") >= 1 << bound).toPandas().sort_values("token")
+    spent(counts)
+    return found["token"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+
+
+def _prefixes(common, pct: int):
+    """(token, sid, comp, n, pos): the rarest elements of each set, in an order that is the same for all sets: by frequency, then by value."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, often = common.value
+        for b in batches:
+            for sid, comp, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                s = np.frombuffer(body.as_buffer(), np.int64)
+                n = len(s)
+                f = np.zeros(n, np.int64)
+                if len(tokens):
+                    at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
+                    f = np.where(tokens[at] == s, often[at], 0)
+                first = np.lexsort((s, f))[: n + n * -pct // 100 + 1]
+                for a in range(0, len(first), 100_000):
+                    part = s[first[a: a + 100_000]]
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), sid)), pa.array(np.full(len(part), comp)), pa.array(np.full(len(part), n)),
+                                                      pa.array(np.arange(a + 1, a + 1 + len(part)))], names=["token", "sid", "comp", "n", "pos"])
+    return run
 
 
-def _possible(rest: DataFrame, bodies: DataFrame, pct: int) -> DataFrame:
-    """Pairs (a, b) of sets of different components that can still link; ``rest`` (sid, comp): the sets of signatures that are apart.
+def _possible(bodies: DataFrame, facts: DataFrame, pct: int) -> DataFrame:
+    """Pairs (a, b) of sets of different components that can still link.
 
     Texts around a common passage share signatures without being similar, so pairs within such signatures are not listed. Linked sets
-    share an element among the rarest (100 - pct) % of either, ordered by frequency, with enough elements after it for the overlap needed,
-    and differ in no more parity bits than a linked pair may differ in elements. Elements of one set alone only count as positions.
+    share an element among the rarest (100 - pct) % of either, with enough elements after it for the overlap needed, and sizes, parity bits and
+    sketches must allow the link.
     """
-    rest = written(rest, "rest")
-    facts = rest.join(bodies.select("sid", "n", *_BITS), "sid")
-    tokens = written(rest.join(bodies, "sid").select("sid", "body").mapInArrow(_exploded, "sid long, token long"), "tokens")
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    of_set = Window.partitionBy("sid")
-    shared = tokens.join(often, "token").select("sid", "token", F.row_number().over(of_set.orderBy("f", "token")).alias("nth"), F.count(F.lit(1)).over(of_set).alias("of"))
-    # the elements that no other set has come first
-    prefix = shared.join(facts, "sid").withColumn("pos", F.col("n") - F.col("of") + F.col("nth")) \
-        .where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * pct / 100) + 1)
-    prefix = written(prefix.select("token", "sid", "comp", "n", "pos", *_BITS), "prefixes")
-    other = prefix.select("token", F.col("sid").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"),
-                          *(F.col(c).alias(f"{c}_b") for c in _BITS))
-    enough = (100 + pct) * (1 + F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b"))) >= pct * (F.col("n") + F.col("n_b"))
+    common = bodies.sparkSession.sparkContext.broadcast(common_elements(bodies))
+    prefix = written(bodies.mapInArrow(_prefixes(common, pct), "token long, sid long, comp long, n long, pos long"), "prefixes")
+    other = prefix.select("token", F.col("sid").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
     near = 100 * F.least("n", "n_b") >= pct * F.greatest("n", "n_b")
-    differ = reduce(add, (F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in _BITS))
-    alike = (100 + pct) * differ <= (100 - pct) * (F.col("n") + F.col("n_b"))
-    return prefix.join(other, (prefix.token == other.token) & (F.col("sid") > F.col("b")) & (F.col("comp") != F.col("comp_b")) & near & enough & alike) \
-        .select(F.col("sid").alias("a"), "b").distinct()
+    enough = (100 + pct) * (1 + F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b"))) >= pct * (F.col("n") + F.col("n_b"))
+    met = prefix.join(other, (prefix.token == other.token) & (F.col("sid") > F.col("b")) & (F.col("comp") != F.col("comp_b")) & near & enough)
+    out = _possible_pairs(met.groupBy(F.col("sid").alias("a"), "b").agg(F.count(F.lit(1)).alias("shared")), facts, pct).select("a", "b")
+    spent(prefix)
+    return out
 
 
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return _in_components(pairs, comp).where("ca != cb").select("a", "b")
 
 
-def _links_and_passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links made in a flush pass through; heads get links to the smallest set of their signature."""
-    def heads(bs):
-        for b in bs:
-            local = b.column(2).is_valid().to_numpy(zero_copy_only=False)
-            if local.any():
-                made.append(b.filter(pa.array(local)))
-            yield b.filter(pa.array(~local))
-
-    made: list[pa.RecordBatch] = []
-    for out in _links(heads(batches)):
-        yield out
-        while made:
-            yield made.pop()
-    while made:
-        yield made.pop()
-
-
 def _placed(docs: DataFrame, id_col: str, text_col: str, size: int, pct: int) -> DataFrame:
     """(ord, tk, n_shingles, group, component) of each row; group tells components apart, component is the smallest ord in it."""
-    sets = written(keyed(docs, id_col, text_col).mapInArrow(_sets_of(["ord", "tk", "text"], "text", size), "ord long, tk long, n_shingles long, set_id long"), "sets")
+    sets = written(keyed(docs, id_col, text_col).mapInArrow(_sets_of(["ord", "tk", "text"], "text", size), f"ord long, tk long, {_FACTS_SQL}"), "sets")
     some = sets.where("n_shingles > 0")
     linked = set_components(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", size, pct, some)
     first = some.groupBy("set_id").agg(F.min("ord").alias("first"))
@@ -402,12 +533,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, pct: int = PCT) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row with the smallest id stays; texts without words all stay."""
     placed = written(_placed(docs, id_col, text_col, size, pct), "placed")
-    first = placed.where("n_shingles > 0").groupBy("group").agg(F.min(F.struct("ord", "tk")).alias("f")).select("f.ord", "f.tk", F.lit(1).alias("first"))
-    stays = placed.where("n_shingles = 0").select("ord", "tk").distinct().withColumn("first", F.lit(0)).unionByName(first)
+    first = placed.where("n_shingles > 0").groupBy("group").agg(F.min(F.struct("ord", "tk")).alias("f")).select("f.ord", "f.tk")
+    times = placed.where("n_shingles > 0").groupBy("ord", "tk").agg(F.count(F.lit(1)).alias("times"))
+    wordless = placed.where("n_shingles = 0").select("ord", "tk").distinct().withColumn("times", F.lit(1).cast("long"))
+    keys = ["ord", "tk"]
+    stays = written(wordless.unionByName(times.join(first, keys, "left_semi")), "stays")  # written: a small table is sent to the texts
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
-    keys = ["ord", "tk"]
     rows = plain.select("*", *key_columns(names[docs.columns.index(id_col)], names[docs.columns.index(text_col)])).join(stays, keys)
-    # a repeated row shares its key with the one that stays
-    again = Window.partitionBy(*keys).orderBy(F.lit(0))
-    return rows.withColumn("nth", F.row_number().over(again)).where("first = 0 or nth = 1").select(*names).toDF(*docs.columns)
+    # repeated rows share their key with the one that stays: combined map-side
+    once = rows.where("times = 1").unionByName(rows.where("times > 1").dropDuplicates(keys))
+    return once.select(*names).toDF(*docs.columns)

@@ -232,7 +232,7 @@ def test_signatures_cover_linked_pairs():
             inter = len(np.intersect1d(a, b))
             if 100 * inter >= 85 * (len(a) + len(b) - inter):
                 assert len(np.intersect1d(ngram_join.signatures(a, 85), ngram_join.signatures(b, 85)))
-            bits = sum(int(x).bit_count() for x in (ngram_join.parity(a) ^ ngram_join.parity(b)).view(np.uint64))
+            bits = sum(int(x).bit_count() for x in (ngram_join.parity(a, 256) ^ ngram_join.parity(b, 256)).view(np.uint64))
             assert bits <= len(a) + len(b) - 2 * inter
 
 
