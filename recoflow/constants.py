@@ -58,6 +58,14 @@ PROCESS_ID_RECOMMENDER_DEPLOY = "recommender_deploy"
 PROCESS_ID_RECOMMENDER_PREDICT = "recommender_predict"
 PROCESS_ID_RECOMMENDER_EVALUATE = "recommender_evaluate"
 
+# the whole vocabulary: anything else is quarantined
+MESSAGE_TYPES = ["1", "2", "3", "4", "1001", "1002", "1003", "1004"]
+GROUP_IDS = ["cba360", "preprocessing", "segmentation", "inactive", "recommender", "campaign"]
+PROCESS_IDS = ["accum", "query", "filter_segment", "recommender_preprocessing", "inactive_preprocessing", "inactive_sampling",
+               "segment", "inactive_training", "inactive_deploy", "inactive_predict", "inactive_evaluate",
+               "recommender_training", "recommender_deploy", "recommender_predict", "recommender_evaluate",
+               "creation", "execution", "interation", "evaluation", "visualization"]
+
 STATUS_ACCEPTED = "ACCEPTED"
 STATUS_RUNNING = "RUNNING"
 STATUS_FINISHED = "FINISHED"

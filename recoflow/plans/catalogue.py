@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recoflow import constants as C
+from recoflow.functions.columns import dot
 from recoflow.operators import dims, ingest, interactions, models, negatives, report, split
 from recoflow.operators import metrics as M
 from recoflow.operators import recommend as R
 from recoflow.operators import scoring as S
 from recoflow.session import materialize, scratch_path
 from recoflow.sources import tables as T
-from recoflow.streaming import envelope, stream
+from recoflow.streaming import envelope, model_store, sessions, stream
 
 ROUND = 6
 
@@ -351,6 +352,51 @@ def q_stream_response(spark, sf_dir):
     return spark.read.parquet(f"{out}/response").select("session_id", "request_key", "user_id", "package_recommend")
 
 
+def q_stream_requests_once(spark, sf_dir):
+    """Requests that come again (every fifth, later) or late within the watermark are answered once: (session_id, n_answers) of the answered sessions."""
+    src, out, ckpt = scratch_path(spark, "requests"), scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
+    records = T.request_records(spark, sf_dir)
+    again = records.where(F.pmod(F.xxhash64("key"), F.lit(5)) == 0)
+    records.write.parquet(f"{src}/0")     # the batches of the stream, in this order
+    again.write.parquet(f"{src}/1")
+    rec = stream.FactorRecommender(T.user_factors(spark, sf_dir), T.item_factors(spark, sf_dir), T.interactions(spark, sf_dir), T.user_names(spark, sf_dir))
+    q = stream.start_request_stream(spark, f"{src}/*", out, ckpt, rec, files_per_batch=1_000, delay="60 days")
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    answers = spark.read.parquet(f"{out}/response").select("session_id", "request_key", "batch_id")
+    return answers.groupBy("session_id", "request_key").agg(F.count(F.lit(1)).alias("n_answers"))
+
+
+STATUS_DELAY_DAYS, STATUS_KEEP_DAYS = 2, 5
+
+
+def q_stream_latest_status(spark, sf_dir):
+    """Latest status of every session and whether its life ended before it finished, from keyed state under a watermark."""
+    src, out, ckpt = scratch_path(spark, "statuses"), scratch_path(spark, "latest"), scratch_path(spark, "latest-ckpt")
+    records = T.status_records(spark, sf_dir)
+    lo, hi = records.agg(F.min("sent_ms"), F.max("sent_ms")).first()
+    for k in range(3):  # three batches by time, rows of a batch in any order
+        part = F.floor((F.col("sent_ms") - lo) * 3 / (hi - lo + 1)) == k
+        records.where(part).select("key", "value").write.parquet(f"{src}/{k}")
+    q = sessions.start_latest_status(spark, f"{src}/*", out, ckpt, f"{STATUS_DELAY_DAYS} days", STATUS_KEEP_DAYS * 86_400_000, files_per_batch=1_000)
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return sessions.read_latest_status(spark, out)
+
+
+def q_stored_factors(spark, sf_dir):
+    """SK3 + SC10: item factors of the newest committed version of a model store; a newer version without a commit is not read."""
+    store = model_store.ModelStore(spark, scratch_path(spark, "model-store"))
+    uf, itf = _factors(spark, sf_dir)
+    store.save("old", uf.limit(0), itf.limit(0))
+    version = store.save("first", uf, itf)
+    itf.limit(1).write.parquet(f"{store.root}/versions/{version + 1}/items")  # what a lost driver leaves
+    _, items = store.load(store.latest())
+    return items.select(F.lit(version).alias("version"), "id", F.size("features").alias("dim"), F.round(F.sqrt(dot("features", "features")), ROUND).alias("norm"))
+
+
 def catalogue() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "raw_standardize": q_raw_standardize,
@@ -394,4 +440,7 @@ def catalogue() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_requests": q_stream_requests,
         "stream_status": q_stream_status,
         "stream_response": q_stream_response,
+        "stream_requests_once": q_stream_requests_once,
+        "stream_latest_status": q_stream_latest_status,
+        "stored_factors": q_stored_factors,
     }

@@ -279,4 +279,17 @@ WHERE e.event_type = 'purchase'"""
   SELECT t.user_id, string_agg(COALESCE(n.package, CAST(t.item_id AS VARCHAR)), ',' ORDER BY t.rank) AS package_recommend
   FROM top t LEFT JOIN names n USING (item_id) GROUP BY 1)""") + """SELECT r.session_id, r.request_key, r.user_id,
   COALESCE(l.package_recommend, '') AS package_recommend FROM req r LEFT JOIN lists l USING (user_id)"""
+    q["stream_requests_once"] = """SELECT CAST(event_id AS VARCHAR) AS session_id, CAST(84300000000 + user_id AS BIGINT) AS request_key,
+  CAST(1 AS BIGINT) AS n_answers FROM events WHERE event_type = 'purchase'"""
+    q["stream_latest_status"] = """WITH s AS (
+  SELECT CAST(user_id AS VARCHAR) AS session_id, epoch_us(ts) // 1000 AS event_ms,
+         CASE event_type WHEN 'click' THEN 'ACCEPTED' WHEN 'view' THEN 'RUNNING' ELSE 'FINISHED' END AS status,
+         CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS seq
+  FROM events WHERE event_type IN ('click', 'view', 'purchase')),
+l AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY event_ms DESC, seq DESC) AS r,
+             MAX(event_ms) OVER () - 2 * 86400000 AS watermark FROM s)
+SELECT session_id, status, CAST(seq AS INTEGER) AS seq, CAST(event_ms AS BIGINT) AS event_ms,
+  (status <> 'FINISHED' AND event_ms + 5 * 86400000 < watermark) AS expired FROM l WHERE r = 1"""
+    q["stored_factors"] = w(FACTORS) + f"""SELECT CAST(2 AS INTEGER) AS version, id, CAST(len(f) AS INTEGER) AS dim,
+  ROUND(SQRT({DOT('f', 'f')}), {ROUND}) AS norm FROM itf"""
     return q

@@ -180,6 +180,25 @@ def request_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("event:"), et).alias("description"), content.alias("content"), et.alias("event_type"))
 
 
+#: The status that an event of the log stands for, when it is read as a customer's session.
+STATUS_OF_EVENT = {"click": "ACCEPTED", "view": "RUNNING", "purchase": "FINISHED"}
+
+
+def status_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, value, sent_ms) status records: sessions are customers, events their statuses; every seventh event is sent twice."""
+    from recoflow import constants as C
+    from recoflow.streaming.envelope import encode
+    ev = table(spark, sf_dir, "events").where(F.col("event_type").isin(*STATUS_OF_EVENT))
+    status = F.create_map(*[F.lit(x) for p in STATUS_OF_EVENT.items() for x in p])[F.col("event_type")]
+    env = ev.select(
+        F.lit(C.MESSAGE_TYPE_OFFLINE_STATUS).alias("message_type"), F.lit(C.GROUP_ID_RECOMMENDER).alias("group_id"),
+        F.lit(C.PROCESS_ID_RECOMMENDER_PREDICT).alias("process_id"), F.col("user_id").cast("string").alias("session_id"),
+        F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("created_time"),
+        F.create_map(F.lit("status"), status).alias("content"),
+        F.explode(F.when(F.pmod("event_id", F.lit(7)) == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"))
+    return encode(env.withColumn("sent_ms", F.col("created_time")), keep=("sent_ms",))
+
+
 def request_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key, value) request records as they would sit on the request topic."""
     from recoflow.streaming.envelope import encode
