@@ -1,10 +1,9 @@
 """Recommendation and exact held-out ranking on factor tables.
 
-Seen items are excluded *exactly* without a user × item candidate table:
-each user fetches its best ``k + n_seen`` items from the scan, the seen ones are
-removed with an anti join on (user_id, item_id), and a bounded top-k finishes.
-A user's fetch is at most its history plus k, so the work is proportional to
-the input, even for a user that owns a large share of all rows.
+Lists and ranks come from one scan of the items (``operators.gridscan``): a query row carries the ids that its user has seen, the kernel
+masks them, and exactly k rows (or one rank) of a user leave it. Where the items pass the broadcast check, the score range, the held-out
+item's own score and the count of items before it are all found in that scan, and no vector travels with a pair. Larger
+catalogues are ranked by the block-pair scan with corrections by joins (``operators.scoring``), and recommended chunk by chunk.
 """
 
 from __future__ import annotations
@@ -14,49 +13,49 @@ from pyspark.sql import functions as F
 
 from recoflow import constants as C
 from recoflow.functions.columns import dot, hit_at, minmax_scaled, ndcg_at
+from recoflow.operators import gridscan
+from recoflow.operators.gridscan import ItemChunks
 from recoflow.operators.skew import salted_join
 from recoflow.operators.scoring import (MAX_BROADCAST_BYTES, ItemMatrix, item_frame, score_stats, top_k_per_key,
                                        topk_candidates, user_score_range)
 
 
-def _prepared(items, kw: dict):
-    """The item side, size-checked (and broadcast when it fits) once for all scans of one call."""
-    if isinstance(items, ItemMatrix):
-        return items
-    return ItemMatrix(items, kw.get("max_broadcast_bytes", MAX_BROADCAST_BYTES))
+def _chunks(items, kw: dict) -> ItemChunks:
+    return items if isinstance(items, ItemChunks) else ItemChunks(items, kw.get("max_broadcast_bytes", MAX_BROADCAST_BYTES))
+
+
+def _plain(items) -> DataFrame:
+    return items.table.select("id", "features") if isinstance(items, ItemChunks) else items
 
 
 def _seen_counts(seen: DataFrame) -> DataFrame:
     return seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n_seen"))
 
 
-def _with_fetch(users: DataFrame, seen: DataFrame | None, k: int) -> DataFrame:
-    wanted = F.least(F.col("k_wanted"), F.lit(k)) if "k_wanted" in users.columns else F.lit(k)
-    q = users.select(F.col("id").alias("user_id"), "features", wanted.alias("k_fetch"))
-    if seen is None:
-        return q
+def _with_fetch(users: DataFrame, seen: DataFrame, k: int) -> DataFrame:
+    q = users.select(F.col("id").alias("user_id"), "features", F.lit(k).alias("k_fetch"))
     return (q.join(_seen_counts(seen), "user_id", "left")
             .withColumn("k_fetch", (F.col("k_fetch") + F.coalesce("_n_seen", F.lit(0))).cast("int")).drop("_n_seen"))
 
 
-def recommend_unseen(users: DataFrame, items: DataFrame, seen: DataFrame | None, k: int, **kw) -> DataFrame:
+def recommend_unseen(users: DataFrame, items: DataFrame | ItemChunks, seen: DataFrame | None, k: int, **kw) -> DataFrame:
     """(user_id, rank, item_id, score) — top k by raw score desc, item id asc, seen excluded.
 
-    A column ``k_wanted`` of ``users`` lowers k for a user: at least that many of its best items are given.
+    A column ``k_wanted`` of ``users`` lowers k for a user.
     """
-    cands = topk_candidates(_with_fetch(users, seen, k), items, ["user_id"], tie="asc", **kw)
-    if seen is not None:
-        cands = cands.join(seen.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-    top = top_k_per_key(cands, ["user_id"], [F.desc("score"), F.asc("item_id")], k)
-    return top.select("user_id", "rank", "item_id", "score")
+    return gridscan.recommend(users, _chunks(items, kw), seen, k)
 
 
-def recommend_masked(users: DataFrame, items: DataFrame, seen: DataFrame, k: int, **kw) -> DataFrame:
+def recommend_masked(users: DataFrame, items: DataFrame | ItemChunks, seen: DataFrame, k: int, **kw) -> DataFrame:
     """T3 + P8 + P9: per user, scores min-max scaled over all items, seen items forced to 0,
     top k by (masked desc, item id desc). Seen items can appear when fewer than k
     unseen items score above 0 — the masking semantics, kept exactly.
     """
-    items = _prepared(items, kw)
+    chunks = _chunks(items, kw)
+    if chunks.chunks and not chunks.several:
+        return gridscan.recommend_masked(users, chunks, seen, k)
+    # the range needs all items before any can be scaled: two scans of block pairs
+    items = ItemMatrix(_plain(chunks), kw.get("max_broadcast_bytes", MAX_BROADCAST_BYTES))
     rng = user_score_range(users, items, **kw)
     q = _with_fetch(users, seen, k).join(rng, "user_id")
     cands = topk_candidates(q, items, ["user_id"], tie="desc", scaled=True, **kw)
@@ -88,9 +87,14 @@ def heldout_ranks(users: DataFrame, items: DataFrame, labels: DataFrame, seen: D
 
     rank = 1 + #{items j ≠ h : score_j ≥ score_h}; with ``seen`` (the "unseen"
     negatives mode) the user's seen items are not candidates. Never builds the
-    candidate list: the scan counts, the seen correction is a join. A label
-    whose user or item has no factors is a miss: rank NULL, hit and NDCG 0.
+    candidate list: the scan counts. A label whose user or item has no factors is a miss: rank NULL, hit and NDCG 0.
     """
+    chunks = _chunks(items, kw)
+    if chunks.chunks and not chunks.several:
+        found = gridscan.rank_labels(users, chunks, labels, seen, masked=False).withColumnRenamed("rank", "heldout_rank")
+        out = labels.select("user_id", "item_id").join(found, ["user_id", "item_id"], "left")
+        return out.select("user_id", "item_id", "heldout_rank", hit_at("heldout_rank", k).alias("hit"), ndcg_at("heldout_rank", k).alias("ndcg"))
+    items = _plain(chunks)
     q = _label_queries(users, items, labels)
     stats = score_stats(q.select("user_id", "item_id", "features", "t", "h"), items,
                         ["user_id", "item_id"], count="geq", **kw)
@@ -117,7 +121,10 @@ def masked_label_ranks(users: DataFrame, items: DataFrame, labels: DataFrame, se
     (user_id, item_id, rank), one row per label; rank NULL (a miss) where the user or item has no
     factors. Used to evaluate every k of a sweep from one scan.
     """
-    items = _prepared(items, kw)
+    chunks = _chunks(items, kw)
+    if chunks.chunks and not chunks.several:
+        return labels.select("user_id", "item_id").join(gridscan.rank_labels(users, chunks, labels, seen, masked=True), ["user_id", "item_id"], "left")
+    items = ItemMatrix(_plain(chunks), kw.get("max_broadcast_bytes", MAX_BROADCAST_BYTES))
     rng = user_score_range(users.join(labels.select(F.col("user_id").alias("id")).distinct(), "id", "left_semi"),
                            items, **kw)
     q = (_label_queries(users, items, labels).join(rng, "user_id")

@@ -133,6 +133,15 @@ def q_recommend_unseen_top5(spark, sf_dir):
     return recs.select("user_id", "rank", "item_id", _r("score"))
 
 
+def q_recommend_grid(spark, sf_dir):
+    """The same lists from many item chunks, each scanned after its broadcast (at least eight, whatever the table's size)."""
+    uf, itf = _factors(spark, sf_dir)
+    itf = materialize(itf)
+    limit = max(1, itf.count() // 8) * 8 * (itf.agg(F.max(F.size("features"))).first()[0] or 1)
+    recs = R.recommend_unseen(uf, itf, _inter(spark, sf_dir), 5, max_broadcast_bytes=limit)
+    return recs.select("user_id", "rank", "item_id", _r("score"))
+
+
 def _masked_top5(spark, sf_dir):
     uf, itf = _factors(spark, sf_dir)
     return R.recommend_masked(uf, itf, _inter(spark, sf_dir), C.TOP_ITEMS_REPORTED)
@@ -416,6 +425,7 @@ def catalogue() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "popularity_baseline_ndcg": q_popularity_baseline,
         "score_pairs": q_score_pairs,
         "recommend_unseen_top5": q_recommend_unseen_top5,
+        "recommend_grid_top5": q_recommend_grid,
         "minmax_masked_top5": q_minmax_masked_top5,
         "heldout_rank_hr_ndcg": q_heldout_rank,
         "heldout_rank_unseen": q_heldout_rank_unseen,

@@ -178,6 +178,7 @@ FROM inter t JOIN uf u ON t.user_id = u.id JOIN itf i ON t.item_id = i.id"""
 FROM (SELECT a.*, CAST(row_number() OVER (PARTITION BY user_id ORDER BY s DESC, item_id ASC) AS INTEGER) AS rank
       FROM allscores a WHERE NOT EXISTS (SELECT 1 FROM inter t WHERE t.user_id = a.user_id AND t.item_id = a.item_id))
 WHERE rank <= 5"""
+    q["recommend_grid_top5"] = q["recommend_unseen_top5"]
     q["minmax_masked_top5"] = w(INTER, FACTORS, ALLSCORES, MASKED_TOP5) + f"""SELECT user_id, rank, item_id,
   ROUND(score, {ROUND}) AS score FROM masked_top5"""
     q["heldout_rank_hr_ndcg"] = w(INTER, SPLIT, FACTORS, ALLSCORES, HELDOUT, """ranked AS (
