@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recoflow.operators.scoring import CELLS_PER_TASK, MAX_BROADCAST_BYTES, MAX_SCAN_TASKS, _exact, _item_size
 from recoflow.session import materialize
@@ -327,6 +328,59 @@ def _top_k_rows(sent, dim: int, tiles: list | None):
     return run
 
 
+def score_pairs(pairs: DataFrame, users: ItemChunks, items: ItemChunks) -> DataFrame:
+    """(user_id, item_id, …) → + score where both sides passed the size check: nothing is shuffled, no vector travels with a pair."""
+    sides = [x.send(x.chunks[0]) for x in (users, items)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = []
+        for s in sides:
+            ids, V, _ = s.value
+            order = np.argsort(ids, kind="stable")
+            known.append((ids[order], V[order]))
+        for b in batches:
+            keep, at = np.ones(b.num_rows, bool), []
+            for name, (ids, _) in zip(("user_id", "item_id"), known):
+                c = b.column(name)
+                asked = c.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                place = np.minimum(np.searchsorted(ids, asked), len(ids) - 1)
+                keep &= (ids[place] == asked) & c.is_valid().to_numpy(zero_copy_only=False)
+                at.append(place)
+            score = _exact(known[0][1], known[1][1], at[0][keep], at[1][keep])
+            part = b.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, "score"])
+    return pairs.mapInArrow(run, T.StructType([*pairs.schema.fields, T.StructField("score", T.DoubleType())]))
+
+
+def report_scan(users: DataFrame, chunks: ItemChunks, labels: DataFrame, seen: DataFrame, k: int) -> DataFrame:
+    """R1 from one scan, one chunk only: (user_id, rank, item_id, score, label_rank) — the masked lists (T3), and for each label a row without rank
+    that holds the label's place in the whole masked order (A12)."""
+    held = labels.groupBy("user_id").agg(F.collect_set("item_id").alias("held"))  # a user's held-out items: at most the catalogue
+    q = users.select(F.col("id").alias("user_id"), "features").join(_seen_lists(seen), "user_id", "left").join(held, "user_id", "left")
+    sent, dim = chunks.send(chunks.chunks[0]), chunks.dim
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            U, (srow, sids) = _matrix(b.column("features"), dim), _seen_of(b)
+            user = b.column("user_id").to_numpy()
+            rows, ids, scores = masked_top_k(U, sent.value, k, srow, sids)
+            nth = np.arange(len(rows)) - np.searchsorted(rows, rows) + 1
+            lists = b.column("held")
+            n = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+            of, item = np.repeat(np.arange(b.num_rows), n), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            # the seen ids once for each label of a user
+            first, many = np.searchsorted(srow, of), np.searchsorted(srow, of, "right")
+            each = np.repeat(np.arange(len(of)), many - first)
+            spot = np.arange(len(each)) - np.repeat(np.cumsum(many - first) - (many - first), many - first) + first[each]
+            place = label_ranks(U[of], sent.value, item, each, sids[spot], True)
+            ok = place > 0
+            none = pa.nulls(int(ok.sum()), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((user[rows], user[of[ok]]))), pa.concat_arrays([pa.array(nth.astype(np.int32)), none]),
+                                              pa.array(np.concatenate((ids, item[ok])).astype(np.int32)), pa.array(np.concatenate((scores, np.full(int(ok.sum()), np.nan)))),
+                                              pa.concat_arrays([pa.nulls(len(rows), pa.int64()), pa.array(place[ok])])], names=["user_id", "rank", "item_id", "score", "label_rank"])
+    return _spread(q, chunks.n_items, users.count()).mapInArrow(run, "user_id int, rank int, item_id int, score double, label_rank long")
+
+
 def rank_labels(users: DataFrame, chunks: ItemChunks, labels: DataFrame, seen: DataFrame | None, masked: bool) -> DataFrame:
     """(user_id, item_id, rank) of the labels whose user and item have factors; one chunk only. No vector leaves its row: the kernel knows all items."""
     q = labels.select("user_id", "item_id").distinct().join(users.select(F.col("id").alias("user_id"), "features"), "user_id")

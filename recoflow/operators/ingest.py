@@ -38,12 +38,3 @@ def standardize_subscribers(lines: DataFrame, value_col: str = "value") -> DataF
     parsed = parse_lines(lines, value_col)
     return parsed.select(rewrite_msisdn("msisdn").try_cast("bigint").alias("msisdn"),
                          F.explode(F.filter(F.transform("offers", strip_brand_tokens), offer_is_kept)).alias("package"))
-
-
-def offers_per_msisdn(cleaned: DataFrame) -> DataFrame:
-    """A1 when a grouped view is wanted: all offers of an msisdn in one list.
-
-    The list length is the subscriber's purchase count, so only use it where
-    that is known to be small; the pipeline itself never needs it.
-    """
-    return cleaned.groupBy("msisdn").agg(F.flatten(F.collect_list("offers")).alias("offers"))

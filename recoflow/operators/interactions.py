@@ -17,8 +17,8 @@ def purchase_counts(subscriptions: DataFrame) -> DataFrame:
 
 
 def rating_triples(subscriptions: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
-    """L3: (user_id int, item_id int, rating int)."""
-    counts = purchase_counts(subscriptions)
+    """L3: (user_id int, item_id int, rating int). ``subscriptions``: single purchases, or their counts (``purchase_counts``)."""
+    counts = subscriptions if "rating" in subscriptions.columns else purchase_counts(subscriptions)
     with_user = salted_join(counts, users, ["msisdn"], "left", salt_on=["package"])
     return salted_join(with_user, items, ["package"], "left", salt_on=["msisdn"]).select("user_id", "item_id", "rating")
 
@@ -47,6 +47,21 @@ def dataset_counts(triples: DataFrame) -> DataFrame:
                        F.countDistinct("item_id").alias("n_items"))
 
 
+def distinct_sketches(rows: DataFrame, by: list[str], value: str, lg_k: int = 12) -> DataFrame:
+    """A3, approximate and mergeable: (by…, sketch), one HLL sketch of ``value`` a group, of at most 2^lg_k bytes whatever it counts."""
+    return rows.groupBy(*by).agg(F.hll_sketch_agg(value, lg_k).alias("sketch"))
+
+
+def merged_counts(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """(by…, n): estimated distinct values of coarser groups, from the sketches alone."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n"))
+
+
 def rating_matrix_cells(triples: DataFrame) -> DataFrame:
-    """SC8: duplicate (user, item) cells add up; the long table is the sparse matrix."""
+    """SC8: duplicate (user, item) cells add up; the long table is the sparse matrix (its shape: ``matrix_shape``)."""
     return triples.groupBy("user_id", "item_id").agg(F.sum("rating").alias("rating"))
+
+
+def matrix_shape(cells: DataFrame) -> DataFrame:
+    """SC8: one row (n_rows, n_columns, n_cells): distinct users, distinct items, stored cells."""
+    return cells.agg(F.countDistinct("user_id").alias("n_rows"), F.countDistinct("item_id").alias("n_columns"), F.count(F.lit(1)).alias("n_cells"))

@@ -49,8 +49,15 @@ MAX_SCAN_TASKS = 1 << 17
 
 # ---- pairs ---------------------------------------------------------------------
 
-def score_pairs(pairs: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
-    """M4: (user_id, item_id, …) → + score; pairs whose user or item has no factors drop."""
+def score_pairs(pairs: DataFrame, users: DataFrame, items: DataFrame, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """M4: (user_id, item_id, …) → + score; pairs whose user or item has no factors drop.
+
+    Where both factor tables pass the broadcast check, pairs are scored where they lie; else they meet the vectors by two joins.
+    """
+    from recoflow.operators import gridscan
+    sides = [gridscan.ItemChunks(x, max_broadcast_bytes) for x in (users, items)]
+    if all(x.chunks and not x.several for x in sides):
+        return gridscan.score_pairs(pairs, *sides)
     u = users.select(F.col("id").alias("user_id"), F.col("features").alias("_uf"))
     i = items.select(F.col("id").alias("item_id"), F.col("features").alias("_if"))
     # a hot user or a hot item would put all its pairs in one task: both joins are salted

@@ -17,6 +17,7 @@ from recoflow.operators import metrics as M
 from recoflow.operators import recommend as R
 from recoflow.operators import scoring as S
 from recoflow.session import materialize, scratch_path
+from recoflow.sources import files
 from recoflow.sources import tables as T
 from recoflow.streaming import envelope, model_store, sessions, stream
 
@@ -30,9 +31,9 @@ def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _etl(spark: SparkSession, sf_dir: str):
-    # the cleaned subscriptions are the ETL's hand-off table: written once, read three times
-    subs = materialize(subscriptions(spark, sf_dir))
-    return subs, dims.user_dimension(subs), dims.item_dimension(subs)
+    # purchase counts are the ETL's hand-off table: written once, read three times (no row of a repeated purchase, both dimensions' keys)
+    counts = materialize(interactions.purchase_counts(subscriptions(spark, sf_dir)))
+    return counts, dims.user_dimension(counts), dims.item_dimension(counts)
 
 
 def q_raw_standardize(spark, sf_dir):
@@ -111,6 +112,67 @@ def q_popularity_baseline(spark, sf_dir):
     return M.popularity_baseline(train, test)
 
 
+# ---- files written and read again ----------------------------------------------------
+
+def _rating_file(spark, sf_dir):
+    """A rating file of the interactions; every item that ends in 3 has an unreadable rating, in 7 no user, in 9 a field too few."""
+    path = scratch_path(spark, "ratings-csv")
+    last = F.pmod("item_id", F.lit(10))
+    line = F.concat_ws(",", F.when(last == 7, F.lit("")).otherwise(F.col("user_id").cast("string")), F.col("item_id").cast("string"),
+                       F.when(last == 9, F.lit(None)).when(last == 3, F.lit("x")).otherwise(F.col("rating").cast("string")))
+    T.interactions(spark, sf_dir).select(line.alias("value")).write.text(path)
+    return path
+
+
+def q_files_ratings(spark, sf_dir):
+    """SC4 + SC5: good rows of a rating file with their bucket (the files have no header line of their own)."""
+    good, _ = files.read_checked(spark, _rating_file(spark, sf_dir), files.RATING_SCHEMA, files.RATING_SCHEMA.names, header=False)
+    return files.with_bucket(good.select("user_id", "item_id", F.col("rating").cast("int").alias("rating")))
+
+
+def q_files_bad_records(spark, sf_dir):
+    """Bad rows of the rating file by reason, none lost."""
+    _, bad = files.read_checked(spark, _rating_file(spark, sf_dir), files.RATING_SCHEMA, files.RATING_SCHEMA.names, header=False)
+    return bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_files_offers(spark, sf_dir):
+    """SC2 + SC3 + SK1: the offer sheet written as headed CSV and read again."""
+    path = files.write_table(T.offer_attributes(spark, sf_dir), scratch_path(spark, "offers-csv"), fmt="csv")
+    return files.read_offers(spark, path)
+
+
+def q_files_labels(spark, sf_dir):
+    """SC5 + SC6 + SK1: the test split written as headed CSV and read again as labels."""
+    test = split.test_pairs(T.interactions(spark, sf_dir)).withColumn("rating", F.when(F.pmod("item_id", F.lit(4)) == 0, 0).otherwise(F.col("rating")))
+    path = files.write_table(test.toDF("User", "package", "ratings"), scratch_path(spark, "test-csv"), fmt="csv")
+    labels = files.read_test_labels(spark, path)
+    positive = files.read_binary_ratings(spark, path).select("user_id", "item_id", F.col("rating").cast("double").alias("binary"))
+    return labels.join(positive, ["user_id", "item_id"], "left")
+
+
+def q_files_raw_lines(spark, sf_dir):
+    """SC1 + L1 from a text file."""
+    path = scratch_path(spark, "raw-lines")
+    T.raw_lines(spark, sf_dir).write.text(path)
+    return ingest.standardize_subscribers(files.read_raw_lines(spark, path))
+
+
+def q_files_negatives(spark, sf_dir):
+    """SC7 + SK2: sampled negatives written as wide lines and read again."""
+    _, negs = _train_negatives(spark, sf_dir)
+    pairs = negs.select("user_id", F.col("item_id").alias("heldout"), F.col("neg_item").alias("item_id"))
+    return files.read_wide_negatives(spark, files.write_wide_negatives(pairs, scratch_path(spark, "negatives-txt")))
+
+
+def q_matrix_shape(spark, sf_dir):
+    """SC8: cells of single purchases add up; shape of the matrix."""
+    orders, lines = T.table(spark, sf_dir, "orders"), T.table(spark, sf_dir, "lineitem")
+    single = orders.join(lines, orders.o_orderkey == lines.l_orderkey).select(
+        F.col("o_custkey").cast("int").alias("user_id"), F.col("l_partkey").cast("int").alias("item_id"), F.lit(1).alias("rating"))
+    return interactions.matrix_shape(interactions.rating_matrix_cells(single))
+
+
 # ---- scoring on fixed factor tables ----------------------------------------------
 
 def _factors(spark, sf_dir):
@@ -202,17 +264,48 @@ def request_keys(spark, sf_dir):
     return ev.select(key.cast("bigint").alias("request_key")).distinct()
 
 
-def q_recommend_lookup(spark, sf_dir):
+def _paired(spark, sf_dir):
     uf, itf = _factors(spark, sf_dir)
     inter = _inter(spark, sf_dir)
-    names = T.item_names(spark, sf_dir)
-    req = report.resolve_user_keys(request_keys(spark, sf_dir), T.user_names(spark, sf_dir))
+    names, users = T.item_names(spark, sf_dir), T.user_names(spark, sf_dir)
+    req = report.resolve_user_keys(request_keys(spark, sf_dir), users)
     wanted = uf.join(req.select(F.col("user_id").alias("id")).where(F.col("id").isNotNull()).distinct(), "id", "left_semi")
-    recs = report.ranked_list_strings(R.recommend_unseen(wanted, itf, inter, 5), names)
-    owned = inter.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_subscribed"))
-    return (req.join(recs, "user_id", "left").join(owned, "user_id", "left")
-            .select("request_key", "user_id", F.coalesce("package_recommend", F.lit("")).alias("package_recommend"),
-                    F.coalesce("n_subscribed", F.lit(0)).cast("long").alias("n_subscribed")))
+    return report.paired_lists(req, R.recommend_unseen(wanted, itf, inter, 5), inter, users, names)
+
+
+def q_recommend_lookup(spark, sf_dir):
+    """R2 + J14 + P14: both lists and the msisdn for every requested key."""
+    return _paired(spark, sf_dir)
+
+
+def q_recommend_report(spark, sf_dir):
+    """R3 + P18 + P23: the lists as JSON."""
+    return report.report_json(_paired(spark, sf_dir))
+
+
+def q_performance_report(spark, sf_dir):
+    """R1 + P23: every part of the payload from one scan."""
+    uf, itf = _factors(spark, sf_dir)
+    inter = _inter(spark, sf_dir)
+    train, test = split.leave_one_out(inter)
+    out = models.factor_report(uf, itf, inter, materialize(train), materialize(test), T.item_names(spark, sf_dir))
+    return out.select("section", "key", _r("value"))
+
+
+def q_distinct_sketches(spark, sf_dir):
+    """A3: distinct users of each event type by exact count and merged from daily sketches; whether the estimate lies within its bound (four standard errors, or one)."""
+    ev = T.table(spark, sf_dir, "events").select("event_type", F.to_date("ts").alias("day"), "user_id")
+    daily = materialize(interactions.distinct_sketches(ev, ["event_type", "day"], "user_id"))
+    exact = ev.groupBy("event_type").agg(F.countDistinct("user_id").alias("n_users"))
+    error = F.greatest(F.lit(1.0), F.lit(4 * 1.04 / 64) * F.col("n_users"))
+    return exact.join(interactions.merged_counts(daily, ["event_type"]), "event_type").select(
+        "event_type", "n_users", (F.abs(F.col("n") - F.col("n_users")) <= error).alias("within_bound"))
+
+
+def q_popularity_with_test(spark, sf_dir):
+    """A15 with the most rated item of train and test."""
+    train, test = split.leave_one_out(_inter(spark, sf_dir))
+    return M.popularity_baseline(train, test, include_test=True)
 
 
 # ---- negatives -------------------------------------------------------------------------
@@ -270,22 +363,13 @@ def q_als_grid(spark, sf_dir):
 
 
 def q_als_report(spark, sf_dir):
-    """Per requested key, {package_subscribed count, package_recommended list} as JSON."""
+    """R3 with a fitted model: per requested key and chunk, {package_subscribed, package_recommended} as JSON."""
     inter, train, _ = _als_split(spark, sf_dir)
     model = models.fit_als(train)
-    req = report.resolve_user_keys(request_keys(spark, sf_dir), T.user_names(spark, sf_dir))
+    users, names = T.user_names(spark, sf_dir), T.item_names(spark, sf_dir)
+    req = report.resolve_user_keys(request_keys(spark, sf_dir), users)
     wanted = req.select(F.col("user_id").alias("id")).where(F.col("id").isNotNull()).distinct()
-    recs = models.als_recommend(model, inter, 5, users=wanted)
-    names = T.item_names(spark, sf_dir)
-    lists = (recs.join(names, "item_id", "left").groupBy("user_id")
-             .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "package"))), lambda s: s["package"])
-                  .alias("package_recommended")))
-    owned = inter.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_subscribed"))
-    return (req.join(lists, "user_id", "left").join(owned, "user_id", "left")
-            .select("request_key", F.to_json(F.struct(
-                F.coalesce("n_subscribed", F.lit(0)).alias("package_subscribed_count"),
-                F.coalesce("package_recommended", F.array().cast("array<string>")).alias("package_recommended")))
-                .alias("result")))
+    return report.report_json(report.paired_lists(req, models.als_recommend(model, inter, 5, users=wanted), inter, users, names))
 
 
 def q_als_metrics_by_k(spark, sf_dir):
@@ -361,6 +445,13 @@ def q_stream_response(spark, sf_dir):
     return spark.read.parquet(f"{out}/response").select("session_id", "request_key", "user_id", "package_recommend")
 
 
+def q_stream_response_envelopes(spark, sf_dir):
+    """ST6 + ST7 + P18: response envelopes as they stand in the outbox, decoded again."""
+    out = run_request_stream(spark, sf_dir)
+    d = envelope.decode(spark.read.parquet(f"{out}/response_records").select("value"))
+    return d.select("session_id", "message_type", "message_number", "is_finished", F.col("content")[C.CONTENT_KEY_RESULT].alias("result"))
+
+
 def q_stream_requests_once(spark, sf_dir):
     """Requests that come again (every fifth, later) or late within the watermark are answered once: (session_id, n_answers) of the answered sessions."""
     src, out, ckpt = scratch_path(spark, "requests"), scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
@@ -423,6 +514,13 @@ def catalogue() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "item_popularity": q_item_popularity,
         "top_rated_item": q_top_rated_item,
         "popularity_baseline_ndcg": q_popularity_baseline,
+        "files_raw_lines": q_files_raw_lines,
+        "files_offers": q_files_offers,
+        "files_ratings": q_files_ratings,
+        "files_bad_records": q_files_bad_records,
+        "files_labels": q_files_labels,
+        "files_negatives": q_files_negatives,
+        "matrix_shape": q_matrix_shape,
         "score_pairs": q_score_pairs,
         "recommend_unseen_top5": q_recommend_unseen_top5,
         "recommend_grid_top5": q_recommend_grid,
@@ -436,6 +534,10 @@ def catalogue() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "top5_items": q_top5_items,
         "seen_lists": q_seen_lists,
         "recommend_lookup": q_recommend_lookup,
+        "recommend_report": q_recommend_report,
+        "performance_report": q_performance_report,
+        "distinct_sketches": q_distinct_sketches,
+        "popularity_with_test": q_popularity_with_test,
         "test_negatives_all": q_test_negatives_all,
         "test_negatives_unseen": q_test_negatives_unseen,
         "train_negatives": q_train_negatives,
@@ -450,6 +552,7 @@ def catalogue() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_requests": q_stream_requests,
         "stream_status": q_stream_status,
         "stream_response": q_stream_response,
+        "stream_response_envelopes": q_stream_response_envelopes,
         "stream_requests_once": q_stream_requests_once,
         "stream_latest_status": q_stream_latest_status,
         "stored_factors": q_stored_factors,

@@ -228,21 +228,59 @@ FROM (SELECT f.item_id, n.package, f.freq FROM (SELECT item_id, COUNT(*) AS freq
     q["seen_lists"] = w(INTER, NAMES) + """SELECT user_id, CAST(item_id // 1000 AS INTEGER) AS chunk, COUNT(*) AS n,
   string_agg(COALESCE(n.package, CAST(item_id AS VARCHAR)), ',' ORDER BY item_id, COALESCE(n.package, CAST(item_id AS VARCHAR))) AS items
 FROM (SELECT DISTINCT user_id, item_id FROM inter) t LEFT JOIN names n USING (item_id) GROUP BY 1, 2"""
-    q["recommend_lookup"] = w(INTER, FACTORS, ALLSCORES, NAMES, """req AS (
+    paired = (INTER, FACTORS, ALLSCORES, NAMES, """req AS (
   SELECT DISTINCT CAST(CASE WHEN event_type = 'purchase' THEN 84300000000 + user_id ELSE user_id END AS BIGINT) AS request_key
-  FROM events WHERE event_type IN ('purchase', 'view'))""", """resolved AS (
+  FROM events WHERE event_type IN ('purchase', 'view'))""", """customers AS (
+  SELECT CAST(c_custkey AS INTEGER) AS user_id, CAST(84300000000 + c_custkey AS BIGINT) AS msisdn FROM customer)""", """resolved AS (
   SELECT r.request_key, CASE WHEN r.request_key > 100000000 THEN c.user_id ELSE CAST(r.request_key AS INTEGER) END AS user_id
-  FROM req r LEFT JOIN (SELECT CAST(c_custkey AS INTEGER) AS user_id, CAST(84300000000 + c_custkey AS BIGINT) AS msisdn
-                        FROM customer) c ON r.request_key = c.msisdn)""", """top AS (
+  FROM req r LEFT JOIN customers c ON r.request_key = c.msisdn)""", """top AS (
   SELECT * FROM (SELECT a.*, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, item_id ASC) AS rank
       FROM allscores a WHERE a.user_id IN (SELECT user_id FROM resolved)
         AND NOT EXISTS (SELECT 1 FROM inter t WHERE t.user_id = a.user_id AND t.item_id = a.item_id)) WHERE rank <= 5)""",
-                                  """lists AS (
+              """lists AS (
   SELECT t.user_id, string_agg(COALESCE(n.package, CAST(t.item_id AS VARCHAR)), ',' ORDER BY t.rank) AS package_recommend
   FROM top t LEFT JOIN names n USING (item_id) GROUP BY 1)""", """owned AS (
-  SELECT user_id, COUNT(*) AS n_subscribed FROM inter GROUP BY 1)""") + """SELECT r.request_key, r.user_id,
-  COALESCE(l.package_recommend, '') AS package_recommend, CAST(COALESCE(o.n_subscribed, 0) AS BIGINT) AS n_subscribed
-FROM resolved r LEFT JOIN lists l USING (user_id) LEFT JOIN owned o USING (user_id)"""
+  SELECT user_id, CAST(item_id // 1000 AS INTEGER) AS chunk,
+    string_agg(COALESCE(n.package, CAST(item_id AS VARCHAR)), ',' ORDER BY item_id, COALESCE(n.package, CAST(item_id AS VARCHAR))) AS items
+  FROM (SELECT DISTINCT user_id, item_id FROM inter) t LEFT JOIN names n USING (item_id) GROUP BY 1, 2)""", """paired AS (
+  SELECT r.request_key, r.user_id, c.msisdn, COALESCE(o.chunk, 0) AS chunk, COALESCE(l.package_recommend, '') AS package_recommend,
+    COALESCE(o.items, '') AS package_subscribed
+  FROM resolved r LEFT JOIN customers c USING (user_id) LEFT JOIN lists l USING (user_id) LEFT JOIN owned o USING (user_id))""")
+    q["recommend_lookup"] = w(*paired) + "SELECT request_key, user_id, msisdn, chunk, package_recommend, package_subscribed FROM paired"
+    q["recommend_report"] = w(*paired) + """SELECT request_key, chunk, CAST(to_json(struct_pack(
+  package_subscribed := CASE WHEN package_subscribed = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(package_subscribed, ',') END,
+  package_recommended := CASE WHEN package_recommend = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(package_recommend, ',') END)) AS VARCHAR) AS result
+FROM paired"""
+    q["distinct_sketches"] = "SELECT event_type, COUNT(DISTINCT user_id) AS n_users, TRUE AS within_bound FROM events GROUP BY 1"
+    q["popularity_with_test"] = w(INTER, SPLIT, """pop AS (
+  SELECT item_id FROM inter GROUP BY 1 ORDER BY SUM(rating) DESC, item_id ASC LIMIT 1)""") + """SELECT
+  (SELECT item_id FROM pop) AS pop_item, COUNT(*) AS n_test,
+  COALESCE(AVG(CASE WHEN item_id = (SELECT item_id FROM pop) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 0.0) AS ndcg,
+  COALESCE(AVG(CASE WHEN item_id = (SELECT item_id FROM pop) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 0.0) AS hit_rate
+FROM test"""
+    report_ctes = w(INTER, SPLIT, FACTORS, ALLSCORES, NAMES, """ranges AS (SELECT user_id, MIN(s) AS lo, MAX(s) AS hi FROM allscores GROUP BY 1)""", """masked AS (
+  SELECT a.user_id, a.item_id,
+         CASE WHEN EXISTS (SELECT 1 FROM train t WHERE t.user_id = a.user_id AND t.item_id = a.item_id) THEN 0.0
+              WHEN r.hi = r.lo THEN 0.0 ELSE (a.s - r.lo) / (r.hi - r.lo) END AS m
+  FROM allscores a JOIN ranges r USING (user_id))""", """ordered AS (
+  SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY m DESC, item_id DESC) AS rank FROM masked)""", """freq AS (
+  SELECT item_id, COUNT(*) AS freq FROM ordered WHERE rank <= 5 GROUP BY 1)""", """places AS (
+  SELECT o.rank FROM test t JOIN ordered o ON t.user_id = o.user_id AND t.item_id = o.item_id)""", """nl AS (
+  SELECT COUNT(*) AS n FROM test)""", """ks AS (SELECT CAST(unnest([3, 5, 7, 9, 11, 13]) AS INTEGER) AS k)""", """fr AS (
+  SELECT freq, row_number() OVER (ORDER BY freq DESC, item_id DESC) AS r FROM freq)""", """tot AS (SELECT COUNT(*) AS n, SUM(freq) AS total FROM freq)""",
+                    """t5 AS (SELECT f.item_id, f.freq, n.package, row_number() OVER (ORDER BY f.freq DESC, f.item_id DESC) AS r
+  FROM freq f LEFT JOIN names n USING (item_id))""")
+    share = "COALESCE((SELECT SUM(freq) FROM fr WHERE r <= floor(n * CAST({p} AS DOUBLE))), 0) / total"
+    parts = ["SELECT 'list_product_freq' AS section, CAST(item_id AS VARCHAR) AS key, CAST(freq AS DOUBLE) AS value FROM freq",
+             "SELECT 'top_5_items', CAST(r AS VARCHAR) || ':' || COALESCE(package, CAST(item_id AS VARCHAR)), CAST(freq AS DOUBLE) FROM t5 WHERE r <= 5",
+             "SELECT 'item_coverage', 'item_count', CAST(COUNT(*) AS DOUBLE) FROM itf",
+             "SELECT 'item_coverage', 'n_recommended_items', CAST(n AS DOUBLE) FROM tot",
+             "SELECT 'item_coverage', 'n_recommendations', CAST(total AS DOUBLE) FROM tot",
+             *(f"SELECT 'item_coverage', 'item_coverage_{name}', CAST({share.format(p=p)} AS DOUBLE) FROM tot" for name, p in ((5, 0.05), (20, 0.2), (50, 0.5))),
+             "SELECT 'all_subscribed_package_freq', CAST(item_id AS VARCHAR), CAST(COUNT(*) AS DOUBLE) FROM inter WHERE rating <> 0 GROUP BY item_id",
+             "SELECT 'hit_rate', CAST(k AS VARCHAR), SUM(CASE WHEN rank <= k THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) / (SELECT n FROM nl) FROM ks LEFT JOIN places ON TRUE GROUP BY k",
+             "SELECT 'ndcg', CAST(k AS VARCHAR), SUM(CASE WHEN rank <= k THEN ln(2) / ln(rank + 1) ELSE 0.0::DOUBLE END) / (SELECT n FROM nl) FROM ks LEFT JOIN places ON TRUE GROUP BY k"]
+    q["performance_report"] = report_ctes + "SELECT section, key, ROUND(value, 6) AS value FROM (" + "\nUNION ALL ".join(parts) + ")"
     negs = """cat AS (SELECT DISTINCT item_id FROM inter),
 negpairs AS (SELECT t.user_id, t.item_id AS h, c.item_id AS j FROM test t, cat c WHERE c.item_id <> t.item_id {extra})"""
     tail = """SELECT t.user_id, t.item_id, CAST(COUNT(n.j) AS BIGINT) AS n_neg, MIN(n.j) AS min_neg, MAX(n.j) AS max_neg,
@@ -280,6 +318,18 @@ WHERE e.event_type = 'purchase'"""
   SELECT t.user_id, string_agg(COALESCE(n.package, CAST(t.item_id AS VARCHAR)), ',' ORDER BY t.rank) AS package_recommend
   FROM top t LEFT JOIN names n USING (item_id) GROUP BY 1)""") + """SELECT r.session_id, r.request_key, r.user_id,
   COALESCE(l.package_recommend, '') AS package_recommend FROM req r LEFT JOIN lists l USING (user_id)"""
+    q["stream_response_envelopes"] = q["stream_response"].replace("""SELECT r.session_id, r.request_key, r.user_id,
+  COALESCE(l.package_recommend, '') AS package_recommend FROM req r""", """SELECT r.session_id, '1002' AS message_type, CAST(0 AS INTEGER) AS message_number,
+  TRUE AS is_finished, '{"' || r.request_key || '":"' || COALESCE(l.package_recommend, '') || '"}' AS result FROM req r""")
+    q["files_raw_lines"] = q["raw_standardize"]
+    q["files_offers"] = w(OFFERS) + "SELECT * FROM offers"
+    q["files_ratings"] = w(INTER) + "SELECT user_id, item_id, rating, CAST(item_id % 10 AS INTEGER) AS bucket FROM inter WHERE item_id % 10 NOT IN (3, 7, 9)"
+    q["files_bad_records"] = w(INTER) + """SELECT CASE item_id % 10 WHEN 7 THEN 'missing user_id' ELSE 'malformed' END AS reason, COUNT(*) AS n
+FROM inter WHERE item_id % 10 IN (3, 7, 9) GROUP BY 1"""
+    q["files_labels"] = w(INTER, SPLIT) + """SELECT user_id, item_id, CAST(item_id % 4 <> 0 AS INTEGER) AS label,
+  CASE WHEN item_id % 4 <> 0 THEN 1.0::DOUBLE END AS binary FROM test"""
+    q["files_negatives"] = w(INTER, SPLIT, TRAIN_NEG) + "SELECT DISTINCT user_id, item_id AS heldout, neg_item AS item_id FROM negs"
+    q["matrix_shape"] = w(INTER) + "SELECT COUNT(DISTINCT user_id) AS n_rows, COUNT(DISTINCT item_id) AS n_columns, COUNT(*) AS n_cells FROM inter"
     q["stream_requests_once"] = """SELECT CAST(event_id AS VARCHAR) AS session_id, CAST(84300000000 + user_id AS BIGINT) AS request_key,
   CAST(1 AS BIGINT) AS n_answers FROM events WHERE event_type = 'purchase'"""
     q["stream_latest_status"] = """WITH s AS (
