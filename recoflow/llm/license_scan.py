@@ -1,17 +1,19 @@
 """Licence scan of a file tree: TF-IDF cosine to templates, then inheritance from the nearest directory. DataFrame and SQL functions only.
 
-A header is a line of a file that mentions a licence keyword; every line of the whole file is looked at. Headers and templates are
-sparse TF-IDF vectors over the templates' terms (a header's other terms count towards its length); a file's own licence is that of its
-best header with a cosine of at least LEAST. A licence file - its name says so, or half of its words are in matching headers -
-gives its licence to its directory, and a file without own licence inherits from the nearest ancestor directory
-that has one (equi-joins on directory paths).
-
-Scale: lines are cut to headers before any shuffle; the templates' vectors are a fixed small table; inheritance is resolved per distinct
+Units of a file are its lines that mention a licence keyword, each also joined with the lines after it (two to WINDOW lines together), and its
+paragraphs that mention one; every line of the whole file is looked at. Tags are split at hyphens, version numbers lose ``v`` and
+``.0``. A unit is compared with the templates of those licences only whose family and version terms it has, and that it holds no term against (GUARDS):
+a licence that is not in the list gives null, not a neighbour. Units and templates are sparse TF-IDF vectors over the templates' terms (a
+unit's other terms count towards its length); a file's own licence is that of its best unit with a cosine of at least LEAST. A
+licence file - its name says so, or half of its words are terms of matching units - gives its licence to its directory, and a file without
+own licence inherits from the nearest ancestor directory that has one (equi-joins on directory paths).
+
+Scale: texts are cut to units before any shuffle; the templates' vectors are a fixed small table; inheritance is resolved per distinct
 directory, so that files meet one row of their directory.
 
-Cases: null or empty text has no header; a null path is a file outside all directories; equal scores: the licence first in
-the alphabet; several licence files in a directory: the highest cosine, then the first licence; repeated rows give repeated
-results; an empty table gives an empty result; extra columns are ignored.
+Cases: null or empty text has no unit; a null path is a file outside all directories; very long texts are looked at whole; equal scores: the
+licence first in the alphabet; clauses of both BSD licences: the one with more clauses; several licence files in a directory: the highest
+cosine, then the first licence; repeated rows give repeated results; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,45 +21,118 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: (licence, text): how files usually state these public licences.
-TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License"),
+#: (licence, its name, terms of which each group needs one, terms that it must not have). The licences' names, families and versions.
+GUARDS = [
+    ("AGPL-3.0", "GNU Affero General Public License, version 3", [["agpl", "affero"], ["3"]], ["1", "2"]),
+    ("Apache-1.1", "Apache License, Version 1.1", [["apache"], ["1.1"]], ["2"]),
+    ("Apache-2.0", "Apache License, Version 2.0", [["apache"], ["2"]], ["1.1"]),
+    ("BSD-2-Clause", "BSD 2-Clause License", [["bsd", "redistribution"], ["2", "simplified", "redistribution"]], ["3", "4", "new", "neither", "advertising"]),
+    ("BSD-3-Clause", "BSD 3-Clause License", [["bsd", "neither"], ["3", "new", "neither"]], ["2", "4", "advertising"]),
+    ("BSL-1.0", "Boost Software License, Version 1.0", [["boost", "bsl"], ["1"]], []),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0", [["cc", "creative"], ["by", "attribution"], ["4"]],
+     ["nc", "noncommercial", "commercial", "sa", "sharealike", "share", "nd", "noderivatives", "noderivs"]),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution NonCommercial 4.0", [["cc", "creative"], ["by", "attribution"], ["nc", "noncommercial", "commercial"], ["4"]],
+     ["sa", "sharealike", "share", "nd", "noderivatives", "noderivs"]),
+    ("CC-BY-NC-ND-4.0", "Creative Commons Attribution NonCommercial NoDerivatives 4.0",
+     [["cc", "creative"], ["by", "attribution"], ["nc", "noncommercial", "commercial"], ["nd", "noderivatives", "noderivs"], ["4"]], ["sa", "sharealike", "share"]),
+    ("CC-BY-NC-SA-4.0", "Creative Commons Attribution NonCommercial ShareAlike 4.0",
+     [["cc", "creative"], ["by", "attribution"], ["nc", "noncommercial", "commercial"], ["sa", "sharealike", "share"], ["4"]], ["nd", "noderivatives", "noderivs"]),
+    ("CC-BY-ND-4.0", "Creative Commons Attribution NoDerivatives 4.0", [["cc", "creative"], ["by", "attribution"], ["nd", "noderivatives", "noderivs"], ["4"]],
+     ["nc", "noncommercial", "commercial", "sa", "sharealike", "share"]),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution ShareAlike 4.0", [["cc", "creative"], ["by", "attribution"], ["sa", "sharealike", "share"], ["4"]],
+     ["nc", "noncommercial", "commercial", "nd", "noderivatives", "noderivs"]),
+    ("CC0-1.0", "CC0 1.0 Universal", [["cc0"]], []),
+    ("EPL-2.0", "Eclipse Public License, version 2.0", [["epl", "eclipse"], ["2"]], ["1"]),
+    ("GPL-2.0", "GNU General Public License, version 2", [["gpl", "general"], ["2"]], ["1", "3", "lesser", "lgpl", "affero", "agpl", "library"]),
+    ("GPL-3.0", "GNU General Public License, version 3", [["gpl", "general"], ["3"]], ["1", "2", "lesser", "lgpl", "affero", "agpl", "library"]),
+    ("ISC", "ISC License", [["isc", "fee"]], []),
+    ("LGPL-2.1", "GNU Lesser General Public License, version 2.1", [["lgpl", "lesser"], ["2.1"]], ["2", "3"]),
+    ("LGPL-3.0", "GNU Lesser General Public License, version 3", [["lgpl", "lesser"], ["3"]], ["2", "2.1"]),
+    ("MIT", "MIT License", [["mit", "free"]], ["fee"]),
+    ("MPL-1.1", "Mozilla Public License, version 1.1", [["mpl", "mozilla"], ["1.1"]], ["2"]),
+    ("MPL-2.0", "Mozilla Public License, version 2.0", [["mpl", "mozilla"], ["2"]], ["1", "1.1"]),
+    ("Unlicense", "Unlicense", [["unlicense", "unencumbered"]], []),
+    ("Zlib", "zlib License", [["zlib"]], []),
+]
+#: (licence, text): how files state these public licences besides their names and tags. Wording of the licences and their notices.
+NOTICES = [
+    ("AGPL-3.0", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution license, CC BY 4.0"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
     ("CC-BY-NC-4.0", "Licensed under Creative Commons Attribution NonCommercial, CC BY-NC 4.0"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3"),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0"),
+    ("GPL-2.0", "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or any later version"),
+    ("GPL-3.0", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("LGPL-2.1", "modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
     ("MIT", "Released under the MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software "
+            "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain"),
 ]
-KEYWORDS = "(?i)licen[cs]e|licensed|copyright|spdx|creative commons|permission is hereby|redistribution and use"
+
+
+def _templates() -> list[tuple[str, str]]:
+    """Of each licence its name, tag and the usual statements of both; and the notices."""
+    made = []
+    for licence, name, *_ in GUARDS:
+        made += [(licence, t) for t in (f"SPDX-License-Identifier: {licence}", f"Licensed under {licence}", f"{name}", f"Licensed under the {name}",
+                                        f"This work is licensed under the {name}", f"License: {licence}")]
+    return made + NOTICES
+
+
+TEMPLATES = _templates()
+KEYWORDS = ("(?i)licen[cs]e|licensed|copyright|spdx|creative commons|permission is hereby|permission to use|redistribution and use|neither the name|unencumbered"
+            "|general public|public domain")
 LICENCE_NAMES = r"(?i)(^|/)(un)?(licen[cs]e|copying|notice)(\.[a-z]+)?$"
 LEAST = 0.6
+#: Lines of a wrapped notice that are joined, at most (a paragraph is a unit whatever its length).
+WINDOW = 4
 
 
 def _terms(text: Column) -> Column:
-    """Lower-case runs of letters and digits (version numbers keep their dots and hyphens inside)."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+(?:[.-][a-z0-9]+)*"), 0)
+    """Lower-case runs of letters and digits; version numbers keep inner dots, lose a ``v`` and a last ``.0``."""
+    plain = F.regexp_replace(F.lower(text), r"(?<![a-z])v\.? ?(?=[0-9])|(?<=gpl)v(?=[0-9])", " ")
+    return F.regexp_extract_all(F.regexp_replace(plain, r"([0-9])\.0(?![0-9.]*[0-9])", "$1"), F.lit(r"[a-z0-9]+(?:\.[a-z0-9]+)*"), 0)
 
 
 def templates(spark, rows=TEMPLATES) -> DataFrame:
     return spark.createDataFrame(rows, "licence string, template string")
 
 
+def _allowed(terms: Column) -> Column:
+    """The licences whose family and version terms are there, and no term against them."""
+    def words(x):
+        return F.array(*[F.lit(t) for t in x]) if x else F.array().cast("array<string>")
+
+    known = F.array(*[F.struct(F.lit(g[0]).alias("licence"), F.array(*[words(x) for x in g[2]]).alias("need"), words(g[3]).alias("without")) for g in GUARDS])
+    fits = F.filter(known, lambda g: F.forall(g["need"], lambda x: F.arrays_overlap(terms, x)) & ~F.arrays_overlap(terms, g["without"]))
+    return F.transform(fits, lambda g: g["licence"])
+
+
 def headers(files: DataFrame) -> DataFrame:
-    """(file, line, terms, n) of each line with a keyword; ``files`` has file, text."""
-    lines = files.where(F.col("text").rlike(KEYWORDS)).select("file", F.posexplode(F.split("text", r"\n")).alias("line", "content"))
-    return lines.where(F.col("content").rlike(KEYWORDS)).select("file", "line", _terms(F.col("content")).alias("terms"))
+    """(file, line, terms, allowed) of each unit that some licence fits; ``files`` has file, text. line numbers the units of a file."""
+    some = files.where(F.col("text").rlike(KEYWORDS))
+    lines = some.select("file", F.split("text", r"\n").alias("lines")) \
+        .select("file", "lines", F.posexplode("lines").alias("at", "content")).where(F.col("content").rlike(KEYWORDS))
+    windows = lines.select("file", "at", "lines", F.explode(F.sequence(F.lit(1), F.lit(WINDOW))).alias("w")) \
+        .where((F.col("w") == 1) | (F.col("at") + F.col("w") <= F.size("lines"))) \
+        .select("file", (F.col("at") * WINDOW + F.col("w")).cast("long").alias("line"), F.array_join(F.slice("lines", F.col("at") + 1, F.col("w")), " ").alias("content"))
+    paragraphs = some.select("file", F.posexplode(F.split("text", r"\n\s*\n")).alias("at", "content")) \
+        .where(F.col("content").contains("\n") & F.col("content").rlike(KEYWORDS)).select("file", (-1 - F.col("at")).cast("long").alias("line"), "content")
+    units = windows.unionByName(paragraphs).select("file", "line", _terms(F.col("content")).alias("terms"))
+    return units.withColumn("allowed", _allowed(F.col("terms"))).where(F.size("allowed") > 0)
 
 
 def _vectors(rows: DataFrame, idf: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, term, w, norm): weights (1 + log tf) * idf and the vector's length."""
-    tf = rows.select(*keys, F.explode("terms").alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+    # a term's number within its row's own list: no shuffle
+    own = rows.select(*keys, "terms", F.explode(F.array_distinct("terms")).alias("term"))
+    tf = own.select(*keys, "term", F.size(F.filter("terms", lambda x: x == F.col("term"))).alias("tf"))
     w = tf.join(F.broadcast(idf), "term", "left").withColumn("w", (1 + F.log("tf")) * F.coalesce("idf", F.lit(1.0)))
     return w
 
@@ -73,11 +148,11 @@ def similarities(heads: DataFrame, templ: DataFrame) -> DataFrame:
     tv = _vectors(t, idf, keys)
     t_norm = tv.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
     tv = tv.select(*keys, "term", F.col("w").alias("tw")).join(F.broadcast(t_norm), keys)
-    hv = _vectors(heads, idf, ["file", "line"])
+    hv = _vectors(heads, idf, ["file", "line", "allowed"])
     # outside terms weigh little: a line may go on after the notice
     hv = hv.withColumn("w", F.when(F.col("idf").isNull(), 0.25).otherwise(F.col("w")))
-    norm = hv.groupBy("file", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("h_norm"), F.sum("tf").alias("n_terms"))
-    dots = hv.join(F.broadcast(tv), "term").groupBy("file", "line", *keys).agg((F.sum(F.col("w") * F.col("tw")) / F.first("t_norm")).alias("dot"))
+    norm = hv.groupBy("file", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("h_norm"), F.sum(F.when(F.col("idf").isNotNull(), F.col("tf")).otherwise(0)).alias("n_terms"))
+    dots = hv.join(F.broadcast(tv), "term").where(F.array_contains("allowed", F.col("licence"))).groupBy("file", "line", *keys).agg((F.sum(F.col("w") * F.col("tw")) / F.first("t_norm")).alias("dot"))
     best = dots.groupBy("file", "line").agg(F.max("dot").alias("top"), F.collect_list(F.struct("licence", "dot")).alias("all"))
     pick = F.array_min(F.transform(F.filter("all", lambda x: x["dot"] >= F.col("top") - 1e-9), lambda x: x["licence"]))
     return best.select("file", "line", pick.alias("licence"), F.col("top").alias("dot")).join(norm, ["file", "line"]) \
@@ -87,8 +162,13 @@ def similarities(heads: DataFrame, templ: DataFrame) -> DataFrame:
 def own_licences(files: DataFrame, least: float = LEAST) -> DataFrame:
     """(file, licence, cosine, header_terms) of the files with a matching header."""
     got = similarities(headers(files), templates(files.sparkSession)).where(F.col("cosine") >= least)
-    return got.groupBy("file").agg(F.min(F.struct((-F.col("cosine")).alias("m"), "licence")).alias("b"), F.sum("n_terms").alias("header_terms")) \
-        .select("file", F.col("b.licence").alias("licence"), (-F.col("b.m")).alias("cosine"), "header_terms")
+    best = got.groupBy("file").agg(
+        F.min(F.struct((-F.col("cosine")).alias("m"), "licence")).alias("b"),
+        F.min(F.when(F.col("licence") == "BSD-3-Clause", F.struct((-F.col("cosine")).alias("m"), "licence"))).alias("more"),
+        # single lines or, where a notice is wrapped, its longest unit
+        F.greatest(F.coalesce(F.sum(F.when((F.col("line") > 0) & (F.col("line") % WINDOW == 1), F.col("n_terms"))), F.lit(0)), F.max("n_terms")).alias("header_terms"))
+    pick = F.when((F.col("b.licence") == "BSD-2-Clause") & F.col("more").isNotNull(), F.col("more")).otherwise(F.col("b"))
+    return best.withColumn("b", pick).select("file", F.col("b.licence").alias("licence"), (-F.col("b.m")).alias("cosine"), "header_terms")
 
 
 def _parent(path: Column) -> Column:

@@ -404,6 +404,56 @@ def test_license_scan(spark, odd):
     assert license_scan.scan_documents(odd).count() == len(TEXTS) + 3 and license_scan.scan_documents(empty(spark)).count() == 0
 
 
+GPL2 = """# This program is free software; you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation; either version 2 of the License, or
+# (at your option) any later version.
+x = 1
+"""
+BSD = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n"
+
+
+@pytest.mark.parametrize("text, licence", [
+    ("SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("// SPDX-License-Identifier: GPL-3.0-only", "GPL-3.0"), ("SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause"),
+    ("SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"), ("SPDX-License-Identifier: EUPL-1.2", None), ("GNU General Public License, version 2", "GPL-2.0"),
+    ("GNU Affero General Public License, version 3", "AGPL-3.0"), ("GNU Lesser General Public License v2.1", "LGPL-2.1"), ("BSD 2-Clause License", "BSD-2-Clause"),
+    ("Mozilla Public License 1.1", "MPL-1.1"), ("Mozilla Public License 1.0", None), ("Licensed under CC BY-ND 4.0.", "CC-BY-ND-4.0"), ("Licensed under CC BY-ND 3.0.", None),
+    ("Licensed under GPLv3", "GPL-3.0"), (GPL2, "GPL-2.0"), (BSD, "BSD-2-Clause"),
+    (BSD + "\nNeither the name of the copyright holder nor the names of its contributors\nmay be used to endorse or promote products derived from this software", "BSD-3-Clause"),
+    ("a = 1\n# Licensed under the Apache License,\n# Version 2.0 (the License)\nb = 2", "Apache-2.0"), ("Copyright 2020 Somebody", None), ("the license of this is unclear", None),
+    ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted", "ISC"), ("© all rights reserved", None)])
+def test_license_statements(spark, text, licence):
+    row = license_scan.scan(spark.createDataFrame([(1, "a.py", text)], "doc_id long, path string, text string"), "doc_id", "path", "text").first()
+    assert row.licence == licence
+
+
+def test_license_cosines(spark):
+    """The cosines, computed again over dictionaries."""
+    import math
+    import re
+    from collections import Counter
+
+    def terms(text):
+        text = re.sub(r"(?<![a-z])v\.? ?(?=[0-9])|(?<=gpl)v(?=[0-9])", " ", text.lower())
+        return re.findall(r"[a-z0-9]+(?:\.[a-z0-9]+)*", re.sub(r"([0-9])\.0(?![0-9.]*[0-9])", r"\1", text))
+
+    lines = ["Licensed under the Apache License, Version 2.0 and some other words", "This work is licensed under the GNU General Public License, version 3.", "the MIT license or not",
+             "SPDX-License-Identifier: MPL-2.0", "license license mit mit mit"]
+    templ = [(lic, Counter(terms(t))) for lic, t in license_scan.TEMPLATES]
+    n = len(templ)
+    held = Counter(x for _, t in templ for x in t)
+    idf = {x: math.log((n + 1) / c) / math.log(n + 1) for x, c in held.items()}
+
+    def vector(counts, outside):
+        return {x: (1 + math.log(c)) * idf[x] if x in idf else outside for x, c in counts.items()}
+
+    frame = spark.createDataFrame(list(enumerate(lines)), "file int, text string")
+    for r in license_scan.similarities(license_scan.headers(frame), license_scan.templates(spark)).where("line % 4 = 1 and line > 0").collect():
+        h = vector(Counter(terms(lines[r.file])), 0.25)
+        best = max(sum(h.get(x, 0) * w for x, w in v.items()) / math.sqrt(sum(w * w for w in v.values())) for lic, t in templ if lic == r.licence for v in [vector(t, None)])
+        assert r.cosine == pytest.approx(best / math.sqrt(sum(w * w for w in h.values())), abs=2e-6)
+
+
 def test_pipeline(spark, docs, bench, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     bench.write.parquet(str(tmp_path / "benchmark.parquet"))
