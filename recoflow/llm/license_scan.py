@@ -1,7 +1,7 @@
 """Licence scan of a file tree: TF-IDF cosine to templates, then inheritance from the nearest directory. DataFrame and SQL functions only.
 
-Units of a file are its lines that mention a licence keyword, each also joined with the lines after it (two to WINDOW lines together), and its
-paragraphs that mention one; every line of the whole file is looked at. Tags are split at hyphens, version numbers lose ``v`` and
+Units of a file are its lines that mention a licence keyword, a short one (as wrapped notices have) also joined with the lines after
+it (two to WINDOW lines together); every line of the whole file is looked at. Tags are split at hyphens, version numbers lose ``v`` and
 ``.0``. A unit is compared with the templates of those licences only whose family and version terms it has, and that it holds no term against (GUARDS):
 a licence that is not in the list gives null, not a neighbour. Units and templates are sparse TF-IDF vectors over the templates' terms (a
 unit's other terms count towards its length); a file's own licence is that of its best unit with a cosine of at least LEAST. A
@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recoflow.llm.shared import written
+
 #: (licence, its name, terms of which each group needs one, terms that it must not have). The licences' names, families and versions.
 GUARDS = [
     ("AGPL-3.0", "GNU Affero General Public License, version 3", [["agpl", "affero"], ["3"]], ["1", "2"]),
@@ -90,8 +92,8 @@ KEYWORDS = ("(?i)licen[cs]e|licensed|copyright|spdx|creative commons|permission
             "|general public|public domain")
 LICENCE_NAMES = r"(?i)(^|/)(un)?(licen[cs]e|copying|notice)(\.[a-z]+)?$"
 LEAST = 0.6
-#: Lines of a wrapped notice that are joined, at most (a paragraph is a unit whatever its length).
-WINDOW = 4
+#: Lines of a wrapped notice that are joined; characters of a line that may be one of them.
+WINDOW, WRAPPED = 4, 200
 
 
 def _terms(text: Column) -> Column:
@@ -115,24 +117,21 @@ def _allowed(terms: Column) -> Column:
 
 
 def headers(files: DataFrame) -> DataFrame:
-    """(file, line, terms, allowed) of each unit that some licence fits; ``files`` has file, text. line numbers the units of a file."""
-    some = files.where(F.col("text").rlike(KEYWORDS))
-    lines = some.select("file", F.split("text", r"\n").alias("lines")) \
-        .select("file", "lines", F.posexplode("lines").alias("at", "content")).where(F.col("content").rlike(KEYWORDS))
-    windows = lines.select("file", "at", "lines", F.explode(F.sequence(F.lit(1), F.lit(WINDOW))).alias("w")) \
-        .where((F.col("w") == 1) | (F.col("at") + F.col("w") <= F.size("lines"))) \
-        .select("file", (F.col("at") * WINDOW + F.col("w")).cast("long").alias("line"), F.array_join(F.slice("lines", F.col("at") + 1, F.col("w")), " ").alias("content"))
-    paragraphs = some.select("file", F.posexplode(F.split("text", r"\n\s*\n")).alias("at", "content")) \
-        .where(F.col("content").contains("\n") & F.col("content").rlike(KEYWORDS)).select("file", (-1 - F.col("at")).cast("long").alias("line"), "content")
-    units = windows.unionByName(paragraphs).select("file", "line", _terms(F.col("content")).alias("terms"))
-    return units.withColumn("allowed", _allowed(F.col("terms"))).where(F.size("allowed") > 0)
+    """A written table (file, line, terms, licence) of each unit and licence that fits it; ``files`` has file, text. line numbers the units of a file."""
+    some = files.where(F.col("text").rlike(KEYWORDS)).select("file", "text", F.split("text", r"\n").alias("lines"))
+    # a line with a keyword and the lines after it, cut out within the row
+    cut = F.transform("lines", lambda x, i: F.when(x.rlike(KEYWORDS), F.struct(i.alias("at"), F.slice("lines", i + 1, WINDOW).alias("part"))))
+    lines = some.select("file", F.explode(F.filter(cut, lambda x: x.isNotNull())).alias("u")).select("file", "u.at", "u.part")
+    windows = lines.select("file", "at", "part", F.explode(F.sequence(F.lit(1), F.when(F.length(F.col("part")[0]) <= WRAPPED, F.size("part")).otherwise(1))).alias("w")) \
+        .select("file", (F.col("at") * WINDOW + F.col("w")).cast("long").alias("line"), F.array_join(F.slice("part", 1, F.col("w")), " ").alias("content"))
+    # written, so that the terms are made once and not for every term that the guards look at
+    units = written(windows.select("file", "line", _terms(F.col("content")).alias("terms")), "licence-units")
+    return written(units.select("file", "line", "terms", F.explode(_allowed(F.col("terms"))).alias("licence")), "licence-headers")
 
 
 def _vectors(rows: DataFrame, idf: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, term, w, norm): weights (1 + log tf) * idf and the vector's length."""
-    # a term's number within its row's own list: no shuffle
-    own = rows.select(*keys, "terms", F.explode(F.array_distinct("terms")).alias("term"))
-    tf = own.select(*keys, "term", F.size(F.filter("terms", lambda x: x == F.col("term"))).alias("tf"))
+    tf = rows.select(*keys, F.explode("terms").alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
     w = tf.join(F.broadcast(idf), "term", "left").withColumn("w", (1 + F.log("tf")) * F.coalesce("idf", F.lit(1.0)))
     return w
 
@@ -148,15 +147,16 @@ def similarities(heads: DataFrame, templ: DataFrame) -> DataFrame:
     tv = _vectors(t, idf, keys)
     t_norm = tv.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
     tv = tv.select(*keys, "term", F.col("w").alias("tw")).join(F.broadcast(t_norm), keys)
-    hv = _vectors(heads, idf, ["file", "line", "allowed"])
+    own = ["file", "line", "licence"]
+    hv = _vectors(heads, idf, own)
     # outside terms weigh little: a line may go on after the notice
     hv = hv.withColumn("w", F.when(F.col("idf").isNull(), 0.25).otherwise(F.col("w")))
-    norm = hv.groupBy("file", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("h_norm"), F.sum(F.when(F.col("idf").isNotNull(), F.col("tf")).otherwise(0)).alias("n_terms"))
-    dots = hv.join(F.broadcast(tv), "term").where(F.array_contains("allowed", F.col("licence"))).groupBy("file", "line", *keys).agg((F.sum(F.col("w") * F.col("tw")) / F.first("t_norm")).alias("dot"))
-    best = dots.groupBy("file", "line").agg(F.max("dot").alias("top"), F.collect_list(F.struct("licence", "dot")).alias("all"))
-    pick = F.array_min(F.transform(F.filter("all", lambda x: x["dot"] >= F.col("top") - 1e-9), lambda x: x["licence"]))
-    return best.select("file", "line", pick.alias("licence"), F.col("top").alias("dot")).join(norm, ["file", "line"]) \
-        .select("file", "line", "licence", F.round(F.col("dot") / F.col("h_norm"), 6).alias("cosine"), "n_terms")
+    norm = hv.groupBy(*own).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("h_norm"), F.sum(F.when(F.col("idf").isNotNull(), F.col("tf")).otherwise(0)).alias("n_terms"))
+    dots = hv.join(F.broadcast(tv), ["term", "licence"]).groupBy(*own, "template").agg((F.sum(F.col("w") * F.col("tw")) / F.first("t_norm")).alias("dot"))
+    top = dots.groupBy(*own).agg(F.max("dot").alias("dot")).join(norm, own)
+    scored = top.select(*own, F.round(F.col("dot") / F.col("h_norm"), 6).alias("cosine"), "n_terms")
+    best = scored.groupBy("file", "line").agg(F.min(F.struct((-F.col("cosine")).alias("m"), "licence", "n_terms")).alias("b"))
+    return best.select("file", "line", F.col("b.licence").alias("licence"), (-F.col("b.m")).alias("cosine"), F.col("b.n_terms").alias("n_terms"))
 
 
 def own_licences(files: DataFrame, least: float = LEAST) -> DataFrame:
