@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recoflow.llm import textkit as tk
-from recoflow.llm.shared import NULL_ID, key_columns, keyed, shuffle_partitions, spent, written
+from recoflow.llm.shared import NULL_ID, few, key_columns, keyed, shuffle_partitions, spent, written
 
 SIZE, PCT = 4, 85
 FLUSH = 1_000_000
@@ -323,12 +323,13 @@ def _verify(pct: int):
 def linked_pairs(pairs: DataFrame, bodies: DataFrame, pct: int) -> DataFrame:
     """A written table of the pairs (a, b) of set ids whose sets link. Only bodies of the pairs travel: the pairs' sets are written first, and sent to the bodies."""
     pairs = written(pairs.select("a", "b"), "candidates")
-    ids = written(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct(), "candidate-sets")
-    bodies = written(bodies.join(ids, "sid", "left_semi"), "candidate-bodies")
+    rows = pairs.count()
+    ids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+    bodies = bodies.join(few(ids, 2 * rows), "sid", "left_semi")
     with_b = pairs.join(bodies.select(F.col("sid").alias("b"), F.col("body").alias("body_b")), "b")
     both = with_b.join(bodies.select(F.col("sid").alias("a"), F.col("body").alias("body_a")), "a")
     out = written(both.select("a", "b", "body_a", "body_b").mapInArrow(_verify(pct), "a long, b long"), "edges")
-    spent(pairs, ids, bodies)
+    spent(pairs)
     return out
 
 
@@ -407,10 +408,11 @@ def set_components(docs: DataFrame, text_col: str, size: int, pct: int, sets: Da
     def bodies_of(ids: DataFrame) -> DataFrame:
         """(sid, comp, body) of the sets (sid, comp), from one text each."""
         first = written(facts.join(ids, facts.set_id == ids.sid).select("f.ord", "f.tk", "comp"), "first-rows")
-        texts = keyed(docs, "doc_id", text_col).join(first, ["ord", "tk"]).select("text", "comp")
+        wanted = first.count()
+        texts = keyed(docs, "doc_id", text_col).join(few(first, wanted), ["ord", "tk"]).select("text", "comp")
         made = written(texts.mapInArrow(_bodies(size), "sid long, comp long, body binary"), "bodies")
         # only repeated rows of one id give a set in several tasks
-        return written(made.dropDuplicates(["sid"]), "bodies") if made.count() > first.count() else made
+        return written(made.dropDuplicates(["sid"]), "bodies") if made.count() > wanted else made
 
     alone = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
     bodies = bodies_of(alone.withColumn("comp", F.col("sid")))
@@ -537,7 +539,8 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     times = placed.where("n_shingles > 0").groupBy("ord", "tk").agg(F.count(F.lit(1)).alias("times"))
     wordless = placed.where("n_shingles = 0").select("ord", "tk").distinct().withColumn("times", F.lit(1).cast("long"))
     keys = ["ord", "tk"]
-    stays = written(wordless.unionByName(times.join(first, keys, "left_semi")), "stays")  # written: a small table is sent to the texts
+    stays = written(wordless.unionByName(times.join(first, keys, "left_semi")), "stays")
+    stays = few(stays, stays.count())
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
     rows = plain.select("*", *key_columns(names[docs.columns.index(id_col)], names[docs.columns.index(text_col)])).join(stays, keys)

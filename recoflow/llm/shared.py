@@ -29,6 +29,15 @@ def spent(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: Rows of a few numbers that may be sent to all executors (some 50 MB).
+FEW_ROWS = 1 << 21
+
+
+def few(keys: DataFrame, rows: int):
+    """A narrow table of ``rows`` rows: sent to the other side of a join if it has at most FEW_ROWS, else joined by a shuffle."""
+    return F.broadcast(keys) if rows <= FEW_ROWS else keys
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
