@@ -311,13 +311,14 @@ def test_language_mixture_of_many(spark):
 
 
 def _kn_brute(texts):
-    """Interpolated modified Kneser-Ney from its definition."""
+    """Interpolated modified Kneser-Ney over code points from its definition: p of a tuple's last symbol after the others."""
     from collections import Counter, defaultdict
-    counts = {kn_quality.ORDER: Counter()}
+    order = kn_quality.ORDER
+    counts = {order: Counter()}
     for t in texts:
-        s = [0] * (kn_quality.ORDER - 1) + [int(kn_quality._CLASS[b]) for b in (t or "").encode()]
-        counts[kn_quality.ORDER].update(tuple(s[i:i + kn_quality.ORDER]) for i in range(len(s) - kn_quality.ORDER + 1))
-    for n in range(kn_quality.ORDER - 1, 0, -1):
+        s = " " * (order - 1) + (t or "")
+        counts[order].update(s[i:i + order] for i in range(len(s) - order + 1))
+    for n in range(order - 1, 0, -1):
         counts[n] = Counter(g[1:] for g in counts[n + 1])
     after, disc = {}, {}
     for n, c in counts.items():
@@ -330,7 +331,7 @@ def _kn_brute(texts):
 
     def p(g):
         if not g:
-            return 1 / kn_quality.SYMBOLS
+            return 1 / 0x110000
         seen = after[len(g)].get(g[:-1])
         if not seen:
             return p(g[1:])
@@ -340,20 +341,47 @@ def _kn_brute(texts):
     return p
 
 
-def test_kneser_ney(spark, docs, odd):
-    texts = [t for t in TEXTS[:14]]
-    logp = kn_quality.log_probabilities(spark, kn_quality.gram_counts(docs.where("doc_id < 14")))
-    p = _kn_brute(texts)
-    sample = logp.where("pmod(xxhash64(g), 977) = 0").collect()
-    for r in sample:
-        g = tuple(r.g >> kn_quality.BITS * (kn_quality.ORDER - 1 - k) & kn_quality.SYMBOLS - 1 for k in range(kn_quality.ORDER))
-        assert r.logp == pytest.approx(float(np.log(p(g))), abs=1e-9)
+@pytest.mark.parametrize("nodes", [1 << 21, 300, 0])
+def test_kneser_ney(spark, docs, odd, monkeypatch, nodes):
+    """Every document's perplexity equals the plain model's of the other fold, with the model broadcast whole, in part, or not at all."""
+    monkeypatch.setattr(kn_quality, "NODES", nodes)
+    monkeypatch.setattr(kn_quality, "FLUSH", 500)
     labels = spark.createDataFrame([(i, 1) for i in range(14)] + [(0, 0), (None, 1)], "doc_id long, quality int")
     got = kn_quality.judge(odd, labels).collect()
     assert len(got) == len(TEXTS) + 3 and all((r.perplexity is None) == (r.n_symbols == 0) for r in got)
+    folds = {r.t: r.f for r in odd.select(F.coalesce("text", F.lit("")).alias("t")).select("t", F.pmod(F.xxhash64("t"), F.lit(2)).alias("f")).collect()}
+    known = [r.text or "" for r in odd.where("doc_id between 1 and 13").collect()]
+    p = [_kn_brute([t for t in known if folds[t] == f]) for f in (0, 1)]
+
+    def perplexity(text):
+        s, lead = " " * (kn_quality.ORDER - 1) + text, kn_quality.ORDER - 1
+        return float(np.exp(-np.mean([np.log(p[1 - folds[text]](s[i - lead:i + 1])) for i in range(lead, len(s))])))
+
+    want = {}
+    for r in odd.collect():
+        want.setdefault(r.doc_id, []).append(perplexity(r.text) if r.text else None)
+    mine = {}
+    for r in got:
+        mine.setdefault(r.doc_id, []).append(r.perplexity)
+    assert set(mine) == set(want)
+    for i, x in want.items():
+        assert sorted(mine[i], key=str) == [v if v is None else pytest.approx(v, rel=1e-5) for v in sorted(x, key=str)]
+
+
+def test_kneser_ney_empty(spark, docs, odd):
+    labels = spark.createDataFrame([(i, 1) for i in range(14)], "doc_id long, quality int")
+    clash = docs.withColumns({c: F.lit("x") for c in ("key", "fold", "r", "g", "m", "total", "one", "low", "perplexity")})
+    assert sorted(map(str, kn_quality.judge(clash, labels).collect())) == sorted(map(str, kn_quality.judge(docs, labels).collect()))
     assert kn_quality.judge(empty(spark), labels).count() == 0 and kn_quality.judge(docs, labels.limit(0)).where("kept").count() > 20
 
 
+def test_code_points():
+    for texts in (["", "aé", "🙂", "", "x\0y", "中文 ab", ""], ["plain", ""]):
+        raw = [t.encode() for t in texts]
+        cp, off = kn_quality.code_points(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        assert ["".join(map(chr, cp[a:b])) for a, b in zip(off, off[1:])] == texts
+
+
 def test_kneser_ney_words(spark):
     """Words of any script are known as words: known sentences score better than random letters in words of the same lengths."""
     rng = random.Random(2)
@@ -369,13 +397,6 @@ def test_kneser_ney_words(spark):
     seen = [(got[1000 + i].perplexity, got[1100 + i].perplexity, got[1100 + i].kept, got[1200 + i].kept) for i in range(5)]
     assert all(noisy > 1.2 * known and not r and not e for known, noisy, r, e in seen), seen
     assert sum(got[i].kept for i in range(240)) > 220
-    texts = docs.withColumn("fold", F.lit(0)).select("doc_id", "text", "fold")
-    nodes, (one, two), lowest = kn_quality.word_model(texts.where("doc_id < 20").select("text", "fold"))
-    plain = [t.split() for i, t, _ in rows if i < 20]
-    pairs = {(a, b) for w in plain for a, b in zip([None, *w], w)}
-    words = {b for _, b in pairs}
-    c = nodes.agg(F.sum("c"), F.sum("t"), F.count_if(F.col("c") > 0)).first()
-    assert lowest[0][0] == len(pairs) and tuple(c) == (sum(map(len, plain)) + len(pairs), sum(map(len, plain)), len(pairs) + len(words))
 
 
 def test_url_filter(spark):
