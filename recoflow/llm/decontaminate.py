@@ -9,12 +9,15 @@ Most text shares no three words in a row with any item: a vectorised test of wor
 whole item) finds the stretches that can hold a window, and only these are streamed, word by word as they
 are, through the automaton. The test has no false negatives; the automaton decides on the words themselves.
 
-Scale: no shuffle. Items are dealt into shards of at most SHARD_BYTES of text; each shard's automaton (bounded by
-that) is broadcast and documents are streamed once for each shard; spans of several shards are merged by document.
+Scale: documents are not shuffled. Items are dealt into shards of about SHARD_BYTES / 2 of text; each shard's automaton (bounded by
+that) is built in a task, written as one row and broadcast; the driver passes on one packed automaton at a time and sees no item. A worker holds one
+unpacked automaton: with one shard for the whole task, with more one after another over each CHUNK_BYTES of documents, and
+the shards' spans are merged by document.
 
 Cases: null or empty texts have no words; items without words never occur; repeated item rows count once; a null item_id
 is written ``null``; null or repeated doc_ids are results of their own row; empty tables give empty or all-clean results;
-extra columns are ignored by ``contamination`` and kept by ``clean_documents``.
+extra columns are ignored by ``contamination`` and kept by ``clean_documents``, whatever their names; a text of any length is streamed whole; items with
+the same windows are all named.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import math
 import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recoflow.llm import textkit as tk
+from recoflow.llm.shared import spent, written
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
+#: Text of documents that is held while several shards are streamed.
+CHUNK_BYTES = 64 << 20
 MAX_COVERAGE = 0.5
 _WORD = tk.byte_class("alnum")
 _BITS = 20
@@ -223,24 +230,69 @@ def scan_texts(column: pa.Array, automaton: SuffixAutomaton, test: Filter):
     return n_words, found
 
 
+def _automaton_row(shard: pa.Table) -> pa.Table:
+    """The packed (automaton, test) of the items of one shard."""
+    part: dict[str, list[bytes]] = {}
+    rows = shard.sort_by([("item", "ascending"), ("text", "ascending")])
+    for k, (item, text) in enumerate(zip(rows.column("item").to_pylist(), rows.column("text").to_pylist())):
+        words = item_words(text)
+        if words:
+            part[f"{item}\0{k}"] = words  # rows that share an id are items with one name
+    return pa.table({"shard": rows.column("shard").slice(0, 1), "made": pa.array([_pack(part)], pa.binary())})
+
+
+def _pack(part: dict[str, list[bytes]]) -> bytes:
+    return zlib.compress(pickle.dumps((SuffixAutomaton(part, WINDOW), Filter(part, WINDOW))), 1)
+
+
+def _unpack(made: bytes) -> tuple[SuffixAutomaton, Filter]:
+    return pickle.loads(zlib.decompress(made))
+
+
 def _shards(benchmark: DataFrame, id_col: str, text_col: str) -> list:
-    """Broadcasts of (automaton, test), each of items with at most SHARD_BYTES of text or of a single item."""
+    """Broadcasts of packed (automaton, test), each of about SHARD_BYTES / 2 of items or of a single item."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).alias("text")) \
         .where(F.col("text").isNotNull())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, math.ceil(2 * total / SHARD_BYTES))
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("item", "text"), F.lit(count)))
+    made = written(dealt.groupBy("shard").applyInArrow(_automaton_row, "shard long, made binary"), "automata")
     out = []
     for shard in range(count):
-        part: dict[str, list[bytes]] = {}
-        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == shard) if count > 1 else items
-        for k, r in enumerate(own.orderBy("item", "text").toLocalIterator()):
-            words = item_words(r.text)
-            if words:
-                part[f"{r.item}\0{k}"] = words  # rows that share an id are items with one name
-        made = SuffixAutomaton(part, WINDOW), Filter(part, WINDOW)
-        out.append(spark.sparkContext.broadcast(pickle.dumps(made)))
-    return out
+        row = made.where(F.col("shard") == shard).first()
+        if row is not None:
+            out.append(spark.sparkContext.broadcast(bytes(row.made)))
+    spent(made)
+    return out or [spark.sparkContext.broadcast(_pack({}))]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[pa.RecordBatch]]:
+    """The batches in lists of about ``limit`` bytes."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _scanned(batches: Iterator[pa.RecordBatch], column: int, shards: list) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list]]:
+    """Each batch with n_words and the rows found (see ``scan_texts``) of all shards; one unpacked shard at a time."""
+    only = _unpack(shards[0].value) if len(shards) == 1 else None
+    for chunk in _chunks(batches, CHUNK_BYTES if only is None else 1):
+        found: list[list] = [[] for _ in chunk]
+        n_words = [np.zeros(b.num_rows, np.int64) for b in chunk]
+        for x in shards:
+            made = only or _unpack(x.value)
+            for k, b in enumerate(chunk):
+                n_words[k], got = scan_texts(b.column(column), *made)
+                found[k].extend(got)
+            del made
+        yield from zip(chunk, n_words, found)
 
 
 def _names(items: set[str]) -> list[str]:
@@ -250,16 +302,12 @@ def _names(items: set[str]) -> list[str]:
 def _scan(names: list[str], text_col: str, shards: list):
     """Columns of the rows, n_words, hit word spans and items; every shard in turn over each batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded = [pickle.loads(x.value) for x in shards]
-        for b in batches:
-            text = b.column(names.index(text_col))
+        for b, n_words, found in _scanned(batches, names.index(text_col), shards):
             spans: dict[int, list] = {}
             items: dict[int, set] = {}
-            for automaton, test in loaded:
-                n_words, found = scan_texts(text, automaton, test)
-                for row, s, got, _, _ in found:
-                    spans.setdefault(row, []).extend(s)
-                    items.setdefault(row, set()).update(got)
+            for row, s, got, _, _ in found:
+                spans.setdefault(row, []).extend(s)
+                items.setdefault(row, set()).update(got)
             n_hit = np.zeros(b.num_rows, np.int64)
             ids = [[] for _ in range(b.num_rows)]
             for row, s in spans.items():
@@ -286,14 +334,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def _clean(names: list[str], text_col: str, shards: list, max_coverage: float):
     """Rows without the bytes from the first to the last word of each hit span; rows hit beyond max_coverage go."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded = [pickle.loads(x.value) for x in shards]
         at = names.index(text_col)
-        for b in batches:
+        for b, n_words, found in _scanned(batches, at, shards):
             hit: dict[int, list] = {}
-            for automaton, test in loaded:
-                n_words, found = scan_texts(b.column(at), automaton, test)
-                for row, s, _, starts, ends in found:
-                    hit.setdefault(row, []).append((s, starts, ends))
+            for row, s, _, starts, ends in found:
+                hit.setdefault(row, []).append((s, starts, ends))
             if not hit:
                 yield b
                 continue

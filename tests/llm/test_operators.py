@@ -250,8 +250,11 @@ def test_decontaminate(spark, docs, odd, bench):
 
 def test_decontaminate_in_shards(docs, bench, monkeypatch):
     whole = sorted(map(str, decontaminate.contamination(docs, bench).collect()))
+    cleaned = sorted(map(str, decontaminate.clean_documents(docs, bench).collect()))
     monkeypatch.setattr(decontaminate, "SHARD_BYTES", 60)
+    assert len(decontaminate._shards(bench, "item_id", "text")) > 2
     assert sorted(map(str, decontaminate.contamination(docs, bench).collect())) == whole
+    assert sorted(map(str, decontaminate.clean_documents(docs, bench).collect())) == cleaned
 
 
 @pytest.fixture(scope="module")
