@@ -16,12 +16,13 @@ from recoflow.operators import dims, ingest, interactions, models, negatives, re
 from recoflow.operators import metrics as M
 from recoflow.operators import recommend as R
 from recoflow.operators import scoring as S
-from recoflow.session import materialize, scratch_path
+from recoflow.session import materialize, materialize_bucketed, scratch_path
 from recoflow.sources import files
 from recoflow.sources import tables as T
 from recoflow.streaming import envelope, model_store, sessions, stream
 
 ROUND = 6
+PAIR = ["user_id", "item_id"]
 
 
 # ---- ETL over raw subscriber lines ------------------------------------------------
@@ -69,8 +70,11 @@ def q_price_weighted_ratings(spark, sf_dir):
 # ---- interaction statistics and split ---------------------------------------------
 
 def _inter(spark, sf_dir):
-    """Interaction triples as a written hand-off table, for flows that read them several times."""
-    return materialize(T.interactions(spark, sf_dir))
+    """Interaction triples as a written hand-off table, for flows that read them several times.
+
+    Bucketed by the pair: joins on (user, item) shuffle the other side only, and a user with very many rows is spread over all buckets.
+    """
+    return materialize_bucketed(T.interactions(spark, sf_dir), PAIR)
 
 
 def q_dataset_counts(spark, sf_dir):
@@ -78,11 +82,11 @@ def q_dataset_counts(spark, sf_dir):
 
 
 def q_split_test(spark, sf_dir):
-    return split.test_pairs(T.interactions_q1(spark, sf_dir))
+    return split.test_pairs(T.interactions_by_quarter(spark, sf_dir))
 
 
 def q_split_train(spark, sf_dir):
-    train, _ = split.leave_one_out(T.interactions_q1(spark, sf_dir))
+    train, _ = split.leave_one_out(materialize_bucketed(T.interactions_by_quarter(spark, sf_dir), PAIR))
     return train
 
 

@@ -13,11 +13,11 @@ INTER = """inter AS (
   FROM orders JOIN lineitem ON o_orderkey = l_orderkey
   GROUP BY 1, 2)"""
 
-INTER_Q1 = """inter AS (
-  SELECT CAST(o_custkey AS INTEGER) AS user_id, CAST(l_partkey AS INTEGER) AS item_id,
+INTER_QUARTERS = """inter AS (
+  SELECT o_custkey * 1000 + (year(o_orderdate) - 1900) * 4 + quarter(o_orderdate) AS user_id,
+         l_partkey * 1000 + (year(o_orderdate) - 1900) * 4 + quarter(o_orderdate) AS item_id,
          CAST(COUNT(*) AS INTEGER) AS rating
   FROM orders JOIN lineitem ON o_orderkey = l_orderkey
-  WHERE o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' AND o_orderdate < TIMESTAMP '1996-04-01 00:00:00'
   GROUP BY 1, 2)"""
 
 RAW_OFFER = """CASE l_partkey % 10
@@ -150,8 +150,8 @@ def sql() -> dict[str, str]:
 FROM weighted, bounds"""
     q["dataset_counts"] = w(INTER) + """SELECT COUNT(*) AS n_ratings, COUNT(DISTINCT user_id) AS n_users,
   COUNT(DISTINCT item_id) AS n_items FROM inter"""
-    q["split_test"] = w(INTER_Q1, SPLIT) + "SELECT user_id, item_id, rating FROM test"
-    q["split_train"] = w(INTER_Q1, SPLIT) + "SELECT user_id, item_id, rating FROM train"
+    q["split_test"] = w(INTER_QUARTERS, SPLIT) + "SELECT user_id, item_id, rating FROM test"
+    q["split_train"] = w(INTER_QUARTERS, SPLIT) + "SELECT user_id, item_id, rating FROM train"
     q["split_test_full"] = w(INTER, SPLIT) + "SELECT user_id, item_id, rating FROM test"
     q["split_train_full"] = w(INTER, SPLIT) + "SELECT user_id, item_id, rating FROM train"
     q["split_test_hashed"] = w(INTER, """busy AS (SELECT user_id FROM inter GROUP BY 1 HAVING COUNT(*) > 3)""",

@@ -23,8 +23,7 @@ from pyspark.sql import functions as F
 ITEM_VECTOR_SHIFT = 100     # item i takes vector (i + shift) mod n, user u vector u mod n
 USER_SCALES, ITEM_SCALES = 101, 103   # vector of id x is scaled by 1 + (x mod this) / 128
 MSISDN_BASE = 84300000000   # standardized msisdn of customer c is MSISDN_BASE + c
-Q1_FROM = "1996-01-01 00:00:00"
-Q1_TO = "1996-04-01 00:00:00"
+QUARTERS = 1000             # ids of customers and parts times this, plus the quarter of the order (counted from 1900)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,14 +32,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ---- interactions -------------------------------------------------------------
 
-def interactions(spark: SparkSession, sf_dir: str, date_from: str | None = None,
-                 date_to: str | None = None) -> DataFrame:
+def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id int, item_id int, rating int): purchase counts per (customer, part)."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    if date_from is not None:
-        orders = orders.where(F.col("o_orderdate") >= F.expr(f"TIMESTAMP_NTZ '{date_from}'"))
-    if date_to is not None:
-        orders = orders.where(F.col("o_orderdate") < F.expr(f"TIMESTAMP_NTZ '{date_to}'"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     return (orders.join(lines, orders.o_orderkey == lines.l_orderkey)
             .groupBy(F.col("o_custkey").cast("int").alias("user_id"),
@@ -48,9 +42,15 @@ def interactions(spark: SparkSession, sf_dir: str, date_from: str | None = None,
             .agg(F.count(F.lit(1)).cast("int").alias("rating")))
 
 
-def interactions_q1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interactions of one quarter: sparse enough that every split rule removes rows."""
-    return interactions(spark, sf_dir, Q1_FROM, Q1_TO)
+def interactions_by_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id long, item_id long, rating int) of all orders, a customer and a part being another one each quarter: sparse enough that every
+    split rule removes rows."""
+    day = F.col("o_orderdate")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", ((F.year(day) - 1900) * 4 + F.quarter(day)).alias("q"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    return (orders.join(lines, orders.o_orderkey == lines.l_orderkey)
+            .groupBy((F.col("o_custkey") * QUARTERS + F.col("q")).alias("user_id"), (F.col("l_partkey") * QUARTERS + F.col("q")).alias("item_id"))
+            .agg(F.count(F.lit(1)).cast("int").alias("rating")))
 
 
 # ---- raw subscriber lines ------------------------------------------------------

@@ -1,6 +1,7 @@
 """L5 leave-one-out: golden rules and properties on real data."""
 
 from recoflow.operators import split
+from recoflow.session import materialize_bucketed
 from recoflow.sources import tables as T
 
 from conftest import SF_SMALL
@@ -43,3 +44,27 @@ def test_hashed_first_row(spark):
         if counts[pick] > 1:
             want.add((u, pick))
     assert got == want  # user 9 has only 3 rows: no test row
+
+
+def test_every_rule_bites_by_quarter(spark):
+    """Over all orders, with sparse ids: some users have too few rows, some first items are nobody else's."""
+    tri = T.interactions_by_quarter(spark, SF_SMALL).cache()
+    users = tri.groupBy("user_id").count()
+    busy = users.where("count > 3").count()
+    assert tri.agg({"rating": "sum"}).first()[0] == T.table(spark, SF_SMALL, "lineitem").count()
+    assert 0 < split.test_pairs(tri).count() < busy < users.count()
+    tri.unpersist()
+
+
+def test_bucketed_hand_off(spark):
+    """The split of a bucketed table shuffles the test pairs only, and gives the same rows as that of a plain one."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tri = materialize_bucketed(T.interactions(spark, SF_SMALL), ["user_id", "item_id"])
+        train, test = split.leave_one_out(tri)
+        plan = train._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1, plan
+        plain, _ = split.leave_one_out(T.interactions(spark, SF_SMALL))
+        assert sorted(map(tuple, train.collect())) == sorted(map(tuple, plain.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
