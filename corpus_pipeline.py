@@ -2,6 +2,10 @@
 
 Each stage is written as Parquet and read again as the documents of the next one. All but the last return the columns
 of ``documents`` (n_chars follows the text).
+
+Cases: null and empty texts fail the base rules of the first stage and go; rows of one doc_id with different texts are different documents; of
+repeated rows and equal texts one stays; texts of any length are treated whole; an empty table gives an empty result with the same columns;
+extra columns are carried on whatever their names, but for those that the last stage makes (``MADE``, in any case), which it replaces.
 """
 
 from __future__ import annotations
@@ -17,6 +21,9 @@ from recoflow.session import scratch_path, ship_package
 #: Near copies of the second stage: word shingles of this size, this Jaccard percentage or more (op7 alone has its own).
 SHINGLE, SIMILAR = 5, 80
 
+#: Columns of the last stage.
+MADE = ("n_tokens", "ids_sha256", "decoded_sha256", "ids")
+
 
 def _measured(docs: DataFrame) -> DataFrame:
     """n_chars of the text as it is now."""
@@ -50,7 +57,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The encoded corpus: ids of every document with their digest and that of the decoded text."""
     ship_package(spark)
-    return bpe.encode_documents(docs, [c for c in docs.columns if c != "text"], with_ids=True)
+    return bpe.encode_documents(docs, [c for c in docs.columns if c != "text" and c.lower() not in MADE], with_ids=True)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeats", repeats), ("benchmark", benchmark), ("tokens", tokens)]
