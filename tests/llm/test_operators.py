@@ -494,3 +494,23 @@ def test_pipeline(spark, docs, bench, tmp_path):
         if not hit:
             assert got[d].decoded_sha256 == hashlib.sha256(dict(cut)[d].encode()).hexdigest() and got[d].n_chars == len(dict(cut)[d])
     assert set(got) <= {i for i, _ in cut}
+
+
+def test_pipeline_clashing_columns_and_empty_tables(spark, docs, bench, tmp_path):
+    """Columns named like those of the last stage are replaced, others carried on; every stage takes an empty table."""
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    clash = docs.where("doc_id < 6").withColumns({c: F.lit("x") for c in ("n_tokens", "IDS", "ids_sha256", "decoded_sha256", "nth", "key", "g")})
+    got = corpus_pipeline.tokens(spark, clash, str(tmp_path))
+    assert sorted(c for c in got.columns if c.lower() in corpus_pipeline.MADE) == sorted(corpus_pipeline.MADE)
+    assert {r.n_words for r in got.collect()} == {0} and {"nth", "key", "g"} <= set(got.columns)
+    assert {r.doc_id: r.n_tokens for r in got.collect()} == {i: len(t.ids) for i, t in enumerate(_encoder().encode_batch(TEXTS[:6], add_special_tokens=False))}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs.limit(0), str(tmp_path))
+        assert out.columns == docs.columns and out.count() == 0, name
+    assert corpus_pipeline.tokens(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def _encoder():
+    import public_tokenizers
+    import tokenizers
+    return tokenizers.Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
