@@ -96,3 +96,77 @@ def test_pruning_skips_tiles(monkeypatch):
     order = np.argsort(-length)
     (rows, ids, _), done, skipped = G.top_k(U, (order, V[order], length[order]), np.full(20, 3), np.full(20, -np.inf), *[np.zeros(0, np.int64)] * 2)
     assert skipped > done and {(int(a), int(b)) for a, b in zip(rows, ids)} == {(u, i) for (u, _), (i, _) in plain(U, V, set(), 3).items()}
+
+
+def masked(U, V, seen):
+    S = np.array([[dot(u, v) for v in V] for u in U])
+    lo, hi = S.min(axis=1), S.max(axis=1)
+    return S, [[0.0 if hi[u] == lo[u] else (S[u, i] - lo[u]) / (hi[u] - lo[u]) for i in range(len(V))] for u in range(len(U))]
+
+
+@pytest.mark.parametrize("kind", ["plain", "equal", "long", "zero"])
+def test_several_chunks_give_what_one_gives(spark, monkeypatch, kind):
+    """Ranges, masked lists and ranks of a catalogue of several chunks, without block pairs: as plain loops give them."""
+    from recoflow.operators import recommend as R
+    from recoflow.operators import scoring
+
+    monkeypatch.setattr(G, "ITEM_TILE", 32)
+    monkeypatch.setattr(G, "LEAST_ROWS", 1)
+    monkeypatch.setattr(scoring, "_scan", None)  # the scan of block pairs held all blocks of a query block at once
+    U, V, seen = data(kind)
+    seen |= {(0, i) for i in range(296)} | {(1, 299)}
+    users, s = factors(spark, U), spark.createDataFrame(sorted(seen) + sorted(seen)[:50], "user_id int, item_id int")
+    held = np.random.default_rng(1).integers(0, len(V), len(U))
+    labels = spark.createDataFrame([(u, int(h)) for u, h in enumerate(held)] + [(2, 999), (999, 2)], "user_id int, item_id int")
+    chunks = G.ItemChunks(factors(spark, V), 40 * 6 * 8)
+    assert len(chunks.chunks) >= 8
+    S, scaled = masked(U, V, seen)
+    M = [[0.0 if (u, i) in seen else x for i, x in enumerate(row)] for u, row in enumerate(scaled)]
+    got = sorted((r.user_id, r["rank"], r.item_id, r.score) for r in R.recommend_masked(users, chunks, s, 5).collect())
+    assert got == [(u, n, i, M[u][i]) for u in range(len(U)) for n, i in enumerate(sorted(range(len(V)), key=lambda i: (-M[u][i], -i))[:5], 1)]
+    places = {(r.user_id, r.item_id): r["rank"] for r in R.masked_label_ranks(users, chunks, labels, s).collect()}
+    for u, h in enumerate(held):
+        t = scaled[u][h]
+        assert places.pop((u, h)) == 1 + sum(M[u][i] > t or (M[u][i] == t and i > h) for i in range(len(V)) if i != h)
+    assert places == {(2, 999): None, (999, 2): None}
+    for known in (None, s):
+        ranks = {(r.user_id, r.item_id): r.heldout_rank for r in R.heldout_ranks(users, chunks, labels, known).collect()}
+        skip = seen if known is not None else set()
+        for u, h in enumerate(held):
+            assert ranks[u, h] == 1 + sum(S[u, i] >= S[u, h] for i in range(len(V)) if i != h and (u, i) not in skip)
+
+
+def test_chunk_kernels_keep_scores_that_scale_to_one(monkeypatch):
+    """Raw scores that differ in the last bit may scale to the same value: then the larger id comes first."""
+    V = np.array([[0.0], [1.0], [np.nextafter(0.5, 0)], [0.5], [np.nextafter(0.5, 1)], [-1e9]])
+    ids = np.arange(len(V))
+    side = ids, V, np.sqrt((V * V).sum(axis=1))
+    order = np.lexsort((ids, -side[2]))
+    side = ids[order], V[order], side[2][order]
+    none = np.zeros(0, np.int64)
+    lo, hi, (rows, found, x), _ = G.chunk_best(np.ones((1, 1)), side, 2, none, none, 1e9)
+    assert (lo[0], hi[0]) == (-1e9, 1.0) and {1, 2, 3, 4} <= set(found.tolist())
+    *_, count, _, near = G.chunk_counts(np.ones((1, 1)), np.array([0.5]), np.array([3]), side, none, none, True, 1e9)
+    assert count[0] + len(near[0]) >= 3 and {2, 4} <= set(near[2].tolist())
+
+
+def test_later_chunks_are_not_sent_when_no_user_can_reach_them(spark, monkeypatch):
+    monkeypatch.setattr(G, "LEAST_ROWS", 1)
+    rng = np.random.default_rng(5)
+    U, V = rng.normal(size=(20, 4)), rng.normal(size=(400, 4)) * np.geomspace(1, 1e-6, 400)[:, None]
+    chunks = G.ItemChunks(factors(spark, V), 40 * 4 * 8)
+    got = {(r.user_id, r["rank"]): (r.item_id, r.score) for r in G.recommend(factors(spark, U), chunks, None, 3).collect()}
+    assert got == plain(U, V, set(), 3)
+    assert 0 < len(chunks._kept) < len(chunks.chunks) / 2
+
+
+def test_score_pairs_in_chunks_moves_no_vector_with_a_pair(spark, monkeypatch):
+    from recoflow.operators import scoring
+
+    monkeypatch.setattr(G, "LEAST_ROWS", 1)
+    U, V, seen = data("plain")
+    pairs = spark.createDataFrame([(u, i, 1.5) for u, i in sorted(seen)] + [(900, 1, 0.0), (None, 1, 0.0), (1, None, 0.0)], "user_id int, item_id int, label double")
+    scored = scoring.score_pairs(pairs, factors(spark, U), factors(spark, V), max_broadcast_bytes=40 * 6 * 8)
+    assert "hashpartitioning" not in scored._jdf.queryExecution().executedPlan().toString()
+    got = {(r.user_id, r.item_id): (r.label, r.score) for r in scored.collect()}
+    assert got == {(u, i): (1.5, dot(U[u], V[i])) for u, i in seen if i < len(V)}
