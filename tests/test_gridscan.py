@@ -170,3 +170,35 @@ def test_score_pairs_in_chunks_moves_no_vector_with_a_pair(spark, monkeypatch):
     assert "hashpartitioning" not in scored._jdf.queryExecution().executedPlan().toString()
     got = {(r.user_id, r.item_id): (r.label, r.score) for r in scored.collect()}
     assert got == {(u, i): (1.5, dot(U[u], V[i])) for u, i in seen if i < len(V)}
+
+
+def test_few_tiles_are_scored_where_boxes_tell_the_rest(monkeypatch):
+    """Vectors of one length: their length cuts nothing; boxes do, for lists, ranges and counts, with the results of plain loops."""
+    monkeypatch.setattr(G, "ITEM_TILE", 32)
+    rng = np.random.default_rng(8)
+    V = rng.normal(size=(4000, 3))
+    V /= np.sqrt((V * V).sum(axis=1))[:, None]
+    U, ids, length = rng.normal(size=(30, 3)), np.arange(len(V)) * 2, np.sqrt((V * V).sum(axis=1))
+    order = G._laid(ids, V, length)
+    side = ids[order], V[order], length[order]
+    cells, scores = [0], G._Rows.scores
+
+    def counted(self, r, i):
+        out = scores(self, r, i)
+        cells[0] += out[0].size
+        return out
+
+    monkeypatch.setattr(G._Rows, "scores", counted)
+    S = np.array([[dot(u, v) for v in V] for u in U])
+    seen = np.divmod(rng.choice(30 * 4000, 500, replace=False), 4000)
+    left = S.copy()
+    left[seen] = -np.inf
+    none = np.full(len(U), -np.inf)
+    (rows, found, _), _, _ = G.top_k(U, side, np.full(len(U), 5), none, seen[0], 2 * seen[1])
+    assert found.tolist() == [2 * i for s in left for i in sorted(range(len(V)), key=lambda i: (-s[i], i))[:5]]
+    held = rng.integers(0, 4000, 30)
+    want = [1 + sum(left[u] >= S[u, h]) - (left[u, h] >= S[u, h]) for u, h in enumerate(held)]
+    assert G.label_ranks(U, side, 2 * held, seen[0], 2 * seen[1], False).tolist() == want
+    lo, hi, *_ = G.chunk_best(U, side, 5, seen[0], 2 * seen[1], 1.0)
+    assert lo.tolist() == S.min(axis=1).tolist() and hi.tolist() == S.max(axis=1).tolist()
+    assert cells[0] < S.size  # three scans of all cells before
