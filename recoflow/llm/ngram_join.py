@@ -35,10 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recoflow.llm import textkit as tk
-from recoflow.llm.shared import NULL_ID, few, key_columns, keyed, shuffle_partitions, spent, written
+from recoflow.llm.shared import NULL_ID, few, key_columns, keyed, shuffle_partitions, small_batches, spent, written
 
 SIZE, PCT = 4, 85
 FLUSH = 1_000_000
+#: Signatures that a task holds before it packs them: its memory is some 100 bytes each.
+HELD = 1 << 18
+#: Texts, or pairs with both sets, in an Arrow batch.
+BATCH = 1000
 #: Words of 64 parity bits a set.
 PARITY = 4
 _BITS = [f"p{k}" for k in range(PARITY)]
@@ -209,7 +213,7 @@ def _signature_rows(size: int, pct: int, parts: int):
                     sig.append(g)
                     sid.append(np.full(len(g), set_id(s), dtype=np.int64))
                     held += len(g)
-                    if held >= FLUSH:
+                    if held >= HELD:
                         yield from flush()
                         sig, sid, held = [], [], 0
         if held:
@@ -516,9 +520,10 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 
 def _placed(docs: DataFrame, id_col: str, text_col: str, size: int, pct: int) -> DataFrame:
     """(ord, tk, n_shingles, group, component) of each row; group tells components apart, component is the smallest ord in it."""
-    sets = written(keyed(docs, id_col, text_col).mapInArrow(_sets_of(["ord", "tk", "text"], "text", size), f"ord long, tk long, {_FACTS_SQL}"), "sets")
-    some = sets.where("n_shingles > 0")
-    linked = set_components(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", size, pct, some)
+    with small_batches(docs.sparkSession, BATCH):  # every Python step writes its table in here
+        sets = written(keyed(docs, id_col, text_col).mapInArrow(_sets_of(["ord", "tk", "text"], "text", size), f"ord long, tk long, {_FACTS_SQL}"), "sets")
+        some = sets.where("n_shingles > 0")
+        linked = set_components(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", size, pct, some)
     first = some.groupBy("set_id").agg(F.min("ord").alias("first"))
     comp = first.join(linked, first.set_id == linked.sid, "left").select("set_id", "first", F.coalesce("comp_sid", "set_id").alias("group"))
     lowest = comp.groupBy("group").agg(F.min("first").alias("component"))

@@ -195,6 +195,22 @@ def test_ngram_join_edited_copies(spark):
     assert got == sorted(brute.jaccard_components(rows)) and len({r[2] for r in got}) > 2
 
 
+def test_ngram_join_holds_little(docs, monkeypatch):
+    """A task packs its signatures every HELD of them; Arrow batches are small while the tables are written, and the session's number comes back."""
+    monkeypatch.setattr(ngram_join, "HELD", 500)
+    batch = pa.RecordBatch.from_arrays([pa.array([t or "" for t in TEXTS])], names=["text"])
+    signed = [len(ngram_join.signatures(s, 80)) for s in ngram_join.shingle_sets(batch.column(0), 5)]
+    packed = [b for b in ngram_join._signature_rows(5, 80, 1)(iter([batch]))]
+    heads = [body for b in packed for kind, body in zip(b.column(1).to_pylist(), b.column(2).to_pylist()) if kind == ngram_join._HEADS]
+    assert len(heads) > 2 and max(len(ngram_join._unpacked_heads(x)[0]) for x in heads) <= 500 + max(signed)
+    spark, key, seen = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    was, writes = spark.conf.get(key), ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, name: (seen.append(int(spark.conf.get(key))), writes(df, name))[1])
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs).collect())
+    assert got == sorted(brute.jaccard_components(list(enumerate(TEXTS))))
+    assert seen and max(seen) <= ngram_join.BATCH and spark.conf.get(key) == was
+
+
 def test_ngram_join_odd_rows(spark, odd):
     out = ngram_join.jaccard_components(odd).collect()
     assert len(out) == len(TEXTS) + 3
