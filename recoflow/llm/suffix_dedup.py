@@ -38,11 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recoflow.llm import textkit as tk
-from recoflow.llm.shared import NULL_ID, key_columns, keyed, shuffle_partitions, written
+from recoflow.llm.shared import NULL_ID, key_columns, keyed, shuffle_partitions, small_batches, written
 
 SIZE = 100
 GRAM = 24
-FLUSH = 400_000
+#: Stretches that a task holds before it passes them on: its memory is some 200 bytes each.
+FLUSH = 1 << 17
+#: Texts in an Arrow batch.
+BATCH = 1000
 #: Share of all stretches above which an anchor's go round string by string; at most 1 / HEAVY_SHARE anchors do.
 HEAVY_SHARE = 1e-4
 HEAVY_LEAST = 2_000
@@ -444,6 +447,13 @@ def _sort_suffixes(size: int):
     return run
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of at most BATCH: the last step runs with the caller's number."""
+    for b in batches:
+        for a in range(0, b.num_rows, BATCH):
+            yield b.slice(a, BATCH)
+
+
 def _gone(batch: pa.RecordBatch, size: int, text_col: str) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
     """The bytes of each text and the mask of its covered bytes (None: none)."""
     buf, off = tk.utf8(batch.column(text_col))
@@ -460,7 +470,7 @@ def _gone(batch: pa.RecordBatch, size: int, text_col: str) -> Iterator[tuple[np.
 
 def _digests(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _parts(batches):
             n_bytes, n_removed, n_spans, digest = [], [], [], []
             for text, gone in _gone(b, size, "text"):
                 n_bytes.append(len(text))
@@ -474,7 +484,7 @@ def _digests(size: int):
 
 def _shortened(size: int, names: list[str], text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _parts(batches):
             at = names.index(text_col)
             texts, keep = b.column(at).to_pylist(), np.ones(b.num_rows, bool)
             for i, (text, gone) in enumerate(_gone(b, size, text_col)):
@@ -499,7 +509,12 @@ def heavy_anchors(texts: DataFrame, size: int) -> np.ndarray:
 
 
 def repeated_spans(texts: DataFrame, size: int) -> DataFrame:
-    """(ord, tk, spans) of the documents with covered strings; spans: (start, n) runs of starts of covered strings."""
+    """(ord, tk, spans) of the documents with covered strings; spans: (start, n) runs of starts of covered strings. Written."""
+    with small_batches(texts.sparkSession, BATCH):  # every Python step writes its table in here
+        return written(_spans(texts, size), "spans")
+
+
+def _spans(texts: DataFrame, size: int) -> DataFrame:
     parts = shuffle_partitions(texts.sparkSession)
     rows = texts.mapInArrow(_stretch_rows(size, heavy_anchors(texts, size), False), _STRETCH)
     # firsts meet by anchor; copies, of which a hot stretch has many, are only spread

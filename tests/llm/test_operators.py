@@ -115,6 +115,20 @@ def test_suffix_dedup_repeated_rows(spark, monkeypatch, heavy, flush):
     assert sorted(r.doc_id for r in suffix_dedup.remove_repeats(docs).collect()) == sorted(i for i, _ in repeated if i != 5)
 
 
+def test_suffix_dedup_holds_little(docs, monkeypatch):
+    """Arrow batches are small while the tables are written, and the session's number comes back; the last step goes by parts of a batch."""
+    spark, key, seen = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", {}
+    was, writes = spark.conf.get(key), suffix_dedup.written
+    monkeypatch.setattr(suffix_dedup, "BATCH", 7)
+    monkeypatch.setattr(suffix_dedup, "written", lambda df, name: (seen.update({name: int(spark.conf.get(key))}), writes(df, name))[1])
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicate(docs).collect()}
+    assert got == _removed([(i, (t or "").encode()) for i, t in enumerate(TEXTS)])
+    assert set(seen) == {"anchor-counts", "stretches", "spans"} and max(seen.values()) == 7 and spark.conf.get(key) == was
+    rows = [b.num_rows for b in suffix_dedup._parts(iter([pa.RecordBatch.from_arrays([pa.array(range(20))], names=["x"])]))]
+    assert rows == [7, 7, 6]
+    assert suffix_dedup.FLUSH <= 1 << 17
+
+
 def test_suffix_dedup_odd_rows_keep_repeated(odd):
     got = [(r.n_removed, r.kept_sha256) for r in suffix_dedup.deduplicate(odd).where("doc_id = 3").collect()]
     assert got == [(0, hashlib.sha256(TEXTS[3].encode()).hexdigest())] * 2
