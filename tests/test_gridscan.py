@@ -202,3 +202,33 @@ def test_few_tiles_are_scored_where_boxes_tell_the_rest(monkeypatch):
     lo, hi, *_ = G.chunk_best(U, side, 5, seen[0], 2 * seen[1], 1.0)
     assert lo.tolist() == S.min(axis=1).tolist() and hi.tolist() == S.max(axis=1).tolist()
     assert cells[0] < S.size  # three scans of all cells before
+
+
+@pytest.mark.parametrize("kind", ["plain", "equal", "long", "zero"])
+def test_a_tile_is_scored_once_for_range_list_and_count(monkeypatch, kind):
+    monkeypatch.setattr(G, "ITEM_TILE", 32)
+    monkeypatch.setattr(G, "BOX_DIMS", 0)  # no boxes: as with vectors of many dimensions
+    U, V, seen = data(kind)
+    length = np.sqrt((V * V).sum(axis=1))
+    order = np.lexsort((np.arange(len(V)), -length))
+    side = order, np.ascontiguousarray(V[order]), length[order]
+    rows, sids = (np.array(x) for x in zip(*sorted(seen)))
+    scored, scores = [], G._Rows.scores
+    monkeypatch.setattr(G._Rows, "scores", lambda q, r, i: scored.extend(zip(r.tolist(), i.tolist())) or scores(q, r, i))
+    held = np.arange(len(U))
+    t = np.array([dot(u, V[h]) for u, h in zip(U, held)])
+    for run in (lambda: G.chunk_best(U, side, 5, rows, sids, length.max()), lambda: G.chunk_counts(U, t, held, side, rows, sids, True, length.max())):
+        scored.clear()
+        run()
+        assert scored and len(scored) == len(set(scored))
+
+
+def test_exact_scores_are_those_of_a_plain_loop(monkeypatch):
+    from recoflow.operators import scoring
+    rng = np.random.default_rng(6)
+    U, V = rng.normal(size=(9, 5)), rng.normal(size=(11, 5))
+    U[0] = V[0] = -0.0
+    rows, cols = rng.integers(0, 9, 50), rng.integers(0, 11, 50)
+    monkeypatch.setattr(scoring, "EXACT_PAIRS", 7)
+    assert scoring._exact(U, V, rows, cols).tolist() == [dot(U[r], V[c]) for r, c in zip(rows, cols)]
+    assert scoring._exact(U[:, :0], V[:, :0], rows, cols).tolist() == [0.0] * 50
