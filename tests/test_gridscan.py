@@ -232,3 +232,33 @@ def test_exact_scores_are_those_of_a_plain_loop(monkeypatch):
     monkeypatch.setattr(scoring, "EXACT_PAIRS", 7)
     assert scoring._exact(U, V, rows, cols).tolist() == [dot(U[r], V[c]) for r, c in zip(rows, cols)]
     assert scoring._exact(U[:, :0], V[:, :0], rows, cols).tolist() == [0.0] * 50
+
+
+def test_pairs_are_listed_a_few_tiles_at_a_time(monkeypatch):
+    monkeypatch.setattr(G, "ITEM_TILE", 8)
+    U, V, seen = data("plain")
+    length = np.sqrt((V * V).sum(axis=1))
+    order = G._laid(np.arange(len(V)), V, length)
+    side = order, np.ascontiguousarray(V[order]), length[order]
+    rows, sids = (np.array(x) for x in zip(*sorted(seen)))
+    held = np.arange(len(U))
+    t = np.array([dot(u, V[h]) for u, h in zip(U, held)])
+    none = np.full(len(U), -np.inf)
+    runs = (lambda: G.masked_top_k(U, side, 3, rows, sids), lambda: G.label_ranks(U, side, held, rows, sids, True),
+            lambda: G.label_ranks(U, side, held, rows, sids, False), lambda: G.top_k(U, side, np.full(len(U), 3), none, rows, sids)[0])
+    want = [run() for run in runs]
+    listed, groups = [], G._Tiles.groups
+    monkeypatch.setattr(G._Tiles, "groups", lambda tiles, tile, row: listed.append(len(tile)) or groups(tiles, tile, row))
+    monkeypatch.setattr(G, "OPEN_PAIRS", 3 * len(U))
+    monkeypatch.setattr(G, "KEPT_ROWS", 5)
+    for run, before in zip(runs, want):
+        assert np.array_equal(np.concatenate(run(), axis=None), np.concatenate(before, axis=None))
+    assert 0 < max(listed) <= 3 * len(U)
+
+
+def test_scan_workers_do_without_pandas():
+    import subprocess
+    import sys
+    from pathlib import Path
+    code = "import sys, recoflow.operators.gridscan; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parent.parent).returncode == 0
