@@ -262,3 +262,13 @@ def test_scan_workers_do_without_pandas():
     from pathlib import Path
     code = "import sys, recoflow.operators.gridscan; sys.exit('pandas' in sys.modules)"
     assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parent.parent).returncode == 0
+
+
+def test_driver_holds_one_copy_while_a_chunk_is_sent(spark, monkeypatch):
+    import pyarrow as pa
+    chunks = G.ItemChunks(spark.range(4000).selectExpr("cast(id as int) id", "transform(sequence(1, 64), x -> double(x * id)) features"))
+    context, before, held = type(spark.sparkContext), pa.total_allocated_bytes(), []
+    broadcast = context.broadcast
+    monkeypatch.setattr(context, "broadcast", lambda self, x: held.append(pa.total_allocated_bytes() - before) or broadcast(self, x))
+    ids, V, length = chunks.send(0).value
+    assert V.shape == (4000, 64) and len(held) == 1 and held[0] < V.nbytes // 4
